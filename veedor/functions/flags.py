@@ -24,15 +24,19 @@ def _bit(condition: Column) -> Column:
     return F.when(condition, 1).otherwise(0)
 
 
-def with_measures(df: DataFrame, decimal_comma: bool = False) -> DataFrame:
-    """Add valor_num, longitud_objeto and duracion_dias."""
-    return df.withColumns(
-        {
-            "valor_num": parse_money(F.col("valor_raw"), decimal_comma),
-            "longitud_objeto": F.length(F.trim(F.coalesce("objeto_raw", F.lit("")))).cast("bigint"),
-            "duracion_dias": F.datediff("fecha_fin", "fecha_inicio").cast("bigint"),
-        }
-    )
+MEASURES = ("valor_num", "longitud_objeto", "duracion_dias")
+
+
+def with_measures(
+    df: DataFrame, decimal_comma: bool = False, only: tuple[str, ...] = MEASURES
+) -> DataFrame:
+    """Add valor_num, longitud_objeto and duracion_dias, or only the named ones."""
+    made = {
+        "valor_num": parse_money(F.col("valor_raw"), decimal_comma),
+        "longitud_objeto": F.length(F.trim(F.coalesce("objeto_raw", F.lit("")))).cast("bigint"),
+        "duracion_dias": F.datediff("fecha_fin", "fecha_inicio").cast("bigint"),
+    }
+    return df.withColumns({name: made[name] for name in only})
 
 
 def with_flags(df: DataFrame) -> DataFrame:

@@ -13,14 +13,16 @@ from veedor.runtime import stage
 SIGMAS = 3.0
 
 
-def value_outliers(enriched: DataFrame, category: str, sigmas: float = SIGMAS) -> DataFrame:
-    """Valid contracts more than ``sigmas`` sample deviations above their category mean."""
-    valid = enriched.where(F.col("flag_valor_invalido") == 0)
-    stats = valid.groupBy(category).agg(
-        F.avg("valor_num").alias("media"), F.stddev_samp("valor_num").alias("desviacion")
+def value_outliers(
+    df: DataFrame, value: str, category: str, row_id: str, sigmas: float = SIGMAS
+) -> DataFrame:
+    """Rows whose value is more than ``sigmas`` sample deviations above their category mean."""
+    valued = df.where(F.col(value).isNotNull())
+    stats = valued.groupBy(category).agg(
+        F.avg(value).alias("media"), F.stddev_samp(value).alias("desviacion")
     )
-    rows = attach_stats(valid, stage(stats, "category-stats"), (category,), ("id_contrato",))
-    return rows.where(F.col("valor_num") > F.col("media") + sigmas * F.col("desviacion"))
+    rows = attach_stats(valued, stage(stats, "category-stats"), (category,), (row_id,))
+    return rows.where(F.col(value) > F.col("media") + sigmas * F.col("desviacion"))
 
 
 def sector_deviation(enriched: DataFrame, sector: str) -> DataFrame:

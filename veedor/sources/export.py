@@ -100,14 +100,15 @@ def read_contracts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Landed JSON pages of the API (one array or one object per line), values as text.
+def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Landed JSON pages of the API, values as text: one array per file, or one object per
+    line with ``lines`` (then large files are split).
 
     Offset paging can deliver a row twice, so one row per id is kept: the greatest one,
     whatever the file order. Rows without id are only merged when equal in full.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in API_COLUMNS])
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path)
+    rows = spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
     rest = [c for c in rows.columns if c != "id_contrato"]
     no_id = F.when(F.col("id_contrato").isNull(), F.xxhash64(*rest)).alias("_no_id")
     merged = rows.groupBy("id_contrato", no_id).agg(F.max(F.struct(*rest)).alias("_row"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veedor.functions.names import normalize_name
-from veedor.functions.parsing import parse_money
+from veedor.functions.parsing import compute_once, parse_money
 from veedor.schema import ENRICHED_COLUMNS, FLAG_COLUMNS
 
 SHORT_TEXT = 30
@@ -31,12 +31,13 @@ def with_measures(
     df: DataFrame, decimal_comma: bool = False, only: tuple[str, ...] = MEASURES
 ) -> DataFrame:
     """Add valor_num, longitud_objeto and duracion_dias, or only the named ones."""
-    made = {
-        "valor_num": parse_money(F.col("valor_raw"), decimal_comma),
+    cheap = {
         "longitud_objeto": F.length(F.trim(F.coalesce("objeto_raw", F.lit("")))).cast("bigint"),
         "duracion_dias": F.datediff("fecha_fin", "fecha_inicio").cast("bigint"),
     }
-    return df.withColumns({name: made[name] for name in only})
+    if "valor_num" in only:
+        df = compute_once(df, "valor_num", parse_money(F.col("valor_raw"), decimal_comma))
+    return df.withColumns({name: value for name, value in cheap.items() if name in only})
 
 
 def with_flags(df: DataFrame) -> DataFrame:

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-# What counts as a number once currency signs, separators and blanks are gone. The guard
-# keeps out forms a SQL cast may take but a money column should not: 1d, 1_000, nan, inf.
-NUMBER_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# Characters of a decimal number. Any other one (after currency signs, separators and blanks
+# are gone) makes the text no number, also where a SQL cast would take it: 1d, 1_000, nan, inf.
+_NUMBER_CHARACTERS = "0123456789+-.eE"
+_OTHER_BLANKS = "\t\n\x0b\x0c\r\u00a0\u2007\u202f"
 
 _EDGE_BLANKS = r"(?U)^\s+|\s+$"
 _ISO_STAMP = (
     r"^\d{4}-\d{2}-\d{2}"
     r"(T\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 )
-_SLASH_STAMP = (
-    r"^(\d{1,2})/(\d{1,2})/(\d{4})"
-    r"(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([AaPp][Mm])?)?$"
-)
+_SLASH_DAY = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
+_SLASH_STAMP = r"^(\d{1,2})/(\d{1,2})/(\d{4})[ T]+(\d{1,2}:\d{2}(?::\d{2})?)\s*(?:[AaPp][Mm])?$"
 
 
 def strip_blanks(text: Column) -> Column:
@@ -29,6 +28,14 @@ def is_present(value: Column) -> Column:
     return value.isNotNull() & (F.trim(value.cast("string")) != "")
 
 
+def to_number(text: Column) -> Column:
+    """Decimal text as a finite double, else NULL."""
+    plain = F.btrim(text, F.lit(_OTHER_BLANKS + " "))
+    only_digits = F.translate(plain, _NUMBER_CHARACTERS, "") == ""
+    number = F.when(only_digits, plain.try_cast("double"))
+    return F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
+
+
 def parse_money(raw: Column, decimal_comma: bool = False) -> Column:
     """Money text as a finite double, else NULL.
 
@@ -37,12 +44,17 @@ def parse_money(raw: Column, decimal_comma: bool = False) -> Column:
     """
     text = raw.cast("string")
     if decimal_comma:
-        text = F.translate(F.translate(text, "$. ", ""), ",", ".")
-    else:
-        text = F.translate(text, "$, ", "")
-    text = strip_blanks(text)
-    number = F.when(text.rlike(NUMBER_TEXT), text.try_cast("double"))
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+        return to_number(F.translate(F.translate(text, "$. ", ""), ",", "."))
+    return to_number(F.translate(text, "$, ", ""))
+
+
+def compute_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that filters above it will refer to several times.
+
+    As a plain projection it would be copied into each of those filters and evaluated once
+    per mention; a one-row generator is not. Filters on other columns still move below it.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
 
 def parse_timestamp(raw: Column) -> Column:
@@ -64,29 +76,19 @@ def parse_timestamp(raw: Column) -> Column:
 def parse_export_date(raw: Column, order: str = "mdy") -> Column:
     """Date of a CSV export: ISO forms, or ``/`` forms in ``mdy`` or ``dmy`` order,
     with an optional 24-hour or AM/PM time."""
-    text = strip_blanks(raw.cast("string"))
-
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, _SLASH_STAMP, i)
-
-    month, day = (part(1), part(2)) if order == "mdy" else (part(2), part(1))
-    half = F.lower(part(7))
-    hour = part(4).try_cast("int")
-    hour = (
-        F.when((half == "pm") & (hour < 12), hour + 12)
-        .when((half == "am") & (hour == 12), F.lit(0))
-        .otherwise(hour)
-    )
-
-    def two(c: Column) -> Column:
-        return F.lpad(F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("0")), 2, "0")
-
-    iso = F.concat(
-        part(3), F.lit("-"), two(month), F.lit("-"), two(day),
-        F.lit(" "), two(hour), F.lit(":"), two(part(5)), F.lit(":"), two(part(6)),
+    text = F.btrim(raw.cast("string"), F.lit(_OTHER_BLANKS + " "))
+    day = "$3-$1-$2" if order == "mdy" else "$3-$2-$1"
+    timed = F.regexp_replace(text, _SLASH_STAMP, f"{day} $4").try_cast("timestamp_ntz")
+    half = F.lower(F.right(text, F.lit(2)))
+    shift = (
+        F.when((half == "pm") & (F.hour(timed) < 12), 12)
+        .when((half == "am") & (F.hour(timed) == 12), -12)
+        .otherwise(0)
     )
-    slashed = F.when(text.rlike(_SLASH_STAMP), iso.try_cast("timestamp_ntz"))
-    return F.coalesce(slashed, parse_timestamp(raw))
+    slashed = F.when(
+        text.contains(":"), timed + F.make_dt_interval(hours=shift)
+    ).otherwise(F.regexp_replace(text, _SLASH_DAY, day).try_cast("timestamp_ntz"))
+    return F.when(text.contains("/"), slashed).otherwise(parse_timestamp(raw))
 
 
 def ntz(text: str) -> Column:

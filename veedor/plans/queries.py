@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from veedor.functions.flags import enrich, enriched_columns, is_direct, with_measures
 from veedor.functions.names import BOGOTA, normalize_name, ranking_label, value_label
-from veedor.functions.parsing import parse_money, parse_timestamp
+from veedor.functions.parsing import parse_timestamp
 from veedor.operators import concentration, explore, listing, places, publish, quality, scope, signals
 from veedor.operators.isolation import fit_forest, normalized, with_anomaly
 from veedor.operators.pairs import MODEL_FEATURES, analyzed, burst_peaks, model_features, pair_features
@@ -215,8 +215,8 @@ def axis_extents(spark, d):
 
 @query
 def value_labels(spark, d):
-    raw = contracts(spark, d, "id_contrato", "valor_raw")
-    value = parse_money(F.col("valor_raw"))
+    raw = with_measures(contracts(spark, d, "id_contrato", "valor_raw"), only=("valor_num",))
+    value = F.col("valor_num")
     # The same amounts seen as pesos, thousands and hundred thousands of pesos.
     return raw.select(
         "id_contrato",
@@ -228,8 +228,8 @@ def value_labels(spark, d):
 
 @query
 def value_quantiles(spark, d):
-    df = contracts(spark, d, "departamento", "valor_raw").withColumn("v", parse_money(F.col("valor_raw")))
-    found = exact_quantiles(df, "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, ("departamento",))
+    df = with_measures(contracts(spark, d, "departamento", "valor_raw"), only=("valor_num",))
+    found = exact_quantiles(df, "valor_num", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, ("departamento",))
     return _fix(found, p10=5, p50=5, p99=5)
 
 

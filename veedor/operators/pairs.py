@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veedor.functions.flags import SHORT_TEXT, cost_per_day, discarded, is_direct
 from veedor.operators.spread import attach_total
 from veedor.operators.windows import trailing_counts
+from veedor.runtime import stage
 from veedor.schema import PAIR_KEYS
 
 BURST_DAYS = 10
@@ -50,8 +51,9 @@ def pair_features(enriched: DataFrame, days: int = BURST_DAYS) -> DataFrame:
     (or without dates) it is the pair's contract count.
     """
     rows = analyzed(enriched).where(F.col("nit_entidad").isNotNull())
+    # Staged: read for the totals and again for the join, while contracts are read once.
     pairs = attach_total(
-        _pair_aggregate(rows), "nit_entidad", "n_contratos", "n_entidad_anio",
+        stage(_pair_aggregate(rows), "pair-aggregate"), "nit_entidad", "n_contratos", "n_entidad_anio",
         ("nombre_entidad", "doc_proveedor", "proveedor"),
     )
     peaks = burst_peaks(rows.where(F.col("doc_proveedor").isNotNull()), days).select(

@@ -49,24 +49,27 @@ def trailing_counts(df: DataFrame, keys: tuple[str, ...], stamp: str, days: int)
     past = ticks.select(
         *entry(F.col("_hour") + hours, F.col("_off"), no_time, none, F.col("n_filas"), none)
     )
-    between = Window.partitionBy(*keys).orderBy("_hour").rangeBetween(1 - hours, -1)
+    # Running sums up to both ends of a range, never a sliding frame: one addition per row
+    # however long the range is.
+    by_hour = Window.partitionBy(*keys).orderBy("_hour")
+    until_last = F.sum("_n").over(by_hour.rangeBetween(Window.unboundedPreceding, -1))
+    until_first = F.sum("_n").over(by_hour.rangeBetween(Window.unboundedPreceding, -hours))
     hourly = (
         ticks.groupBy(*keys, "_hour")
         .agg(F.sum("n_filas").alias("_n"))
-        .withColumn("_inner", F.coalesce(F.sum("_n").over(between), none))
+        .withColumn("_inner", F.coalesce(until_last, none) - F.coalesce(until_first, none))
         .select(*entry(F.col("_hour"), none, no_time, none, none, F.col("_inner")))
     )
 
     one_hour = Window.partitionBy(*keys, "_hour").orderBy("_off")
     up_to = one_hour.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    since = one_hour.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    before = one_hour.rangeBetween(Window.unboundedPreceding, -1)
     whole = one_hour.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    past_since = F.sum("_past").over(whole) - F.coalesce(F.sum("_past").over(before), none)
     counted = own.unionByName(past).unionByName(hourly).select(
         *keys,
         stamp,
         F.col("_own").alias("n_filas"),
-        (
-            F.sum("_own").over(up_to) + F.sum("_past").over(since) + F.max("_inner").over(whole)
-        ).alias("n_ventana"),
+        (F.sum("_own").over(up_to) + past_since + F.max("_inner").over(whole)).alias("n_ventana"),
     )
     return counted.where(F.col(stamp).isNotNull())

@@ -20,7 +20,7 @@ from veedor.plans.risk import RiskOptions, rank, run_risk, score_pairs
 from veedor.runtime import new_path, stage
 from veedor.schema import EXPORT_COLUMNS, PAIR_KEYS
 from veedor.sources import catalog, export, geojson
-from veedor.sources.star import contracts
+from veedor.sources.star import contracts, table
 from veedor.streaming import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,10 +37,6 @@ def query(fn):
     return fn
 
 
-def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def _enriched(spark: SparkSession, d: str) -> DataFrame:
     return enrich(contracts(spark, d))
 
@@ -273,7 +269,7 @@ def relationship_age(spark, d):
 
 @query
 def sigma_outliers(spark, d):
-    found = signals.value_outliers(_read(spark, d, "events"), "value", "event_type", "event_id")
+    found = signals.value_outliers(table(spark, d, "events"), "value", "event_type", "event_id")
     return _fix(found.select("event_id", "event_type", "value", "media"), media=5)
 
 
@@ -324,8 +320,8 @@ def _spelled(spark: SparkSession, d: str) -> DataFrame:
 
 def _map(spark: SparkSession, d: str) -> DataFrame:
     """Official places as a feature table: regions are departments, nations municipalities."""
-    joined = _read(spark, d, "nation").join(
-        _read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    joined = table(spark, d, "nation").join(
+        table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
     return joined.select(
         F.col("n_nationkey").cast("bigint").alias("orden"),
@@ -501,7 +497,7 @@ def burst_window_nation(spark, d):
 @query
 def burst_window_events(spark, d):
     """Times with fractions of a second."""
-    return trailing_counts(_read(spark, d, "events"), ("user_id", "event_type"), "ts", 2)
+    return trailing_counts(table(spark, d, "events"), ("user_id", "event_type"), "ts", 2)
 
 
 _PAIR_DIGITS = {
@@ -648,7 +644,7 @@ def timestamp_texts(spark, d):
         .when(F.col("event_type") == "error", F.concat(F.date_format(ts, "yyyy-MM-dd"), F.lit(" sin hora")))
         .otherwise("sin fecha")
     )
-    return _read(spark, d, "events").select("event_id", parse_timestamp(text).alias("leido"))
+    return table(spark, d, "events").select("event_id", parse_timestamp(text).alias("leido"))
 
 
 # --- publishing ----------------------------------------------------------------------------
@@ -677,17 +673,17 @@ def cast_error_counts(spark, d):
 
 @query
 def row_id_check(spark, d):
-    lines = _read(spark, d, "lineitem")
+    lines = table(spark, d, "lineitem")
     by_line = publish.row_id_check(
         lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id")), "id"
     ).withColumn("columna", F.lit("linea"))
-    by_order = publish.row_id_check(_read(spark, d, "orders"), "o_orderkey").withColumn("columna", F.lit("orden"))
+    by_order = publish.row_id_check(table(spark, d, "orders"), "o_orderkey").withColumn("columna", F.lit("orden"))
     return by_line.unionByName(by_order)
 
 
 def _change_sets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Published orders, changes (new prices of open orders and new orders) and deleted ids."""
-    orders = _read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     base = orders.where(F.col("o_orderstatus") != "P")
     changes = orders.where(F.col("o_orderstatus") != "F").withColumn("o_totalprice", F.col("o_totalprice") + 1)
     deletes = orders.where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 100000))
@@ -717,7 +713,7 @@ def load_stats(spark, d):
 
 @query
 def last_change(spark, d):
-    events = _read(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
     return publish.last_per_id(events, "user_id", "event_id")
 
 
@@ -733,13 +729,13 @@ def saved_transform(spark, d):
             {"reorder": ["precio", "id"]},
         ),
     )
-    return publish.TransformConfig.from_json(saved.to_json()).apply(_read(spark, d, "orders"))
+    return publish.TransformConfig.from_json(saved.to_json()).apply(table(spark, d, "orders"))
 
 
 @query
 def sorted_page(spark, d):
     order = [("o_orderpriority", True), ("o_totalprice", False), ("o_orderkey", True)]
-    rows = publish.page_rows(_read(spark, d, "orders"), order, offset=100)
+    rows = publish.page_rows(table(spark, d, "orders"), order, offset=100)
     return rows.select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
@@ -747,7 +743,7 @@ def sorted_page(spark, d):
 
 
 def _event_feed(spark: SparkSession, d: str) -> DataFrame:
-    schema = _read(spark, d, "events").schema
+    schema = table(spark, d, "events").schema
     return feeds.contract_feed(spark, d, schema, pathGlobFilter="events.parquet")
 
 

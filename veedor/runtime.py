@@ -57,3 +57,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Give a file scan with fewer splits than cores one partition per core, by ``key``.
+
+    Only a table smaller than a split per core has so few, so what moves is small by
+    definition; a large table keeps its splits and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from veedor.runtime import spread_small
 from veedor.schema import CONTRACT_SCHEMA
 
 # Order priority -> modality text; anything else is two blanks.
@@ -15,8 +16,27 @@ MODALITIES = {
 }
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Declared, so that opening a table starts no job.
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _amount() -> Column:
@@ -81,9 +101,11 @@ def contracts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """
     wanted = columns or tuple(CONTRACT_SCHEMA.names)
     definitions = _definitions()
-    needed = {table for c in wanted for table in definitions[c][1]}
-    df = _table(spark, sf_dir, "lineitem")
-    for table, (left, right) in _JOINS.items():
-        if table in needed:
-            df = df.join(_table(spark, sf_dir, table), F.col(left) == F.col(right))
+    needed = {parent for c in wanted for parent in definitions[c][1]}
+    df = table(spark, sf_dir, "lineitem")
+    if {"valor_raw", "objeto_raw"} & set(wanted):  # text that costs work per row
+        df = spread_small(df, "l_orderkey")
+    for parent, (left, right) in _JOINS.items():
+        if parent in needed:
+            df = df.join(table(spark, sf_dir, parent), F.col(left) == F.col(right))
     return df.select(*[definitions[c][0].alias(c) for c in wanted])

@@ -399,6 +399,12 @@ def _sql() -> dict[str, str]:
     on("cast_errors", bad, VALOR_TEXT)
     on("cast_error_counts", f"SELECT columna, motivo, count(*) AS n FROM ({bad}) GROUP BY 1, 2", VALOR_TEXT)
     on("cast_rows", "SELECT id_contrato, CAST(valor AS DOUBLE) AS valor FROM tx WHERE TRY_CAST(valor AS DOUBLE) IS NOT NULL", VALOR_TEXT)
+    kinds = {"o_orderkey": "number", "o_custkey": "number", "o_totalprice": "number", "o_orderdate": "fixed_timestamp",
+             "o_orderstatus": "text", "o_orderpriority": "text"}
+    typed = "\nUNION ALL ".join(
+        f"SELECT '{c}', CASE WHEN count({c}) = count(TRY_CAST({c}::VARCHAR AS DOUBLE)) THEN 'number'"
+        f" WHEN count({c}) = count(TRY_CAST({c}::VARCHAR AS TIMESTAMP)) THEN 'fixed_timestamp' ELSE 'text' END FROM orders" for c in kinds)
+    q["guessed_types"] = f"SELECT columna, tipo FROM ({typed} UNION ALL SELECT 'caro', 'checkbox' UNION ALL SELECT 'vacia', 'text') t(columna, tipo)"
     check = """SELECT sum(n)::BIGINT AS n_filas, coalesce(sum(n) FILTER (WHERE id IS NULL), 0)::BIGINT AS n_nulos,
  count(*) FILTER (WHERE id IS NOT NULL AND n > 1) AS n_repetidos, count(*) FILTER (WHERE id IS NULL OR n > 1) = 0 AS valido, '{c}' AS columna
  FROM (SELECT {id} AS id, count(*) AS n FROM {t} GROUP BY 1)"""

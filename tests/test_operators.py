@@ -232,3 +232,11 @@ def test_hot_pair(make):
     assert len(got) == 1 and got[0].n_contratos == 600
     assert got[0].max_contratos_ventana == max(
         sum(1 for i in range(600) if 0 <= d - i % 28 <= 10) for d in range(28))
+
+
+def test_quantiles_of_values_in_one_bucket(spark):
+    rng = random.Random(11)
+    numbers = [0.43 + rng.random() * 1e-9 for _ in range(2000)] + [0.43] * 50
+    df = spark.createDataFrame([(v,) for v in numbers], "v double")
+    got = one(exact_quantiles(df, "v", {"a": 0.013, "b": 0.5, "c": 0.95}))
+    assert list(got) == pytest.approx([np.quantile(numbers, p) for p in (0.013, 0.5, 0.95)], rel=1e-15)

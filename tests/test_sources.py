@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +137,10 @@ def test_shared_dir(spark):
     assert runtime.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     staged = runtime.stage(spark.range(3).withColumn("t", F.lit("2024-01-01").cast("timestamp_ntz")), "x")
     assert staged.count() == 3 and staged.inputFiles()[0].startswith("file://" + runtime.shared_dir(spark))
+
+
+def test_drop_staged(tmp_path, spark):
+    kept = runtime.stage(spark.range(2), "x")
+    folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert runtime.drop_staged(spark) >= 1
+    assert not Path(folder).exists() and runtime.drop_staged(spark) == 0

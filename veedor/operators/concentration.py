@@ -43,8 +43,13 @@ def trailing_concentration(df: DataFrame, days: int = 365) -> DataFrame:
     """At each start date of a pair: the supplier's share of the entity's contracts in the
     ``days`` before it."""
     known = df.where(F.col("nit_entidad").isNotNull() & F.col("doc_proveedor").isNotNull())
-    pair = trailing_counts(known, ("nit_entidad", "doc_proveedor"), "fecha_inicio", days)
-    entity = trailing_counts(known, ("nit_entidad",), "fecha_inicio", days).select(
+    # Contracts are read once: entity counts add up the pairs' daily counts.
+    starts = known.groupBy("nit_entidad", "doc_proveedor", "fecha_inicio").agg(
+        F.count("*").alias("n")
+    )
+    n = F.col("n")
+    pair = trailing_counts(starts, ("nit_entidad", "doc_proveedor"), "fecha_inicio", days, n)
+    entity = trailing_counts(starts, ("nit_entidad",), "fecha_inicio", days, n).select(
         "nit_entidad", "fecha_inicio", F.col("n_ventana").alias("contratos_entidad")
     )
     return pair.join(entity, ["nit_entidad", "fecha_inicio"]).select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veedor.functions.flags import cost_per_day, plottable
 from veedor.operators.listing import ranked
-from veedor.operators.quantiles import exact_quantiles
+from veedor.operators.quantiles import exact_quantiles, quantile_value
 
 TOP_MODALITIES = 15
 SCATTER_ROWS = 2500
@@ -50,7 +50,7 @@ def scatter_sample(enriched: DataFrame, limit: int = SCATTER_ROWS) -> DataFrame:
 def trim_at_p99(points: DataFrame, value: str = "costo_por_dia") -> DataFrame:
     """Finite positive values up to their 0.99 quantile."""
     finite = points.where(F.abs(F.col(value)) < F.lit(float("inf")))
-    top = exact_quantiles(finite, value, {"p99": 0.99}).scalar()
+    top = quantile_value(finite, value, 0.99)
     return finite.where((F.col(value) <= top) & (F.col(value) > 0))
 
 
@@ -61,43 +61,34 @@ def histogram(df: DataFrame, value: str, bins: int = BINS) -> DataFrame:
     on both sides.
     """
     v = F.col(value)
-    lo_hi = df.agg(F.min(v).alias("a"), F.max(v).alias("b"))
-    flat = F.col("a") == F.col("b")
-    limits = lo_hi.select(
-        F.struct(
-            F.when(flat, F.col("a") - 0.5).otherwise(F.col("a")).alias("a"),
-            F.when(flat, F.col("b") + 0.5).otherwise(F.col("b")).alias("b"),
-        )
-    ).scalar()
-    numbers = df.sparkSession.range(bins).select(
-        F.col("id").alias("bin"), limits["a"].alias("a"), limits["b"].alias("b")
-    )
+    a, b = df.agg(F.min(v), F.max(v)).first()
+    if a is None:
+        bins_found = df.sparkSession.range(0)
+    else:
+        bins_found = df.sparkSession.range(bins)
+        a, b = (a - 0.5, b + 0.5) if a == b else (float(a), float(b))
+    low, high = F.lit(a).cast("double"), F.lit(b).cast("double")
 
     def edge(i: Column) -> Column:
-        step = (F.col("b") - F.col("a")) / F.lit(float(bins))
-        return F.when(i >= bins, F.col("b")).otherwise(i * step + F.col("a"))
+        step = (high - low) / F.lit(float(bins))
+        return F.when(i >= bins, high).otherwise(i * step + low)
 
-    ranged = df.where(v.isNotNull()).select(v.alias("v"), limits["a"].alias("a"), limits["b"].alias("b"))
     guess = F.least(
-        F.floor((F.col("v") - F.col("a")) * (F.lit(float(bins)) / (F.col("b") - F.col("a")))),
-        F.lit(bins - 1),
+        F.floor((v - low) * (F.lit(float(bins)) / (high - low))), F.lit(bins - 1)
     )
     # Rounding can put a value next to an inner edge one bin off: the edges decide.
-    located = ranged.withColumn("g", guess).withColumn(
-        "bin",
-        F.when(F.col("v") < edge(F.col("g")), F.col("g") - 1)
-        .when((F.col("v") >= edge(F.col("g") + 1)) & (F.col("g") < bins - 1), F.col("g") + 1)
-        .otherwise(F.col("g")),
+    g = F.col("_g")
+    located = df.where(v.isNotNull()).select(v.alias(value), guess.alias("_g")).select(
+        F.when(v < edge(g), g - 1)
+        .when((v >= edge(g + 1)) & (g < bins - 1), g + 1)
+        .otherwise(g)
+        .alias("bin")
     )
     counts = located.groupBy("bin").agg(F.count("*").alias("n"))
     lo, hi = edge(F.col("bin")), edge(F.col("bin") + 1)
-    return (
-        numbers.where(F.col("a").isNotNull())
-        .join(counts, "bin", "left")
-        .select(
-            "bin", lo.alias("lo"), hi.alias("hi"), ((lo + hi) / 2).alias("centro"),
-            F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-        )
+    return bins_found.select(F.col("id").alias("bin")).join(counts, "bin", "left").select(
+        "bin", lo.alias("lo"), hi.alias("hi"), ((lo + hi) / 2).alias("centro"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
     )
 
 

@@ -64,8 +64,8 @@ def draw_samples(
     The choice does not depend on partitioning. With many rows each is offered to one tree by
     a single hash; with few, to every tree.
     """
-    n = df.agg(F.count("*")).scalar()
-    share = F.lit(_SPARE * sample) / F.greatest(n, F.lit(1))
+    ratio = _SPARE * sample / max(df.count(), 1)
+    share = F.lit(ratio)
 
     def unit(*parts: Column) -> Column:
         return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
@@ -73,14 +73,13 @@ def draw_samples(
     base = df.select(
         F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
         F.xxhash64(F.lit(seed), *keys).alias("h"),
-        share.alias("share"),
     ).withColumn("u", unit(F.col("h"), F.lit(-1)))
     one_tree = F.when(
-        F.col("u") < F.col("share") * trees,
+        F.col("u") < share * trees,
         F.array(
             F.struct(
-                F.floor(F.col("u") / F.col("share")).cast("int").alias("arbol"),
-                F.pmod(F.col("u"), F.col("share")).alias("u"),
+                F.floor(F.col("u") / share).cast("int").alias("arbol"),
+                F.pmod(F.col("u"), share).alias("u"),
             )
         ),
     )
@@ -89,9 +88,9 @@ def draw_samples(
             F.sequence(F.lit(0), F.lit(trees - 1)),
             lambda t: F.struct(t.alias("arbol"), unit(F.col("h"), t).alias("u")),
         ),
-        lambda c: c["u"] < F.col("share"),
+        lambda c: c["u"] < share,
     )
-    offers = F.when(F.col("share") * trees <= 1.0, one_tree).otherwise(every_tree)
+    offers = one_tree if ratio * trees <= 1.0 else every_tree
     offered = base.select("x", "h", F.explode(offers).alias("o")).select("x", "h", "o.arbol", "o.u")
     rank = F.row_number().over(Window.partitionBy("arbol").orderBy("u", "h", "x"))
     return offered.withColumn("_r", rank).where(F.col("_r") <= sample).select("arbol", "u", "h", "x")
@@ -162,6 +161,8 @@ def fit_forest(
 
 def with_anomaly(df: DataFrame, features: tuple[str, ...], forest: Forest, name: str) -> DataFrame:
     """Add the anomaly score in (0, 1); with fewer than MIN_ROWS rows it is 0 for all."""
+    if df.count() < MIN_ROWS:
+        return df.withColumn(name, F.lit(0.0))
     model = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
@@ -169,16 +170,12 @@ def with_anomaly(df: DataFrame, features: tuple[str, ...], forest: Forest, name:
         for x in parts:
             yield pd.Series(model.value.score(np.vstack(x.to_numpy()))) if len(x) else pd.Series([], dtype=float)
 
-    n = df.agg(F.count("*")).scalar()
-    x = F.array(*[F.col(f).cast("double") for f in features])
-    return df.withColumn(name, score(x)).withColumn(
-        name, F.when(n >= MIN_ROWS, F.col(name)).otherwise(F.lit(0.0))
-    )
+    return df.withColumn(name, score(F.array(*[F.col(f).cast("double") for f in features])))
 
 
 def normalized(df: DataFrame, source: str, name: str) -> DataFrame:
     """Min-max to [0, 1]; 0 for all rows when the range is under 1e-12."""
-    ends = df.agg(F.struct(F.min(source).alias("lo"), F.max(source).alias("hi"))).scalar()
-    width = ends["hi"] - ends["lo"]
-    value = (F.col(source) - ends["lo"]) / width
-    return df.withColumn(name, F.when(width >= 1e-12, value).otherwise(F.lit(0.0)))
+    low, high = df.agg(F.min(source), F.max(source)).first()
+    if low is None or high - low < 1e-12:
+        return df.withColumn(name, F.lit(0.0))
+    return df.withColumn(name, (F.col(source) - F.lit(low)) / F.lit(high - low))

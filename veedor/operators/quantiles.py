@@ -6,11 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from veedor.runtime import stage
+from veedor.runtime import single_value, stage
 
-# Buckets per factor e of magnitude. A quantile only ever looks inside the one or two
-# buckets that hold its ranks.
+# Buckets per factor e of magnitude, and finer ones inside a bucket. A quantile only ever
+# looks at the values of the one or two fine buckets that hold its ranks.
 BUCKETS_PER_E = 1024
+FINE_BUCKETS = 1024
 
 
 def _bucket(value: Column) -> Column:
@@ -19,8 +20,24 @@ def _bucket(value: Column) -> Column:
     return F.when(value < 0, -size).otherwise(size)
 
 
-def _same(left: DataFrame, right: DataFrame, columns: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in columns])
+def _fine(value: Column, low: Column, high: Column) -> Column:
+    """Equal-width bucket between the smallest and largest value of a coarse one."""
+    share = (value / 2 - low / 2) / (high / 2 - low / 2)
+    return F.when(high > low, F.floor(share * (FINE_BUCKETS - 1))).otherwise(F.lit(0))
+
+
+def _running(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Add ``_upto``: rows counted in ``_n`` up to and including this one, within ``keys``."""
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    upto = group.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn("_upto", F.sum("_n").over(upto))
+
+
+def _join_targets(values: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    renamed = targets.withColumnsRenamed({c: f"_t{c}" for c in keys})
+    same = [values[c].eqNullSafe(renamed[f"_t{c}"]) for c in keys]
+    joined = values.join(renamed, reduce(lambda a, b: a & b, same))
+    return joined.drop(*[f"_t{c}" for c in keys])
 
 
 def exact_quantiles(
@@ -33,7 +50,8 @@ def exact_quantiles(
 
     1. Count values per (group, bucket): map-side combined, a small table.
     2. Running counts tell which buckets hold the wanted ranks.
-    3. Only values of those buckets are shuffled, counted per distinct value and ranked.
+    3. Only values of those buckets are shuffled, as counts of distinct values, and the same
+       two steps over fine buckets leave a handful of values to rank.
 
     A group with a third of all rows is spread over its buckets, unlike an exact
     ``percentile``, which keeps every distinct value of a group in one buffer.
@@ -41,58 +59,57 @@ def exact_quantiles(
     v = F.col(value).cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     values = df.where(finite).select(*by, v.alias("_v"), _bucket(v).alias("_b"))
-
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    up_to = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    histogram = (
-        values.groupBy(*by, "_b")
-        .agg(F.count("*").alias("_n"))
-        .withColumns(
-            {
-                "_before": F.sum("_n").over(up_to) - F.col("_n"),
-                "_total": F.sum("_n").over(group.orderBy("_b").rowsBetween(
-                    Window.unboundedPreceding, Window.unboundedFollowing)),
-            }
-        )
-    )
+    group, coarse = list(by), [*by, "_b"]
 
     def position(p: float) -> Column:
         return F.lit(float(p)) * (F.col("_total") - 1)
 
-    def holds(rank: Column, before: Column, n: Column) -> Column:
-        return (rank >= before) & (rank < before + n)
+    def holds(rank: Column) -> Column:
+        """Whether the rows before ``_upto`` and not before ``_upto - _n`` include the rank."""
+        return (rank >= F.col("_upto") - F.col("_n")) & (rank < F.col("_upto"))
 
-    ranks = [f(position(p)) for p in probs.values() for f in (F.floor, F.ceil)]
-    wanted = reduce(
-        lambda a, b: a | b, [holds(r, F.col("_before"), F.col("_n")) for r in ranks]
+    ranks = [side(position(p)) for p in probs.values() for side in (F.floor, F.ceil)]
+    wanted = reduce(lambda a, b: a | b, [holds(r) for r in ranks])
+
+    histogram = values.groupBy(*coarse).agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    )
+    totals = Window.partitionBy(*group) if by else Window.partitionBy(F.lit(0))
+    targets = (
+        _running(histogram, group, "_b")
+        .withColumn("_total", F.max("_upto").over(totals))
+        .where(wanted)
+        .select(*coarse, (F.col("_upto") - F.col("_n")).alias("_before"), "_total", "_lo", "_hi")
     )
-    targets = histogram.where(wanted).select(*by, "_b", "_before", "_total")
     if by:
         # Two buckets per group and quantile: Spark broadcasts the staged table if it is small.
         targets = stage(targets, "quantile-buckets")
     else:
         targets = F.broadcast(targets)  # one group: at most two rows per quantile
 
-    keys = [*by, "_b"]
-    target_side = targets.withColumnsRenamed({c: f"_t{c}" for c in keys})
-    condition = reduce(
-        lambda a, b: a & b,
-        [values["_b"] == target_side["_t_b"]]
-        + [values[c].eqNullSafe(target_side[f"_t{c}"]) for c in by],
-    )
-    inside = values.join(target_side, condition).groupBy(*keys, "_before", "_total", "_v").agg(
-        F.count("*").alias("_n")
+    fine = [*coarse, "_f"]
+    distinct = (
+        _join_targets(values, targets, coarse)
+        .withColumn("_f", _fine(F.col("_v"), F.col("_lo"), F.col("_hi")))
+        .groupBy(*fine, "_before", "_total", "_v")
+        .agg(F.count("*").alias("_n"))
     )
-    within = Window.partitionBy(*keys).orderBy("_v").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    per_fine = distinct.groupBy(*fine, "_before", "_total").agg(F.sum("_n").alias("_n"))
+    fine_targets = (
+        _running(per_fine, coarse, "_f")
+        .withColumn("_upto", F.col("_upto") + F.col("_before"))
+        .where(wanted)
+        .select(*fine, (F.col("_upto") - F.col("_n")).alias("_start"))
     )
-    placed = inside.withColumn("_before", F.col("_before") + F.sum("_n").over(within) - F.col("_n"))
+    if not by:
+        fine_targets = F.broadcast(fine_targets)
+    few = _join_targets(distinct, fine_targets, fine)
+    placed = _running(few, fine, "_v").withColumn("_upto", F.col("_upto") + F.col("_start"))
 
     picks = []
     for i, p in enumerate(probs.values()):
         for side, rank in (("lo", F.floor(position(p))), ("hi", F.ceil(position(p)))):
-            held = holds(rank, F.col("_before"), F.col("_n"))
-            picks.append(F.max(F.when(held, F.col("_v"))).alias(f"_{side}{i}"))
+            picks.append(F.max(F.when(holds(rank), F.col("_v"))).alias(f"_{side}{i}"))
     picked = placed.groupBy(*by).agg(F.max("_total").alias("_total"), *picks)
 
     def between(i: int, p: float) -> Column:
@@ -104,3 +121,8 @@ def exact_quantiles(
     return picked.select(
         *by, *[between(i, p).alias(name) for i, (name, p) in enumerate(probs.items())]
     )
+
+
+def quantile_value(df: DataFrame, value: str, p: float) -> Column:
+    """One quantile of the whole column as a literal; NULL without values."""
+    return F.lit(single_value(exact_quantiles(df, value, {"q": p}))).cast("double")

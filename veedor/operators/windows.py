@@ -17,9 +17,12 @@ def _micros_in_hour(stamp: Column) -> Column:
     return F.minute(stamp).cast("bigint") * 60_000_000 + (seconds * 1_000_000).cast("bigint")
 
 
-def trailing_counts(df: DataFrame, keys: tuple[str, ...], stamp: str, days: int) -> DataFrame:
+def trailing_counts(
+    df: DataFrame, keys: tuple[str, ...], stamp: str, days: int, weight: Column | None = None
+) -> DataFrame:
     """For each key and distinct time: ``n_filas`` rows at that time and ``n_ventana`` rows in
-    ``[time - days, time]``, both ends included. Rows without a time are left out.
+    ``[time - days, time]``, both ends included. Rows without a time are left out. ``weight`` is
+    what a row counts, 1 by default.
 
     Equals ``count(*) over (partition by keys order by stamp range between interval days day
     preceding and current row)``, but a key's rows never meet in one task:
@@ -33,7 +36,7 @@ def trailing_counts(df: DataFrame, keys: tuple[str, ...], stamp: str, days: int)
     ticks = (
         df.where(at.isNotNull())
         .groupBy(*keys, stamp)
-        .agg(F.count("*").alias("n_filas"))
+        .agg(F.sum(F.lit(1) if weight is None else weight).alias("n_filas"))
         .withColumns({"_hour": _hour_index(at), "_off": _micros_in_hour(at)})
     )
     none = F.lit(0).cast("bigint")

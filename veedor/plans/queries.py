@@ -12,7 +12,7 @@ from veedor.functions.parsing import parse_timestamp
 from veedor.operators import concentration, explore, listing, places, publish, quality, scope, signals
 from veedor.operators.isolation import fit_forest, normalized, with_anomaly
 from veedor.operators.pairs import MODEL_FEATURES, analyzed, burst_peaks, model_features, pair_features
-from veedor.operators.quantiles import exact_quantiles
+from veedor.operators.quantiles import exact_quantiles, quantile_value
 from veedor.operators.rules import RULES, rule_catalog, with_rules
 from veedor.operators.scope import DateBucket, Scope
 from veedor.operators.windows import trailing_counts
@@ -518,7 +518,7 @@ def _staged_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query
 def rule_scores(spark, d):
     large = _staged_pairs(spark, d).where(F.col("n_contratos") >= 2)
-    limit = exact_quantiles(large, "costo_dia_promedio", {"p90": 0.9}).scalar()
+    limit = quantile_value(large, "costo_dia_promedio", 0.9)
     ruled = with_rules(large, limit, burst_min=2)
     return ruled.select(*PAIR_KEYS, *RULES, F.round("score_reglas", 2).alias("score_reglas"), "reglas_disparadas")
 
@@ -527,7 +527,7 @@ def rule_scores(spark, d):
 def rule_firing(spark, d):
     """The rule catalog with the number of pairs that fire each rule."""
     large = _staged_pairs(spark, d).where(F.col("n_contratos") >= 2)
-    limit = exact_quantiles(large, "costo_dia_promedio", {"p90": 0.9}).scalar()
+    limit = quantile_value(large, "costo_dia_promedio", 0.9)
     fired = with_rules(large, limit, burst_min=2).agg(*[F.count_if(F.col(r)).alias(r) for r in RULES])
     long = fired.unpivot([], list(RULES), "regla", "n_pares")
     return rule_catalog(spark).join(long, "regla")
@@ -671,6 +671,17 @@ def cast_error_counts(spark, d):
     return publish.error_counts(_cleaned(spark, d).errors)
 
 
+@query
+def guessed_types(spark, d):
+    orders = table(spark, d, "orders")
+    text = orders.select(
+        *[F.col(c).cast("string").alias(c) for c in orders.columns],
+        (F.col("o_totalprice") > 200000).cast("string").alias("caro"),
+        F.lit(" ").alias("vacia"),
+    )
+    return publish.guess_types(text)
+
+
 @query
 def row_id_check(spark, d):
     lines = table(spark, d, "lineitem")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from veedor.operators.isolation import fit_forest, normalized, with_anomaly
 from veedor.operators.pairs import BURST_DAYS, MODEL_FEATURES, model_features, pair_features
 from veedor.operators.quality import population_counts
-from veedor.operators.quantiles import exact_quantiles
+from veedor.operators.quantiles import quantile_value
 from veedor.operators.rules import BURST_MIN, clip01, explanation, rule_catalog, with_rules
 from veedor.runtime import stage
 from veedor.schema import PAIR_KEYS
@@ -60,8 +60,7 @@ def score_pairs(pairs: DataFrame, options: RiskOptions) -> DataFrame:
     values they were taken from.
     """
     large = pairs.where(F.col("n_contratos") >= options.min_pair_contracts)
-    cost_limit = exact_quantiles(large, "costo_dia_promedio", {"p90": 0.90}).scalar()
-    ruled = with_rules(large, cost_limit, options.burst_min)
+    ruled = with_rules(large, quantile_value(large, "costo_dia_promedio", 0.90), options.burst_min)
     wr, wm = options.weights()
     if wm > 0:
         inputs = model_features(ruled)
@@ -73,10 +72,10 @@ def score_pairs(pairs: DataFrame, options: RiskOptions) -> DataFrame:
     blended = modelled.withColumn(
         "score_final", clip01(F.lit(wr) * F.col("score_reglas") + F.lit(wm) * F.col("score_anomalia"))
     )
-    enough = blended.agg(F.count("*")).scalar() >= 2
-    share = options.alert_percentile / 100.0
-    threshold = exact_quantiles(blended, "score_final", {"umbral": share}).scalar()
-    return blended.where(enough).withColumns(
+    if blended.limit(2).count() < 2:
+        blended = blended.where(F.lit(False))
+    threshold = quantile_value(blended, "score_final", options.alert_percentile / 100.0)
+    return blended.withColumns(
         {"alerta": F.col("score_final") >= threshold, "razon_priorizacion": explanation()}
     )
 
@@ -98,15 +97,15 @@ def run_risk(enriched: DataFrame, options: RiskOptions = RiskOptions()) -> RiskR
     wr, wm = options.weights()
     large = pairs.where(F.col("n_contratos") >= options.min_pair_contracts)
 
-    def number(df: DataFrame, value: Column = F.count("*")) -> Column:
-        return df.agg(value).scalar()
-
+    sizes = {
+        "n_pairs": pairs.count(),
+        "n_pairs_scored": large.count(),
+        "n_alerts": scored.where("alerta").count(),
+    }
     run = population_counts(enriched).withColumns(
         {
-            "n_pairs": number(pairs),
-            "n_pairs_scored": number(large),
-            "n_alerts": number(scored, F.count_if(F.col("alerta"))),
-            "costo_dia_p90": exact_quantiles(large, "costo_dia_promedio", {"p": 0.90}).scalar(),
+            **{name: F.lit(n).cast("bigint") for name, n in sizes.items()},
+            "costo_dia_p90": quantile_value(large, "costo_dia_promedio", 0.90),
             "alert_percentile": F.lit(float(options.alert_percentile)),
             "weight_rules": F.lit(wr),
             "weight_if": F.lit(wm),

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_PATHS: dict[str, list[str]] = {}
 
 
 def get_session(app: str = "veedor", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,7 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what this application staged; results that read it must be done."""
+    paths = _PATHS.pop(spark.sparkContext.applicationId, [])
+    configuration = spark.sparkContext._jsc.hadoopConfiguration()
+    for text in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(text)
+        path.getFileSystem(configuration).delete(path, True)
+    return len(paths)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -59,6 +72,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def single_value(df: DataFrame):
+    """The one value of a one-row, one-column result (a count, a threshold); None without rows.
+
+    As a literal it is compared in the scan; as a nested subquery every later expression
+    would carry the plan it came from.
+    """
+    row = df.first()
+    return None if row is None else row[0]
+
+
 def spread_small(df: DataFrame, key: str) -> DataFrame:
     """Give a file scan with fewer splits than cores one partition per core, by ``key``.
 

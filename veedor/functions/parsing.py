@@ -89,17 +89,3 @@ def parse_export_date(raw: Column, order: str = "mdy") -> Column:
         text.contains(":"), timed + F.make_dt_interval(hours=shift)
     ).otherwise(F.regexp_replace(text, _SLASH_DAY, day).try_cast("timestamp_ntz"))
     return F.when(text.contains("/"), slashed).otherwise(parse_timestamp(raw))
-
-
-def ntz(text: str) -> Column:
-    """TIMESTAMP_NTZ literal."""
-    return F.lit(text).cast("timestamp_ntz")
-
-
-def year_start(year: int) -> Column:
-    return ntz(f"{year:04d}-01-01 00:00:00")
-
-
-def in_year(stamp: Column, year: int) -> Column:
-    """Half-open range, which reaches the Parquet scan; ``year(x) = y`` would not."""
-    return (stamp >= year_start(year)) & (stamp < year_start(year + 1))

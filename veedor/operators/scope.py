@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veedor.functions.parsing import in_year, ntz
+from veedor.functions.times import in_year, ntz
 
 
 @dataclass(frozen=True)

@@ -4,17 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_HOUR_MICROS = 3_600_000_000
-
-
-def _hour_index(stamp: Column) -> Column:
-    days = F.datediff(stamp, F.lit("1970-01-01").cast("date")).cast("bigint")
-    return days * 24 + F.hour(stamp)
-
-
-def _micros_in_hour(stamp: Column) -> Column:
-    seconds = F.extract(F.lit("SECOND"), stamp)
-    return F.minute(stamp).cast("bigint") * 60_000_000 + (seconds * 1_000_000).cast("bigint")
+from veedor.functions.times import epoch_hour, micros_in_hour
 
 
 def trailing_counts(
@@ -37,7 +27,7 @@ def trailing_counts(
         df.where(at.isNotNull())
         .groupBy(*keys, stamp)
         .agg(F.sum(F.lit(1) if weight is None else weight).alias("n_filas"))
-        .withColumns({"_hour": _hour_index(at), "_off": _micros_in_hour(at)})
+        .withColumns({"_hour": epoch_hour(at), "_off": micros_in_hour(at)})
     )
     none = F.lit(0).cast("bigint")
     no_time = F.lit(None).cast(df.schema[stamp].dataType)

@@ -763,10 +763,6 @@ def _contract_feed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return feeds.contract_feed(spark, arrived.inputFiles()[0].rsplit("/", 1)[0], arrived.schema)
 
 
-def _plain_window(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("desde", "hasta")})
-
-
 @query
 def stream_flags(spark, d):
     return feeds.run_available(feeds.flag_feed(_contract_feed(spark, d)), "stream-flags")
@@ -775,20 +771,20 @@ def stream_flags(spark, d):
 @query
 def stream_daily_counts(spark, d):
     counts = feeds.period_counts(_event_feed(spark, d), "ts", "1 day", "1 day", "event_type")
-    return _plain_window(feeds.run_available(counts, "stream-daily"))
+    return feeds.run_available(counts, "stream-daily")
 
 
 @query
 def stream_burst(spark, d):
     feed = _contract_feed(spark, d, "ciudad", "doc_proveedor", "fecha_inicio")
     bursts = feeds.burst_feed(feed, "fecha_inicio", ("ciudad", "doc_proveedor"), 10, 3, "30 days")
-    return _plain_window(feeds.run_available(bursts, "stream-burst"))
+    return feeds.run_available(bursts, "stream-burst")
 
 
 @query
 def stream_sessions(spark, d):
     found = feeds.activity_sessions(_event_feed(spark, d), "ts", "user_id", "6 hours", "1 day")
-    return _plain_window(feeds.run_available(found, "stream-sessions"))
+    return feeds.run_available(found, "stream-sessions")
 
 
 @query

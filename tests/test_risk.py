@@ -104,3 +104,34 @@ def test_normalized(spark):
     assert sorted(r.y for r in normalized(df, "x", "y").collect()) == [0, 0.5, 1]
     flat = spark.createDataFrame([(1.0,), (1.0,)], "x double")
     assert [r.y for r in normalized(flat, "x", "y").collect()] == [0, 0]
+
+
+def test_scores_follow_the_paths(spark):
+    """Every row's score from its path through each tree, one step at a time."""
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(400, 3))
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "id int, a double, b double, c double")
+    forest = fit_forest(df, ("a", "b", "c"), ("id",), trees=10, sample=64)
+
+    def path(tree, point):
+        node = 0
+        while tree["variable"][node] >= 0:
+            left = point[tree["variable"][node]] < tree["corte"][node]
+            node = tree["izquierda" if left else "derecha"][node]
+        return tree["largo"][node]
+
+    expected = [2 ** (-np.mean([path(t, p) for t in forest.trees]) / forest.scale) for p in points]
+    assert forest.score(points) == pytest.approx(expected)
+    harmonic = sum(1 / k for k in range(1, 64))
+    assert forest.scale == pytest.approx(2 * harmonic - 2 * 63 / 64, abs=0.02)
+    assert all(len(t["largo"]) <= 127 and max(t["largo"]) >= 4 for t in forest.trees)
+    got = with_anomaly(df, ("a", "b", "c"), forest, "s").orderBy("id").collect()
+    assert [r.s for r in got] == pytest.approx(expected)
+
+
+def test_scope_of_one_year(make):
+    rows = [{"fecha_inicio": f"20{20 + i % 2}-03-0{1 + i % 3}", "fecha_fin": "2023-01-01", "doc_proveedor": f"D{i % 7}"} for i in range(60)]
+    from veedor.operators.scope import Scope
+
+    run = run_risk(Scope("Bolívar", None, 2020).apply(enrich(make(*rows)))).run.collect()[0]
+    assert (run.total, run.n_analyzed) == (30, 30)

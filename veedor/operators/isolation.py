@@ -166,11 +166,12 @@ def with_anomaly(df: DataFrame, features: tuple[str, ...], forest: Forest, name:
     model = df.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in parts:
-            yield pd.Series(model.value.score(np.vstack(x.to_numpy()))) if len(x) else pd.Series([], dtype=float)
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(model.value.score(batch.to_numpy(dtype=float)), dtype=float)
 
-    return df.withColumn(name, score(F.array(*[F.col(f).cast("double") for f in features])))
+    inputs = F.struct(*[F.col(f).cast("double").alias(f) for f in features])
+    return df.withColumn(name, score(inputs))
 
 
 def normalized(df: DataFrame, source: str, name: str) -> DataFrame:

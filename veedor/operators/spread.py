@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,19 +37,25 @@ def attach_stats(
 
 
 def attach_total(
-    rows: DataFrame, key: str, measure: str, name: str, spread_by: tuple[str, ...]
+    rows: DataFrame,
+    key: str,
+    measure: str,
+    name: str,
+    spread_by: tuple[str, ...],
+    combine: Callable[[str], Column] = F.sum,
 ) -> DataFrame:
-    """Add the sum of ``measure`` over all rows with the same key; rows with a NULL key drop out.
+    """Add the sum (or ``F.min``, ``F.max``) of ``measure`` over all rows with the same key; rows
+    with a NULL key drop out.
 
     Meant for many groups of which a few are hot. Sums are taken per (key, salt) first, so
     the second step sees at most SALTS rows per key, and the total goes back only to the
     (key, salt) pairs that exist.
     """
     salted = rows.where(F.col(key).isNotNull()).withColumn("_salt", _salt(spread_by))
-    partial = salted.groupBy(key, "_salt").agg(F.sum(measure).alias("_part"))
+    partial = salted.groupBy(key, "_salt").agg(combine(measure).alias("_part"))
     totals = (
         partial.groupBy(key)
-        .agg(F.sum("_part").cast("bigint").alias(name), F.collect_list("_salt").alias("_salts"))
+        .agg(combine("_part").alias(name), F.collect_list("_salt").alias("_salts"))
         .select(key, name, F.explode("_salts").alias("_salt"))
     )
     return salted.join(totals, [key, "_salt"]).drop("_salt")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from veedor.functions.flags import is_direct
 from veedor.functions.parsing import is_present
-from veedor.operators.listing import ranked
+from veedor.operators.listing import first_rows, ranked
 from veedor.operators.spread import attach_total
 from veedor.operators.windows import trailing_counts
 from veedor.schema import PAIR_KEYS
@@ -30,13 +30,14 @@ def concentration_index(df: DataFrame) -> DataFrame:
     return pairs.withColumn("indice_concentracion", share)
 
 
-def top_concentration(df: DataFrame, limit: int = TOP_PAIRS) -> DataFrame:
+def top_concentration(df: DataFrame, limit: int | None = TOP_PAIRS) -> DataFrame:
     """Highest shares first, then larger pairs, then key."""
-    return concentration_index(df).orderBy(
+    order = [
         F.col("indice_concentracion").desc_nulls_last(),
         F.col("contratos_par").desc(),
         *[F.col(k).asc_nulls_last() for k in PAIR_KEYS],
-    ).limit(limit)
+    ]
+    return first_rows(concentration_index(df), order, limit)
 
 
 def trailing_concentration(df: DataFrame, days: int = 365) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veedor.functions.flags import cost_per_day, plottable
-from veedor.operators.listing import ranked
+from veedor.operators.listing import first_rows, page_order, ranked
 from veedor.operators.quantiles import exact_quantiles, quantile_value
 
 TOP_MODALITIES = 15
@@ -37,14 +37,13 @@ def scatter_points(enriched: DataFrame) -> DataFrame:
     return enriched.where(plottable()).withColumn("costo_por_dia", cost_per_day())
 
 
-def scatter_sample(enriched: DataFrame, limit: int = SCATTER_ROWS) -> DataFrame:
+def scatter_sample(enriched: DataFrame, limit: int | None = SCATTER_ROWS) -> DataFrame:
     """The first eligible contracts by id (not a random sample)."""
     points = scatter_points(enriched).select(
         "id_contrato", "valor_num", "duracion_dias", "costo_por_dia",
         "modalidad", "tipo_contrato", "nombre_entidad", "proveedor",
     )
-    rest = [F.col(c).asc_nulls_last() for c in points.columns if c != "id_contrato"]
-    return points.orderBy(F.col("id_contrato").asc_nulls_last(), *rest).limit(limit)
+    return first_rows(points, page_order(points), limit)
 
 
 def trim_at_p99(points: DataFrame, value: str = "costo_por_dia") -> DataFrame:

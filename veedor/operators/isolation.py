@@ -57,14 +57,20 @@ class Forest:
 
 
 def draw_samples(
-    df: DataFrame, features: tuple[str, ...], keys: tuple[str, ...], trees: int, sample: int, seed: int
+    df: DataFrame,
+    features: tuple[str, ...],
+    keys: tuple[str, ...],
+    trees: int,
+    sample: int,
+    seed: int,
+    n: int,
 ) -> DataFrame:
-    """(arbol, u, x): at most ``sample`` rows per tree, chosen by hashing the row key.
+    """(arbol, u, h, x): of ``n`` rows at most ``sample`` rows per tree, chosen by hashing the row key.
 
     The choice does not depend on partitioning. With many rows each is offered to one tree by
     a single hash; with few, to every tree.
     """
-    ratio = _SPARE * sample / max(df.count(), 1)
+    ratio = _SPARE * sample / max(n, 1)
     share = F.lit(ratio)
 
     def unit(*parts: Column) -> Column:
@@ -91,7 +97,14 @@ def draw_samples(
         lambda c: c["u"] < share,
     )
     offers = one_tree if ratio * trees <= 1.0 else every_tree
-    offered = base.select("x", "h", F.explode(offers).alias("o")).select("x", "h", "o.arbol", "o.u")
+    # A fixed number of partitions: these few rows are otherwise merged into one task, and
+    # all trees would grow there.
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    offered = (
+        base.select("x", "h", F.explode(offers).alias("o"))
+        .select("x", "h", "o.arbol", "o.u")
+        .repartition(tasks, "arbol")
+    )
     rank = F.row_number().over(Window.partitionBy("arbol").orderBy("u", "h", "x"))
     return offered.withColumn("_r", rank).where(F.col("_r") <= sample).select("arbol", "u", "h", "x")
 
@@ -148,9 +161,13 @@ def fit_forest(
     trees: int = TREES,
     sample: int = SAMPLE,
     seed: int = 42,
+    n: int | None = None,
 ) -> Forest:
-    """Grow one tree per task group; only the finished trees (bounded) reach the driver."""
-    drawn = draw_samples(df, features, keys, trees, sample, seed)
+    """Grow the trees in parallel; only the finished ones (bounded) reach the driver.
+
+    ``n`` is the row count when it is already known.
+    """
+    drawn = draw_samples(df, features, keys, trees, sample, seed, df.count() if n is None else n)
     grown = drawn.groupBy("arbol").applyInPandas(_grow(sample, seed), _TREE_SCHEMA).collect()
     flat = [
         {c: np.asarray(row[c]) for c in ("variable", "corte", "izquierda", "derecha", "largo")}
@@ -159,9 +176,11 @@ def fit_forest(
     return Forest(flat, _expected_path(max((row["filas"] for row in grown), default=0)))
 
 
-def with_anomaly(df: DataFrame, features: tuple[str, ...], forest: Forest, name: str) -> DataFrame:
+def with_anomaly(
+    df: DataFrame, features: tuple[str, ...], forest: Forest, name: str, n: int | None = None
+) -> DataFrame:
     """Add the anomaly score in (0, 1); with fewer than MIN_ROWS rows it is 0 for all."""
-    if df.count() < MIN_ROWS:
+    if (df.count() if n is None else n) < MIN_ROWS:
         return df.withColumn(name, F.lit(0.0))
     model = df.sparkSession.sparkContext.broadcast(forest)
 

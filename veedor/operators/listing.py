@@ -86,6 +86,16 @@ def city_list(df: DataFrame) -> DataFrame:
     return df.groupBy("departamento", label.alias("ciudad")).agg(F.count("*").alias("n_contratos"))
 
 
+def first_rows(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """Sorted rows up to a limit; with None all of them.
+
+    A limit keeps its rows in one task at the end, so ask for everything with None, not
+    with a very large number.
+    """
+    ordered = df.orderBy(*order)
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def ranked(df: DataFrame, measure: str, *keys: str) -> DataFrame:
     """Largest measure first, ties by key."""
     return df.orderBy(F.col(measure).desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in keys])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veedor.functions.flags import any_flag, bad_dates, bad_duration, discarded, enriched_columns
+from veedor.operators.listing import first_rows, page_order
 from veedor.schema import FLAG_COLUMNS
 
 # Flag -> label of the distribution chart.
@@ -71,8 +72,7 @@ def quality_kpis(enriched: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def quality_sample(enriched: DataFrame, limit: int = 500) -> DataFrame:
+def quality_sample(enriched: DataFrame, limit: int | None = 500) -> DataFrame:
     """First contracts by id with every measure and flag; ties by all columns."""
     rows = enriched_columns(enriched)
-    rest = [F.col(c).asc_nulls_last() for c in rows.columns if c != "id_contrato"]
-    return rows.orderBy(F.col("id_contrato").asc_nulls_last(), *rest).limit(limit)
+    return first_rows(rows, page_order(rows), limit)

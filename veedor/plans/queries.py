@@ -16,7 +16,7 @@ from veedor.operators.quantiles import exact_quantiles, quantile_value
 from veedor.operators.rules import RULES, rule_catalog, with_rules
 from veedor.operators.scope import DateBucket, Scope
 from veedor.operators.windows import trailing_counts
-from veedor.plans.risk import RiskOptions, rank, run_risk, score_pairs
+from veedor.plans.risk import RiskOptions, run_risk
 from veedor.runtime import new_path, stage
 from veedor.schema import EXPORT_COLUMNS, PAIR_KEYS
 from veedor.sources import catalog, export, geojson
@@ -535,9 +535,8 @@ def rule_firing(spark, d):
 
 @query
 def rules_ranking(spark, d):
-    ranked = rank(score_pairs(_staged_pairs(spark, d), RULES_ONLY), None)
     return _fix(
-        ranked, suma_valor=2, ratio_directa=5, concentracion_entidad=8, score_final=5,
+        run_risk(_enriched(spark, d), RULES_ONLY).ranking, suma_valor=2, ratio_directa=5, concentracion_entidad=8, score_final=5,
         score_reglas=5, score_anomalia=5,
     )
 

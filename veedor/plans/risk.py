@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from veedor.operators.isolation import fit_forest, normalized, with_anomaly
 from veedor.operators.pairs import BURST_DAYS, MODEL_FEATURES, model_features, pair_features
@@ -43,43 +43,83 @@ class RiskOptions:
 
 @dataclass(frozen=True)
 class RiskResult:
-    """``scored`` holds every scored pair, ``ranking`` the alerts of the display list; ``run``
-    is one row with counts, thresholds and parameters."""
+    """``pairs``: features of all pairs; ``scored``: every pair large enough, with scores, alert
+    and explanation."""
 
+    contracts: DataFrame
     pairs: DataFrame
     scored: DataFrame
-    ranking: DataFrame
-    run: DataFrame
-    rules: DataFrame
-
-
-def score_pairs(pairs: DataFrame, options: RiskOptions) -> DataFrame:
-    """Rules, model, blend, alert and explanation of all pairs large enough.
+    options: RiskOptions
+    cost_limit: Column
+    n_scored: int
+
+    @property
+    def ranking(self) -> DataFrame:
+        """The alerts of the display list."""
+        return rank(self.scored, self.options.display_limit)
+
+    @property
+    def rules(self) -> DataFrame:
+        return rule_catalog(self.scored.sparkSession)
+
+    @property
+    def run(self) -> DataFrame:
+        """One row: contract counts, pair counts, thresholds and parameters."""
+        wr, wm = self.options.weights()
+        n_alerts = self.scored.where("alerta").count()
+        return population_counts(self.contracts).withColumns(
+            {
+                "n_pairs": F.lit(self.pairs.count()).cast("bigint"),
+                "n_pairs_scored": F.lit(self.n_scored).cast("bigint"),
+                "n_alerts": F.lit(n_alerts).cast("bigint"),
+                "tasa_alerta": F.lit(n_alerts / max(1, self.n_scored)),
+                "costo_dia_p90": self.cost_limit,
+                "alert_percentile": F.lit(float(self.options.alert_percentile)),
+                "weight_rules": F.lit(wr),
+                "weight_if": F.lit(wm),
+                "burst_window_days": F.lit(self.options.burst_days),
+                "burst_min_contracts": F.lit(self.options.burst_min),
+                "min_pair_contracts": F.lit(self.options.min_pair_contracts),
+            }
+        )
+
+
+def _with_model(ruled: DataFrame, options: RiskOptions, n: int) -> DataFrame:
+    inputs = model_features(ruled)
+    forest = fit_forest(inputs, MODEL_FEATURES, PAIR_KEYS, seed=options.seed, n=n)
+    raw = with_anomaly(inputs, MODEL_FEATURES, forest, "_crudo", n).drop(*MODEL_FEATURES)
+    return normalized(stage(raw, "pair-scores"), "_crudo", "score_anomalia").drop("_crudo")
+
+
+def score_pairs(
+    pairs: DataFrame, options: RiskOptions, cost_limit: Column, n: int
+) -> DataFrame:
+    """Rules, model, blend, alert and explanation of the ``n`` pairs large enough.
 
     ``pairs`` must be staged: it is read several times and thresholds must meet the very
-    values they were taken from.
+    values they were taken from. With fewer than two pairs nothing is scored.
     """
-    large = pairs.where(F.col("n_contratos") >= options.min_pair_contracts)
-    ruled = with_rules(large, quantile_value(large, "costo_dia_promedio", 0.90), options.burst_min)
+    ruled = with_rules(large_pairs(pairs, options), cost_limit, options.burst_min)
     wr, wm = options.weights()
-    if wm > 0:
-        inputs = model_features(ruled)
-        forest = fit_forest(model_features(large), MODEL_FEATURES, PAIR_KEYS, seed=options.seed)
-        raw = with_anomaly(inputs, MODEL_FEATURES, forest, "_crudo").drop(*MODEL_FEATURES)
-        modelled = normalized(stage(raw, "pair-scores"), "_crudo", "score_anomalia").drop("_crudo")
+    if n < 2:
+        modelled = ruled.where(F.lit(False)).withColumn("score_anomalia", F.lit(0.0))
+    elif wm > 0:
+        modelled = _with_model(ruled, options, n)
     else:
         modelled = ruled.withColumn("score_anomalia", F.lit(0.0))
     blended = modelled.withColumn(
         "score_final", clip01(F.lit(wr) * F.col("score_reglas") + F.lit(wm) * F.col("score_anomalia"))
     )
-    if blended.limit(2).count() < 2:
-        blended = blended.where(F.lit(False))
     threshold = quantile_value(blended, "score_final", options.alert_percentile / 100.0)
     return blended.withColumns(
         {"alerta": F.col("score_final") >= threshold, "razon_priorizacion": explanation()}
     )
 
 
+def large_pairs(pairs: DataFrame, options: RiskOptions) -> DataFrame:
+    return pairs.where(F.col("n_contratos") >= options.min_pair_contracts)
+
+
 def rank(scored: DataFrame, limit: int | None) -> DataFrame:
     """Alerts by score, ties by contracts and key."""
     alerts = scored.where("alerta").select(*RANKING_COLUMNS)
@@ -93,30 +133,8 @@ def rank(scored: DataFrame, limit: int | None) -> DataFrame:
 def run_risk(enriched: DataFrame, options: RiskOptions = RiskOptions()) -> RiskResult:
     """The whole analysis over the contracts of one scope."""
     pairs = stage(pair_features(enriched, options.burst_days), "pairs")
-    scored = score_pairs(pairs, options)
-    wr, wm = options.weights()
-    large = pairs.where(F.col("n_contratos") >= options.min_pair_contracts)
-
-    sizes = {
-        "n_pairs": pairs.count(),
-        "n_pairs_scored": large.count(),
-        "n_alerts": scored.where("alerta").count(),
-    }
-    run = population_counts(enriched).withColumns(
-        {
-            **{name: F.lit(n).cast("bigint") for name, n in sizes.items()},
-            "costo_dia_p90": quantile_value(large, "costo_dia_promedio", 0.90),
-            "alert_percentile": F.lit(float(options.alert_percentile)),
-            "weight_rules": F.lit(wr),
-            "weight_if": F.lit(wm),
-            "burst_window_days": F.lit(options.burst_days),
-            "burst_min_contracts": F.lit(options.burst_min),
-            "min_pair_contracts": F.lit(options.min_pair_contracts),
-        }
-    ).withColumn(
-        "tasa_alerta",
-        F.coalesce(F.try_divide(F.col("n_alerts").cast("double"), F.col("n_pairs_scored")), F.lit(0.0)),
-    )
-    return RiskResult(
-        pairs, scored, rank(scored, options.display_limit), run, rule_catalog(enriched.sparkSession)
-    )
+    large = large_pairs(pairs, options)
+    n = large.count()
+    cost_limit = quantile_value(large, "costo_dia_promedio", 0.90)
+    scored = score_pairs(pairs, options, cost_limit, n)
+    return RiskResult(enriched, pairs, scored, options, cost_limit, n)

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+# The functions below travel to the executors whole: they need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TREES = 100
 SAMPLE = 256
 MIN_ROWS = 10
@@ -38,22 +43,27 @@ class Forest:
     scale: float
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        if not self.trees or self.scale == 0.0:
-            return np.zeros(len(rows))
-        total = np.zeros(len(rows))
-        line = np.arange(len(rows))
-        for tree in self.trees:
-            node = np.zeros(len(rows), dtype=np.int64)
-            while True:
-                variable = tree["variable"][node]
-                inner = variable >= 0
-                if not inner.any():
-                    break
-                left = rows[line, np.maximum(variable, 0)] < tree["corte"][node]
-                child = np.where(left, tree["izquierda"][node], tree["derecha"][node])
-                node = np.where(inner, child, node)
-            total += tree["largo"][node]
-        return np.exp2(-total / len(self.trees) / self.scale)
+        return _score_rows(self.trees, self.scale, rows)
+
+
+def _score_rows(trees: list[dict], scale: float, rows: np.ndarray) -> np.ndarray:
+    """2 ** (-mean path / scale) of every row, one tree level at a time for all rows."""
+    if not trees or scale == 0.0:
+        return np.zeros(len(rows))
+    total = np.zeros(len(rows))
+    line = np.arange(len(rows))
+    for tree in trees:
+        node = np.zeros(len(rows), dtype=np.int64)
+        while True:
+            variable = tree["variable"][node]
+            inner = variable >= 0
+            if not inner.any():
+                break
+            left = rows[line, np.maximum(variable, 0)] < tree["corte"][node]
+            child = np.where(left, tree["izquierda"][node], tree["derecha"][node])
+            node = np.where(inner, child, node)
+        total += tree["largo"][node]
+    return np.exp2(-total / len(trees) / scale)
 
 
 def draw_samples(
@@ -182,12 +192,12 @@ def with_anomaly(
     """Add the anomaly score in (0, 1); with fewer than MIN_ROWS rows it is 0 for all."""
     if (df.count() if n is None else n) < MIN_ROWS:
         return df.withColumn(name, F.lit(0.0))
-    model = df.sparkSession.sparkContext.broadcast(forest)
+    model = df.sparkSession.sparkContext.broadcast((forest.trees, forest.scale))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(model.value.score(batch.to_numpy(dtype=float)), dtype=float)
+            yield pd.Series(_score_rows(*model.value, batch.to_numpy(dtype=float)), dtype=float)
 
     inputs = F.struct(*[F.col(f).cast("double").alias(f) for f in features])
     return df.withColumn(name, score(inputs))

@@ -61,7 +61,8 @@ def brute(rows, days):
 
 @pytest.mark.parametrize("step", ["day", "hour", "micro"])
 @pytest.mark.parametrize("days", [1, 10])
-def test_trailing_counts(spark, step, days):
+@pytest.mark.parametrize("hot_rows", [0, 60, 10**6])  # all keys split, one key split, none
+def test_trailing_counts(spark, step, days, hot_rows):
     rng = random.Random(days)
     start = dt.datetime(2024, 2, 20)
     make_time = {
@@ -74,7 +75,7 @@ def test_trailing_counts(spark, step, days):
     base = rows[0][1]
     rows += [("hot", base + dt.timedelta(days=days)), ("hot", base + dt.timedelta(days=days, microseconds=1)), ("b", None)]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz").repartition(5)
-    got = {(r.k, r.t): (r.n_filas, r.n_ventana) for r in trailing_counts(df, ("k",), "t", days).collect()}
+    got = {(r.k, r.t): (r.n_filas, r.n_ventana) for r in trailing_counts(df, ("k",), "t", days, hot_rows=hot_rows).collect()}
     assert got == brute(rows, days)
 
 
@@ -82,8 +83,9 @@ def test_days_before_1970_and_leap_day(spark):
     rows = [("a", dt.datetime(1969, 12, 31, 23, 59)), ("a", dt.datetime(1970, 1, 1)), ("a", dt.datetime(2024, 2, 29)),
             ("a", dt.datetime(2024, 3, 10))]
     df = spark.createDataFrame(rows, "k string, t timestamp_ntz")
-    got = {(r.k, r.t): (r.n_filas, r.n_ventana) for r in trailing_counts(df, ("k",), "t", 10).collect()}
-    assert got == brute(rows, 10)
+    for hot_rows in (0, 100):
+        counts = trailing_counts(df, ("k",), "t", 10, hot_rows=hot_rows).collect()
+        assert {(r.k, r.t): (r.n_filas, r.n_ventana) for r in counts} == brute(rows, 10)
 
 
 # --- joins that spread hot keys -------------------------------------------------------------

@@ -9,6 +9,7 @@ from veedor.functions.parsing import is_present
 from veedor.operators.listing import first_rows, ranked
 from veedor.operators.spread import attach_total
 from veedor.operators.windows import trailing_counts
+from veedor.runtime import stage
 from veedor.schema import PAIR_KEYS
 
 TOP_PAIRS = 30
@@ -44,9 +45,10 @@ def trailing_concentration(df: DataFrame, days: int = 365) -> DataFrame:
     """At each start date of a pair: the supplier's share of the entity's contracts in the
     ``days`` before it."""
     known = df.where(F.col("nit_entidad").isNotNull() & F.col("doc_proveedor").isNotNull())
-    # Contracts are read once: entity counts add up the pairs' daily counts.
-    starts = known.groupBy("nit_entidad", "doc_proveedor", "fecha_inicio").agg(
-        F.count("*").alias("n")
+    # Contracts are read once: entity counts add up the pairs' counts per start.
+    starts = stage(
+        known.groupBy("nit_entidad", "doc_proveedor", "fecha_inicio").agg(F.count("*").alias("n")),
+        "pair-starts",
     )
     n = F.col("n")
     pair = trailing_counts(starts, ("nit_entidad", "doc_proveedor"), "fecha_inicio", days, n)

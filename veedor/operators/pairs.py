@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veedor.functions.flags import SHORT_TEXT, cost_per_day, discarded, is_direct
 from veedor.operators.spread import attach_total
-from veedor.operators.windows import trailing_counts
+from veedor.operators.windows import key_sizes, trailing_counts
 from veedor.runtime import stage
 from veedor.schema import PAIR_KEYS
 
@@ -19,10 +19,15 @@ def analyzed(enriched: DataFrame) -> DataFrame:
     return enriched.where(~discarded())
 
 
-def burst_peaks(rows: DataFrame, days: int = BURST_DAYS) -> DataFrame:
+_IDS = ("nit_entidad", "doc_proveedor")
+
+
+def burst_peaks(
+    rows: DataFrame, days: int = BURST_DAYS, sizes: DataFrame | None = None
+) -> DataFrame:
     """Most contracts of a pair of ids within ``days`` days."""
-    counts = trailing_counts(rows, ("nit_entidad", "doc_proveedor"), "fecha_inicio", days)
-    return counts.groupBy("nit_entidad", "doc_proveedor").agg(
+    counts = trailing_counts(rows, _IDS, "fecha_inicio", days, sizes=sizes)
+    return counts.groupBy(*_IDS).agg(
         F.max("n_ventana").cast("bigint").alias("max_contratos_ventana")
     )
 
@@ -51,12 +56,14 @@ def pair_features(enriched: DataFrame, days: int = BURST_DAYS) -> DataFrame:
     (or without dates) it is the pair's contract count.
     """
     rows = analyzed(enriched).where(F.col("nit_entidad").isNotNull())
-    # Staged: read for the totals and again for the join, while contracts are read once.
+    # Staged: read for sizes, totals and the join, while contracts are aggregated once.
+    aggregate = stage(_pair_aggregate(rows), "pair-aggregate")
     pairs = attach_total(
-        stage(_pair_aggregate(rows), "pair-aggregate"), "nit_entidad", "n_contratos", "n_entidad_anio",
+        aggregate, "nit_entidad", "n_contratos", "n_entidad_anio",
         ("nombre_entidad", "doc_proveedor", "proveedor"),
     )
-    peaks = burst_peaks(rows.where(F.col("doc_proveedor").isNotNull()), days).select(
+    sizes = key_sizes(aggregate.where(F.col("doc_proveedor").isNotNull()), _IDS, F.col("n_contratos"))
+    peaks = burst_peaks(rows.where(F.col("doc_proveedor").isNotNull()), days, sizes).select(
         F.col("nit_entidad").alias("_nit"), F.col("doc_proveedor").alias("_doc"),
         F.lit(False).alias("_sin_doc"), "max_contratos_ventana",
     )

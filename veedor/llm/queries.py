@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veedor.llm.decontaminate import contamination
 from veedor.llm.exact_dedup import exact_groups
 
 
@@ -14,18 +15,40 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_groups(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
 ORACLES: dict[str, str] = {
+    "op2_decontamination": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD}, {_ALNUM}) AS w FROM documents),
+        i AS (SELECT item_id, w, least(13, len(w)) AS k
+              FROM (SELECT item_id, regexp_extract_all({_FOLD}, {_ALNUM}) AS w FROM benchmark) WHERE len(w) > 0),
+        x AS (SELECT DISTINCT item_id, k, array_to_string(w[j:j + k - 1], ' ') AS t
+              FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM i)),
+        p AS (SELECT r, k, j, array_to_string(w[j:j + k - 1], ' ') AS t
+              FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, (SELECT DISTINCT k FROM x))),
+        h AS (SELECT r, j, p.k, item_id FROM p JOIN x ON p.k = x.k AND p.t = x.t),
+        c AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(j, j + k)) AS q FROM h) GROUP BY r),
+        e AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+              FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM h) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
+        FROM d LEFT JOIN c USING (r) LEFT JOIN e USING (r)""",
     "op9_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_FOLD} AS t FROM documents),
         g AS (SELECT doc_id, t, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

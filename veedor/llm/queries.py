@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veedor.llm.byte_bpe import decode_batches, encode, token_bytes
 from veedor.llm.decontaminate import contamination
 from veedor.llm.exact_dedup import exact_groups
+from veedor.llm.warc import read_archive, resolve_revisits, write_archive
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +26,33 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = resolve_revisits(spark, write_archive(_table(spark, sf_dir, "pages")))
+    return read_archive(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = encode(_table(spark, sf_dir, "documents"), vocabulary)
+    shared = token_bytes(spark, vocabulary)
+
+    def digests(batches):
+        for batch in decode_batches(batches, shared):
+            ids, decoded = batch.column("ids"), batch.column("decoded")
+            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+            ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column("id"),
+                    "n_tokens": ids.value_lengths().cast(pa.int64()),
+                    "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in np.split(flat, ends[:-1])],
+                    "decoded_sha256": [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded],
+                }
+            )
+
+    return encoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_groups(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -27,6 +60,8 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_warc": op3_warc,
+    "op6_byte_bpe": op6_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
@@ -49,6 +84,15 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated
         FROM d LEFT JOIN c USING (r) LEFT JOIN e USING (r)""",
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, row_number() OVER () AS r FROM pages),
+        b AS (SELECT page_id, h, octet_length(encode(h)) AS n,
+                     max(page_id) OVER (PARTITION BY h) AS m,
+                     row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST, r) = 1 AS newest FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
+               CASE WHEN n >= 1000 AND NOT newest THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND NOT newest THEN m END AS refers_to
+        FROM b""",
     "op9_exact_dedup": f"""
         WITH n AS (SELECT doc_id, {_FOLD} AS t FROM documents),
         g AS (SELECT doc_id, t, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -15,6 +15,7 @@ from veedor.llm.byte_bpe import decode_batches, encode, token_bytes
 from veedor.llm.decontaminate import contamination
 from veedor.llm.exact_dedup import exact_groups
 from veedor.llm.html_text import extract
+from veedor.llm.licenses import scan_licenses
 from veedor.llm.warc import read_archive, resolve_revisits, write_archive
 
 
@@ -37,6 +38,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = encode(_table(spark, sf_dir, "documents"), vocabulary)
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
+    "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,
 }

@@ -125,4 +125,4 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for k in range(size):
         out = out * np.uint64(_BASE) + h[k : k + n]
-    return mix(out)
+    return mix(out + np.uint64(size))

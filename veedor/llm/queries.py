@@ -16,6 +16,7 @@ from veedor.llm.decontaminate import contamination
 from veedor.llm.exact_dedup import exact_groups
 from veedor.llm.html_text import extract
 from veedor.llm.licenses import scan_licenses
+from veedor.llm.ngram_join import components_of
 from veedor.llm.warc import read_archive, resolve_revisits, write_archive
 
 
@@ -38,6 +39,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components_of(_table(spark, sf_dir, "documents")).toDF("doc_id", "n_shingles", "component_id")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_decontamination": op2_decontamination,
     "op3_warc": op3_warc,
+    "op4_ngram_join": op4_ngram_join,
     "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_exact_dedup": op9_exact_dedup,

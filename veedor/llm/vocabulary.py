@@ -175,14 +175,21 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator
         yield bucket, own()
 
 
-def answer(blocks: DataFrame, replies: DataFrame, assemble, schema: str) -> DataFrame:
-    """``assemble(ids, Block, {bucket: reply})`` gives the Arrow table of a block's documents."""
+def answer_blocks(blocks: DataFrame, replies: DataFrame, assemble, schema: str) -> DataFrame:
+    """``assemble(row, {bucket: reply})`` gives the Arrow table of a block; ``row`` has its other columns."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = left.to_batches()[0]
-        ids = held.column("ids").flatten() if hasattr(held.column("ids"), "flatten") else held.column("ids")
         got = dict(zip(right.column("bucket").to_pylist(), right.column("reply").to_pylist()))
-        return assemble(ids, open_block(held.column("payload")[0].as_py()), got)
+        return assemble(left.to_batches()[0], got)
 
-    home = blocks.select("block", "ids", "payload").groupBy("block")
+    home = blocks.drop("parts").groupBy("block")
     return home.cogroup(replies.select("block", "bucket", "reply").groupBy("block")).applyInArrow(run, schema)
+
+
+def answer(blocks: DataFrame, replies: DataFrame, assemble, schema: str) -> DataFrame:
+    """``assemble(ids, Block, {bucket: reply})`` gives the Arrow table of a block's documents."""
+
+    def run(row, got):
+        return assemble(row.column("ids").flatten(), open_block(row.column("payload")[0].as_py()), got)
+
+    return answer_blocks(blocks, replies, run, schema)

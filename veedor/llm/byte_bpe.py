@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from veedor.llm.arrays import span_hashes
 from veedor.llm.vocabulary import Block, Piece, answer, ask, by_bucket, deflate, inflate, pack, unpack_words
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 LONG_WORD = 256
 SPACE, LETTER, NUMBER, OTHER = range(4)
 # Fixed values of the split pattern: what an apostrophe at the start of a token takes along.
@@ -192,14 +192,19 @@ def _assemble(ids: pa.Array, block: Block, replies: dict[int, bytes]) -> pa.Tabl
     return pa.table({"id": ids, "ids": values})
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ids (array of token ids). ``vocabulary``: path of a rank file, read by the driver."""
+def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", finish=None, schema: str = "ids array<int>") -> DataFrame:
+    """One row per document: id, ids (array of token ids). ``vocabulary``: path of a rank file, read by the driver.
+
+    ``finish`` takes and gives Arrow tables of such rows in the task that made them; ``schema`` then
+    names its columns after id.
+    """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))
-    blocks = pack(docs, id_col, text_col, split, BLOCK_BYTES)
-    replies = ask(blocks, _encoder(ranks), "block long, bucket int, reply binary")
-    kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    return answer(blocks, replies, _assemble, f"id {kind}, ids array<int>")
+    blocks = pack(docs, id_col, text_col, split, BLOCK_BYTES, staged=False)
+    replies = ask(blocks.parts, _encoder(ranks), "block long, bucket int, reply binary")
+    kind = blocks.home.schema["ids"].dataType.elementType.simpleString()
+    made = (lambda *block: finish(_assemble(*block))) if finish else _assemble
+    return answer(blocks.home, replies, made, f"id {kind}, {schema}")
 
 
 def token_bytes(spark: SparkSession, vocabulary: str):

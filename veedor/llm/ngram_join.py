@@ -19,13 +19,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veedor.llm.arrays import NON_SPACE, mix, pieces, utf8, window_hashes, word_hashes, words
 from veedor.llm.links import centres, components, leftover_pairs, star_pairs
-from veedor.llm.vocabulary import _codes, _planes, answer_blocks, ask, by_bucket, deflate, inflate
+from veedor.llm.vocabulary import _codes, _planes, answer_blocks, ask, block_key, by_bucket, deflate, inflate
 from veedor.runtime import stage
 
 WORDS = 5
@@ -144,10 +143,9 @@ def _prefix_packer(shared, n_buckets: int):
             {"bucket": int(b), "part": deflate((low[edges[b] : edges[b + 1]], np.packbits(count[edges[b] : edges[b + 1]] > 1)))}
             for b in np.flatnonzero(np.diff(edges))
         ]
-        key = (TaskContext.get().partitionId() << 32) + number
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([key], pa.int64()),
+                pa.array([block_key(number, known)], pa.int64()),
                 pa.array([deflate((nodes, first, _planes(inverse), edges, known))], pa.binary()),
                 pa.array([dealt], pa.list_(pa.struct([("bucket", pa.int32()), ("part", pa.binary())]))),
             ],
@@ -261,8 +259,8 @@ class Joiner:
         packer = _prefix_packer(self.order, n_buckets)
         schema = "block long, payload binary, parts array<struct<bucket: int, part: binary>>"
         blocks = stage(self.docs.select("text").mapInArrow(packer, schema), "gram-blocks")
-        replies = ask(blocks, _find_shared, "block long, bucket int, reply binary")
-        return stage(answer_blocks(blocks, replies, _post, "key long, node long").distinct(), "gram-postings")
+        replies = ask(blocks.select("block", "parts"), _find_shared, "block long, bucket int, reply binary")
+        return stage(answer_blocks(blocks.select("block", "payload"), replies, _post, "key long, node long").distinct(), "gram-postings")
 
     def segments(self, pairs: DataFrame) -> DataFrame:
         """node, fragment, grams of all nodes of ``pairs``; staged. One document stands for each node."""

@@ -49,24 +49,24 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(_table(spark, sf_dir, "documents"), vocabulary)
     shared = token_bytes(spark, vocabulary)
 
-    def digests(batches):
-        for batch in decode_batches(batches, shared):
-            ids, decoded = batch.column("ids"), batch.column("decoded")
-            flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
-            ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("id"),
-                    "n_tokens": ids.value_lengths().cast(pa.int64()),
-                    "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in np.split(flat, ends[:-1])],
-                    "decoded_sha256": [hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded],
-                }
-            )
-
-    return encoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(table: pa.Table) -> pa.Table:
+        (batch,) = decode_batches(table.to_batches(), shared)
+        ids = batch.column("ids")
+        flat = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")
+        ends = np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))
+        return pa.table(
+            {
+                "id": batch.column("id"),
+                "n_tokens": ids.value_lengths().cast(pa.int64()),
+                "ids_sha256": [hashlib.sha256(x.tobytes()).hexdigest() for x in np.split(flat, ends[:-1])],
+                "decoded_sha256": [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column("decoded")],
+            }
+        )
+
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return encode(_table(spark, sf_dir, "documents"), vocabulary, finish=digests, schema=columns).withColumnRenamed("id", "doc_id")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

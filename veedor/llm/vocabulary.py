@@ -81,7 +81,12 @@ def open_block(data: bytes) -> Block:
     return Block(_codes(planes), first, bucket)
 
 
-def _packer(split: Splitter, block_bytes: int, n_buckets: int, counted, id_type: pa.DataType):
+def block_key(number: int, known: np.ndarray) -> int:
+    """Partition, number within it, and a check sum of the block's words."""
+    return (TaskContext.get().partitionId() << 44) | (number << 24) | int(np.bitwise_xor.reduce(known) & np.uint64(0xFFFFFF) if len(known) else 0)
+
+
+def _packer(split: Splitter, block_bytes: int, n_buckets: int, counted, id_type: pa.DataType, want: set[str]):
     def close(number, ids, parts) -> pa.RecordBatch:
         hashes = np.concatenate([p.hashes for p in parts])
         first = np.cumsum(np.concatenate([[0], *(np.diff(p.first) for p in parts)]))
@@ -92,7 +97,7 @@ def _packer(split: Splitter, block_bytes: int, n_buckets: int, counted, id_type:
         place[by] = np.arange(len(by))
         bucket = (known[by] % np.uint64(n_buckets)).astype(np.uint32)
         at, text, base = at[by], np.empty(len(by), object), 0
-        for p in parts:
+        for p in parts if "parts" in want else ():
             own = np.flatnonzero((at >= base) & (at < base + len(p.hashes)))
             text[own] = p.read(at[own] - base)
             base += len(p.hashes)
@@ -100,15 +105,14 @@ def _packer(split: Splitter, block_bytes: int, n_buckets: int, counted, id_type:
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
         dealt = []
-        for b in np.flatnonzero(np.diff(edges)):
+        for b in np.flatnonzero(np.diff(edges)) if "parts" in want else ():
             own = order[edges[b] : edges[b + 1]]
             extra = None if weight is None else weight[own]
             dealt.append({"bucket": int(b), "part": deflate((pack_words(list(text[own])), known[by][own] if counted else None, extra))})
-        payload = deflate((_planes(place[inverse]), first, bucket))
-        key = (TaskContext.get().partitionId() << 32) + number
+        payload = deflate((_planes(place[inverse]), first, bucket)) if "payload" in want else None
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([key], pa.int64()),
+                pa.array([block_key(number, known)], pa.int64()),
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.cast(id_type)),
                 pa.array([payload], pa.binary()),
                 pa.array([dealt], pa.list_(pa.struct([("bucket", pa.int32()), ("part", pa.binary())]))),
@@ -133,29 +137,42 @@ def _packer(split: Splitter, block_bytes: int, n_buckets: int, counted, id_type:
     return run
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, split: Splitter, block_bytes: int, counted=None) -> DataFrame:
-    """Staged blocks: block, ids, payload, parts (one per bucket that has words).
+class Packed(NamedTuple):
+    """``parts``: block, parts (one per bucket that has words). ``home``: block, ids, payload."""
+
+    parts: DataFrame
+    home: DataFrame
+
+
+def pack(docs: DataFrame, id_col: str, text_col: str, split: Splitter, block_bytes: int, counted=None, staged: bool = True) -> Packed:
+    """Blocks of documents.
 
     ``counted(ids, first, codes, n)`` may give a weight per code, which travels with the words.
+    ``staged=False`` reads the documents twice instead of writing the blocks: half the disk for twice
+    the splitting. The table must then read the same both times, as files do; a check sum in the
+    block's key turns a difference into an error.
     """
     n_buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = narrow.schema["id"].dataType
-    arrow = pa.schema([("id", _ARROW.get(kind.typeName(), pa.string()))]).field("id").type
-    if kind.typeName() not in _ARROW:
-        narrow, kind = narrow.withColumn("id", F.col("id").cast("string")), None
-    spark_type = kind.simpleString() if kind else "string"
+    kind = narrow.schema["id"].dataType.typeName()
+    if kind not in _ARROW:
+        narrow, kind = narrow.withColumn("id", F.col("id").cast("string")), "string"
+    spark_type = {"long": "bigint", "integer": "int"}.get(kind, kind)
     schema = f"block long, ids array<{spark_type}>, payload binary, parts array<struct<bucket: int, part: binary>>"
-    return stage(narrow.mapInArrow(_packer(split, block_bytes, n_buckets, counted, arrow), schema), "word-blocks")
+    made = lambda *want: narrow.mapInArrow(_packer(split, block_bytes, n_buckets, counted, _ARROW[kind], {*want}), schema)
+    if staged:
+        blocks = stage(made("parts", "payload"), "word-blocks")
+        return Packed(blocks.select("block", "parts"), blocks.select("block", "ids", "payload"))
+    return Packed(made("parts").select("block", "parts"), made("payload").select("block", "ids", "payload"))
 
 
 _ARROW = {"long": pa.int64(), "integer": pa.int32(), "string": pa.string()}
 
 
-def ask(blocks: DataFrame, handle, schema: str) -> DataFrame:
+def ask(parts: DataFrame, handle, schema: str) -> DataFrame:
     """``handle`` gets the Arrow batches (block, bucket, part) of whole buckets, one bucket after another."""
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = blocks.select("block", F.explode("parts").alias("p")).select("block", "p.bucket", "p.part")
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.select("block", F.explode("parts").alias("p")).select("block", "p.bucket", "p.part")
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(handle, schema)
 
 
@@ -175,21 +192,25 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator
         yield bucket, own()
 
 
-def answer_blocks(blocks: DataFrame, replies: DataFrame, assemble, schema: str) -> DataFrame:
+def answer_blocks(home: DataFrame, replies: DataFrame, assemble, schema: str) -> DataFrame:
     """``assemble(row, {bucket: reply})`` gives the Arrow table of a block; ``row`` has its other columns."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            raise RuntimeError("the documents read differently the second time: stage them first")
         got = dict(zip(right.column("bucket").to_pylist(), right.column("reply").to_pylist()))
         return assemble(left.to_batches()[0], got)
 
-    home = blocks.drop("parts").groupBy("block")
-    return home.cogroup(replies.select("block", "bucket", "reply").groupBy("block")).applyInArrow(run, schema)
+    return home.groupBy("block").cogroup(replies.select("block", "bucket", "reply").groupBy("block")).applyInArrow(run, schema)
 
 
-def answer(blocks: DataFrame, replies: DataFrame, assemble, schema: str) -> DataFrame:
+def answer(home: DataFrame, replies: DataFrame, assemble, schema: str) -> DataFrame:
     """``assemble(ids, Block, {bucket: reply})`` gives the Arrow table of a block's documents."""
 
     def run(row, got):
-        return assemble(row.column("ids").flatten(), open_block(row.column("payload")[0].as_py()), got)
+        block = open_block(row.column("payload")[0].as_py())
+        if len(np.unique(block.bucket)) != len(got):
+            raise RuntimeError("the documents read differently the second time: stage them first")
+        return assemble(row.column("ids").flatten(), block, got)
 
-    return answer_blocks(blocks, replies, run, schema)
+    return answer_blocks(home, replies, run, schema)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veedor.llm.bilinear_lm import score
 from veedor.llm.byte_bpe import decode_batches, encode, token_bytes
 from veedor.llm.decontaminate import contamination
 from veedor.llm.exact_dedup import exact_groups
@@ -69,6 +70,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), vocabulary, finish=digests, schema=columns).withColumnRenamed("id", "doc_id")
 
 
+def op8_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_groups(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_join": op4_ngram_join,
     "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_bilinear_lm": op8_bilinear_lm,
     "op9_exact_dedup": op9_exact_dedup,
 }
 

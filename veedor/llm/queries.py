@@ -17,6 +17,7 @@ from veedor.llm.decontaminate import contamination
 from veedor.llm.exact_dedup import exact_groups
 from veedor.llm.html_text import extract
 from veedor.llm.licenses import scan_licenses
+from veedor.llm.line_dedup import line_report
 from veedor.llm.ngram_join import components_of
 from veedor.llm.warc import read_archive, resolve_revisits, write_archive
 
@@ -79,6 +80,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_report(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_kept", F.concat_ws(",", F.col("dropped").cast("array<string>")).alias("dropped_lines"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_decontamination": op2_decontamination,
@@ -88,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_byte_bpe": op6_byte_bpe,
     "op8_bilinear_lm": op8_bilinear_lm,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

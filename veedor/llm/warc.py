@@ -6,13 +6,15 @@ response, and writes a new archive with fresh headers, in which each such payloa
 Of equal payloads of at least ``MIN_BYTES`` bytes the record with the largest page id stays a
 response (a NULL id is smallest; of rows that share that id, the last by file and place).
 
-Archives are folders of files of about ``FILE_BYTES`` bytes, uncompressed, each record as the format
-prescribes; files are read whole and parsed by Content-Length, so payloads may hold anything. A NULL
-payload is empty; an empty table gives an archive without records; other columns play no part.
+Archives are folders of gzip files of about ``FILE_BYTES`` bytes before compression, each record as
+the format prescribes (a file is one gzip member, not one per record); files are read whole and
+parsed by Content-Length, so payloads may hold anything. A NULL payload is empty; an empty table
+gives an archive without records; other columns play no part.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -79,7 +81,7 @@ def _record() -> Column:
 def _write(records: DataFrame, name: str) -> str:
     """Records (columns of ``_record``) as archive files; the text writer's line end is the record's end."""
     path = new_path(records.sparkSession, name)
-    records.select(_record().alias("value")).write.option("lineSep", CRLF * 2).text(path)
+    records.select(_record().alias("value")).write.option("lineSep", CRLF * 2).text(path, compression="gzip")
     return path
 
 
@@ -138,7 +140,7 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 rows = []
-                for place, warc, http, payload in parse(memoryview(content.as_py())):
+                for place, warc, http, payload in parse(memoryview(gzip.decompress(content.as_py()))):
                     kind = warc["warc-type"]
                     refers = _number(warc.get("warc-refers-to"))
                     digest, n = warc["warc-payload-digest"].removeprefix("sha1:"), int(http["content-length"])

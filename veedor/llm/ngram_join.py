@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from veedor.llm.arrays import NON_SPACE, mix, pieces, utf8, window_hashes, word_hashes, words
 from veedor.llm.links import centres, components, leftover_pairs, star_pairs
+from veedor.llm.sums import SLICES, added, sliced
 from veedor.llm.vocabulary import _codes, _planes, answer_blocks, ask, block_key, by_bucket, deflate, inflate
 from veedor.runtime import stage
 
@@ -34,7 +35,6 @@ FRAGMENTS = 8
 BLOCK_BYTES = 8 << 20
 #: Counters for the global order; the order is exact for any counts, better counts only prune more.
 SKETCH_BITS = 18
-SLICES = 64
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray):
@@ -82,7 +82,7 @@ def _measure(batches):
         schema = ids.type
         yield _measured(ids, sizes, nodes, [None] * len(sizes), [None] * len(sizes))
     if schema is not None:
-        parts = [deflate(x) for x in np.split(counts, SLICES)]
+        parts = sliced(counts)
         nothing = [None] * SLICES
         yield _measured(pa.nulls(SLICES, schema), nothing, nothing, list(range(SLICES)), parts)
 
@@ -94,14 +94,6 @@ def _measured(ids, sizes, nodes, slices, parts) -> pa.RecordBatch:
     )
 
 
-def _sum_slices(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total[k] = total.get(k, 0) + inflate(part)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([deflate(x) for x in total.values()], pa.binary())], ["slice", "counts"])
-
-
 class Order:
     """Global order of n-grams: by how often their counter was met, then by hash; cut into fragments."""
 
@@ -247,10 +239,7 @@ class Joiner:
         kind = self.docs.schema["id"].dataType.simpleString()
         measured = stage(self.docs.mapInArrow(_measure, f"id {kind}, n long, node long, slice int, counts binary"), "gram-sizes")
         self.sizes = measured.where("slice IS NULL").select("id", "n", "node")
-        slices = measured.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice")
-        found = {r.slice: inflate(r.counts) for r in slices.mapInArrow(_sum_slices, "slice int, counts binary").collect()}
-        none = np.zeros((1 << SKETCH_BITS) // SLICES, np.int64)
-        counts = np.concatenate([found.get(k, none) for k in range(SLICES)])
+        counts = added(measured.where("slice IS NOT NULL").select("slice", "counts"), 1 << SKETCH_BITS)
         self.order = self.spark.sparkContext.broadcast(Order(counts))
 
     def postings(self) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veedor.llm import cotrain
 from veedor.llm.bilinear_lm import score
 from veedor.llm.byte_bpe import decode_batches, encode, token_bytes
 from veedor.llm.decontaminate import contamination
@@ -49,9 +50,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, and digests of the ids and of the decoded bytes of every document."""
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    shared = token_bytes(spark, vocabulary)
+    shared = token_bytes(docs.sparkSession, vocabulary)
 
     def digests(table: pa.Table) -> pa.Table:
         (batch,) = decode_batches(table.to_batches(), shared)
@@ -68,7 +70,16 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return encode(_table(spark, sf_dir, "documents"), vocabulary, finish=digests, schema=columns).withColumnRenamed("id", "doc_id")
+    return encode(docs, vocabulary, finish=digests, schema=columns).withColumnRenamed("id", "doc_id")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cotrain.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), carry=["doc_id"])
+    return found.select("row.doc_id", "text_score", "meta_score", "score", (F.col("score") >= cotrain.KEEP_FROM).alias("kept"))
 
 
 def op8_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +96,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_kept", F.concat_ws(",", F.col("dropped").cast("array<string>")).alias("dropped_lines"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it takes its last stage from this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_decontamination": op2_decontamination,
@@ -92,9 +109,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_join": op4_ngram_join,
     "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_bilinear_lm": op8_bilinear_lm,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": pipeline,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -9,6 +9,8 @@ components exactly: every pair not looked at is inside one component already or
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,33 +29,41 @@ def star_pairs(postings: DataFrame, centre: DataFrame) -> DataFrame:
     return near.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def leftover_pairs(placed: DataFrame, tolerance: float) -> DataFrame:
+#: Rows of at most 32 bytes up to which a staged table is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 300_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast of a staged table of few rows; a larger one is joined by shuffling."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def leftover_pairs(placed: DataFrame, tolerance: float, ratio: float | None = None) -> DataFrame:
     """Distinct pairs (a, b), a < b, of one key but different components that may be within ``tolerance``.
 
-    ``placed`` has key, node, component, and distance (a metric) to the key's centre. In each key only
-    nodes outside its most frequent component look for others, within bands of the distance.
+    ``placed`` has key, node, component, and bounds low and high of the distance (a metric) to the
+    key's centre; with ``ratio`` also a size, and linked nodes' sizes differ by that factor at most.
+    In each key only nodes outside its most frequent component look for others.
     """
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("main"))
     mixed = stage(mixed.where("k > 1").select("key", "main"), "link-mixed")
-    band = F.floor(F.col("distance") / tolerance)
-    rows = stage(
-        placed.join(mixed, "key").select("key", "node", "component", "distance", band.alias("band"), (F.col("component") != F.col("main")).alias("odd")),
-        "link-rows",
-    )
-    seek = rows.where("odd").select(
-        "key",
-        F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"),
-        F.col("node").alias("x"),
-        F.col("component").alias("cx"),
-        F.col("distance").alias("dx"),
-    )
+    # nodes that can be near are in the same or in neighbouring bands
+    band = F.floor(F.col("low") / tolerance) if ratio is None else F.floor(F.log(F.col("size")) / math.log(ratio) + 1e-9)
+    size = F.lit(1) if ratio is None else F.col("size")
+    columns = ["key", "node", "component", "low", "high"]
+    rows = placed.join(mixed, "key").select(*columns, size.alias("size"), band.alias("band"), (F.col("component") != F.col("main")).alias("odd"))
+    rows = stage(rows, "link-rows")
+    near_bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
+    seek = rows.where("odd").select("key", near_bands.alias("band"), *(F.col(c).alias(f"x_{c}") for c in (*columns[1:], "size")))
     found = seek.join(rows, ["key", "band"]).where(
-        (F.col("component") != F.col("cx"))
-        & (F.abs(F.col("distance") - F.col("dx")) <= tolerance + 1e-9)
-        & (~F.col("odd") | (F.col("cx") < F.col("component")))
+        (F.col("component") != F.col("x_component"))
+        & (F.col("low") - F.col("x_high") <= tolerance + 1e-9)
+        & (F.col("x_low") - F.col("high") <= tolerance + 1e-9)
+        & (F.greatest("size", "x_size") <= (ratio or 1) * F.least("size", "x_size") * (1 + 1e-9))
+        & (~F.col("odd") | (F.col("x_component") < F.col("component")))
     )
-    return found.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+    return found.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -78,7 +88,7 @@ def components(links: DataFrame) -> DataFrame:
         large = stage(large, "edges-large")
         least = stage(large.groupBy("u").agg(F.min("v").alias("m")), "edge-minima")
         tied = large.join(least, "u")
-        small = tied.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges-small")
+        tied_up = tied.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stage(tied_up.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges-small")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stage(roots.union(edges.select(F.col("v"), F.col("v"))).distinct(), "components")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veedor.llm.arrays import NON_SPACE, mix, pieces, utf8, window_hashes, word_hashes, words
-from veedor.llm.links import centres, components, leftover_pairs, star_pairs
+from veedor.llm.links import centres, components, leftover_pairs, small, star_pairs
 from veedor.llm.sums import SLICES, added, sliced
 from veedor.llm.vocabulary import _codes, _planes, answer_blocks, ask, block_key, by_bucket, deflate, inflate
 from veedor.runtime import stage
@@ -251,50 +251,80 @@ class Joiner:
         replies = ask(blocks.select("block", "parts"), _find_shared, "block long, bucket int, reply binary")
         return stage(answer_blocks(blocks.select("block", "payload"), replies, _post, "key long, node long").distinct(), "gram-postings")
 
-    def segments(self, pairs: DataFrame) -> DataFrame:
+    def describe(self, postings: DataFrame) -> DataFrame:
+        """node, n, first (smallest id), keys (of ``postings``) of every node that has postings; staged."""
+        every = self.sizes.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.min("id").alias("first"))
+        keys = postings.groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than the prefix of one document
+        return stage(keys.join(every, "node"), "gram-nodes")
+
+    def likely(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """``pairs`` with na, nb and most, an upper bound of the overlap from sizes and common prefix; staged.
+
+        A common n-gram is in both prefixes, or after the prefix that ends first in the global order.
+        """
+        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        after = lambda n: F.ceil(F.col(n) * PERCENT / F.lit(100)) - 1
+        common = F.size(F.array_intersect("ka", "kb"))
+        most = F.least(F.col("na"), F.col("nb"), common + F.greatest(after("na"), after("nb"))).cast("long")
+        return stage(both.select("a", "b", "na", "nb", most.alias("most")), "gram-likely")
+
+    def segments(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """node, fragment, grams of all nodes of ``pairs``; staged. One document stands for each node."""
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        first = self.sizes.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("first"))
-        wanted = stage(first.join(nodes, "node"), "gram-nodes")
-        texts = self.docs.join(wanted, self.docs["id"].eqNullSafe(wanted["first"])).select("node", "text")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = stage(nodes.select("node", "first").join(wanted, "node", "left_semi"), "gram-wanted")
+        texts = self.docs.join(small(wanted), self.docs["id"].eqNullSafe(wanted["first"])).select("node", "text")
         kept = texts.mapInArrow(_segments(self.order), "node long, fragment int, grams array<long>")
         return stage(kept.dropDuplicates(["node", "fragment"]), "gram-segments")
 
-    def overlaps(self, pairs: DataFrame) -> DataFrame:
-        """a, b, similarity of ``pairs``: overlaps counted in each fragment, then summed; staged."""
-        pairs = stage(pairs, "gram-pairs")
-        segments = self.segments(pairs)
-        left = pairs.join(segments.withColumnsRenamed({"node": "a", "grams": "ga"}), "a")
+    def overlaps(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """a, b, linked, low, high (bounds of the Jaccard distance) of ``pairs``; staged.
+
+        Pairs that may link by their bound are counted exactly: fragment by fragment, then summed.
+        """
+        pairs = self.likely(pairs, nodes)
+        may = _linked("most")
+        chosen = pairs.where(may).select("a", "b", "na", "nb")
+        segments = self.segments(chosen, nodes)
+        left = chosen.select("a", "b").join(segments.withColumnsRenamed({"node": "a", "grams": "ga"}), "a")
         met = left.join(segments.withColumnsRenamed({"node": "b", "grams": "gb"}), ["b", "fragment"])
         partial = met.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"))
         total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
-        size = stage(segments.groupBy("node").agg(F.sum(F.size("grams")).alias("n")), "gram-node-sizes")
-        total = total.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-        union = F.col("na") + F.col("nb") - F.col("common")
-        linked = 100 * F.col("common") >= PERCENT * union
-        return stage(total.select("a", "b", linked.alias("linked"), (1 - F.col("common") / union).alias("distance")), "gram-overlaps")
+        exact = chosen.join(total, ["a", "b"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
+        away = lambda n: 1 - F.col(n) / (F.col("na") + F.col("nb") - F.col(n))
+        far = pairs.where(~may).select("a", "b", F.lit(False).alias("linked"), away("most").alias("low"), F.lit(1.0).alias("high"))
+        return stage(exact.select("a", "b", _linked("common").alias("linked"), away("common").alias("low"), away("common").alias("high")).union(far), "gram-overlaps")
 
     def roots(self) -> DataFrame:
         """node, root for all nodes that link with another node."""
         postings = self.postings()
+        nodes = self.describe(postings)
         centre = centres(postings)
-        near = self.overlaps(star_pairs(postings, centre))
+        near = self.overlaps(star_pairs(postings, centre), nodes)
         links = near.where("linked").select("a", "b")
         first = components(links)
-        # a pair without a common n-gram at all (its key is of two that agree in part) is as far as can be
-        away = F.when(F.col("node") == F.col("centre"), 0.0).otherwise(F.coalesce("distance", F.lit(1.0)))
+        own = F.col("node") == F.col("centre")
         placed = (
             postings.join(centre, "key")
-            .join(near.select(F.col("a").alias("centre"), F.col("b").alias("node"), "distance"), ["centre", "node"], "left")
+            .join(near.select(F.col("a").alias("centre"), F.col("b").alias("node"), "low", "high"), ["centre", "node"], "left")
             .join(first, "node", "left")
-            .select("key", "node", F.coalesce("root", "node").alias("component"), away.alias("distance"))
-        )
-        rest = leftover_pairs(stage(placed, "gram-placed"), 1 - PERCENT / 100)
+            .join(nodes.select("node", F.col("n").alias("size")), "node")
+            .select(
+                "key", "node", "size", F.coalesce("root", "node").alias("component"),
+                F.when(own, 0.0).otherwise(F.col("low")).alias("low"), F.when(own, 0.0).otherwise(F.col("high")).alias("high"),
+            )
+        )
+        rest = leftover_pairs(stage(placed, "gram-placed"), 1 - PERCENT / 100, 100 / PERCENT)
         rest = rest.join(near.select("a", "b"), ["a", "b"], "left_anti")
-        more = self.overlaps(rest).where("linked").select("a", "b")
+        more = self.overlaps(rest, nodes).where("linked").select("a", "b")
         return components(links.union(more))
 
 
+def _linked(overlap: str):
+    """Whether an overlap makes a link of sizes na and nb."""
+    return 100 * F.col(overlap) >= PERCENT * (F.col("na") + F.col("nb") - F.col(overlap))
+
+
 def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n (size of its set), component (smallest id that links lead to)."""
     join = Joiner(docs, id_col, text_col)

@@ -1,34 +1,18 @@
 """Groups of linked nodes without all pairs of a bucket.
 
 Nodes that share a key are candidates. A key's nodes are first compared with one of them, its
-centre, so a key costs as many comparisons as it has nodes. What links joins into components.
-Left over are pairs of one key in different components; of those, the triangle inequality over the
-distances to the centre leaves the pairs that can still be near. Checking these completes the
-components exactly: every pair not looked at is inside one component already or too far apart.
+centre, so a key costs as many comparisons as it has nodes. What links joins into components. Left
+over are pairs of one key in different components; looking at those that may be near completes the
+components exactly: every other pair is inside one component already or cannot link.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veedor.runtime import stage
 
-
-def centres(postings: DataFrame) -> DataFrame:
-    """key, centre (smallest node) of every key that two or more nodes have; staged."""
-    ends = postings.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
-    return stage(ends.where("centre < last").select("key", "centre"), "link-centres")
-
-
-def star_pairs(postings: DataFrame, centre: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of a centre and another node of its key; a < b."""
-    near = postings.select("key", "node").join(centre, "key").where("node > centre")
-    return near.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-
-
 #: Rows of at most 32 bytes up to which a staged table is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 300_000
 
@@ -38,30 +22,21 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def leftover_pairs(placed: DataFrame, tolerance: float, ratio: float | None = None) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of one key but different components that may be within ``tolerance``.
+def leftover_pairs(placed: DataFrame, near: Column) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of one key but different components for which ``near`` holds.
 
-    ``placed`` has key, node, component, and bounds low and high of the distance (a metric) to the
-    key's centre; with ``ratio`` also a size, and linked nodes' sizes differ by that factor at most.
-    In each key only nodes outside its most frequent component look for others.
+    ``placed`` has key, node, component and whatever ``near`` looks at: columns by their names for one
+    node and with ``x_`` before them for the other. In each key only nodes outside its most frequent
+    component look for others, so that a large group linked already is not compared within itself.
     """
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("k"), F.max_by("component", F.struct("n", "component")).alias("main"))
     mixed = stage(mixed.where("k > 1").select("key", "main"), "link-mixed")
-    # nodes that can be near are in the same or in neighbouring bands
-    band = F.floor(F.col("low") / tolerance) if ratio is None else F.floor(F.log(F.col("size")) / math.log(ratio) + 1e-9)
-    size = F.lit(1) if ratio is None else F.col("size")
-    columns = ["key", "node", "component", "low", "high"]
-    rows = placed.join(mixed, "key").select(*columns, size.alias("size"), band.alias("band"), (F.col("component") != F.col("main")).alias("odd"))
-    rows = stage(rows, "link-rows")
-    near_bands = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    seek = rows.where("odd").select("key", near_bands.alias("band"), *(F.col(c).alias(f"x_{c}") for c in (*columns[1:], "size")))
-    found = seek.join(rows, ["key", "band"]).where(
-        (F.col("component") != F.col("x_component"))
-        & (F.col("low") - F.col("x_high") <= tolerance + 1e-9)
-        & (F.col("x_low") - F.col("high") <= tolerance + 1e-9)
-        & (F.greatest("size", "x_size") <= (ratio or 1) * F.least("size", "x_size") * (1 + 1e-9))
-        & (~F.col("odd") | (F.col("x_component") < F.col("component")))
+    rows = stage(placed.join(mixed, "key").withColumn("odd", F.col("component") != F.col("main")).drop("main"), "link-rows")
+    seek = rows.where("odd").drop("odd")
+    seek = seek.withColumnsRenamed({c: f"x_{c}" for c in seek.columns if c != "key"})
+    found = seek.join(rows, "key").where(
+        (F.col("component") != F.col("x_component")) & (~F.col("odd") | (F.col("x_component") < F.col("component"))) & near
     )
     return found.select(F.least("x_node", "node").alias("a"), F.greatest("x_node", "node").alias("b")).distinct()
 

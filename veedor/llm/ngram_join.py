@@ -1,10 +1,11 @@
 """Jaccard join of word n-gram sets by vertical partitioning.
 
 A global order of all n-grams, rare ones first, is taken from counts over every document. Two sets
-that are similar enough share one of the first n-grams of each (its prefix), which gives the
-candidates; ``links`` keeps their number linear in hot groups. To verify a pair, the order is cut
-into fragments; each set falls apart into one segment per fragment, overlaps are counted fragment
-by fragment, and summed per pair.
+that are similar enough share some of the first n-grams of each (its prefix), the more so the more
+equal their sizes are, and the rarest one they share stands early in both; that gives the candidates.
+``links`` keeps their number linear in hot groups. To verify a pair, the order is cut into fragments;
+each set falls apart into one segment per fragment, overlaps are counted fragment by fragment, and
+summed per pair.
 
 Documents with equal sets are one node from the start, so copies never meet as pairs. A node is a
 64-bit hash of its set and n-grams are 64-bit hashes: with 10^9 different sets, two of them meet
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veedor.llm.arrays import NON_SPACE, mix, pieces, utf8, window_hashes, word_hashes, words
-from veedor.llm.links import centres, components, leftover_pairs, small, star_pairs
+from veedor.llm.links import components, leftover_pairs, small
 from veedor.llm.sums import SLICES, added, sliced
 from veedor.llm.vocabulary import _codes, _planes, answer_blocks, ask, block_key, by_bucket, deflate, inflate
 from veedor.runtime import stage
@@ -34,7 +35,7 @@ PERCENT = 75
 FRAGMENTS = 8
 BLOCK_BYTES = 8 << 20
 #: Counters for the global order; the order is exact for any counts, better counts only prune more.
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray):
@@ -69,16 +70,16 @@ def _measure(batches):
     for batch in batches:
         ids = batch.column(0)
         data, offsets = utf8(batch.column(1))
-        sizes, nodes, held = [], [], []
+        sizes, nodes, held, n = [], [], [], 0
         for grams in gram_sets(data, offsets):
             sizes.append(len(grams))
             nodes.append(node_of(grams) if len(grams) else None)
             held.append(grams)
-            if len(held) == 512:
-                counts += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-                held = []
-        if held:
-            counts += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+            n += len(grams)
+            if n >= len(counts):
+                counts += _counted(held)
+                held, n = [], 0
+        counts += _counted(held)
         schema = ids.type
         yield _measured(ids, sizes, nodes, [None] * len(sizes), [None] * len(sizes))
     if schema is not None:
@@ -87,6 +88,11 @@ def _measure(batches):
         yield _measured(pa.nulls(SLICES, schema), nothing, nothing, list(range(SLICES)), parts)
 
 
+def _counted(sets: list[np.ndarray]) -> np.ndarray:
+    grams = np.concatenate([np.zeros(0, np.uint64), *sets])
+    return np.bincount((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+
+
 def _measured(ids, sizes, nodes, slices, parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [ids, pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(slices, pa.int32()), pa.array(parts, pa.binary())],
@@ -251,23 +257,43 @@ class Joiner:
         replies = ask(blocks.select("block", "parts"), _find_shared, "block long, bucket int, reply binary")
         return stage(answer_blocks(blocks.select("block", "payload"), replies, _post, "key long, node long").distinct(), "gram-postings")
 
-    def describe(self, postings: DataFrame) -> DataFrame:
-        """node, n, first (smallest id), keys (of ``postings``) of every node that has postings; staged."""
+    def describe(self, postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Two staged tables.
+
+        Of nodes: node, n (size), p (size of the prefix), first (smallest id), keys (those of
+        ``postings`` that other nodes have too, rare ones first), weight (how many nodes they lead to).
+        Of keys: key, node, n, p, weight, rank (place of the key in the node's prefix). Of keys
+        with the very same nodes only the first is kept.
+        """
+        groups = ["size", "low", "high", "total"]
+        total = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
+        sizes = postings.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("low"), F.max("node").alias("high"), total.alias("total"))
+        sizes = stage(sizes.where("size > 1"), "gram-keys")
         every = self.sizes.where("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.min("id").alias("first"))
-        keys = postings.groupBy("node").agg(F.collect_list("key").alias("keys"))  # no more than the prefix of one document
-        return stage(keys.join(every, "node"), "gram-nodes")
+        own = postings.join(sizes.select("key", "size"), "key").groupBy("node").agg(
+            F.sort_array(F.collect_list(F.struct("size", "key"))).alias("own"),  # no more than one document's prefix
+            F.sum("size").alias("weight"),
+        )
+        p = F.col("n") - F.ceil(F.col("n") * PERCENT / F.lit(100)) + 1
+        nodes = own.join(every, "node").select("node", "n", p.cast("long").alias("p"), "first", F.col("own.key").alias("keys"), "weight")
+        nodes = stage(nodes, "gram-nodes")
+        once = stage(sizes.groupBy(*groups).agg(F.min("key").alias("key")).select("key"), "gram-distinct-keys")
+        # what is not in keys comes before: nobody else has it
+        rank = F.col("p") - F.size("keys") + F.col("at")
+        ranked = nodes.select("node", "n", "p", "weight", "keys", F.posexplode("keys").alias("at", "key"))
+        ranked = ranked.select("key", "node", "n", "p", "weight", rank.alias("rank")).join(once, "key", "left_semi")
+        return nodes, stage(ranked, "gram-ranked")
 
     def likely(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """``pairs`` with na, nb and most, an upper bound of the overlap from sizes and common prefix; staged.
+        """Those of ``pairs`` whose sizes and common prefix allow a link, with na and nb; staged.
 
         A common n-gram is in both prefixes, or after the prefix that ends first in the global order.
         """
-        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("keys").alias(f"k{x}"))
+        side = lambda x: nodes.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in ("n", "p", "keys")))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        after = lambda n: F.ceil(F.col(n) * PERCENT / F.lit(100)) - 1
-        common = F.size(F.array_intersect("ka", "kb"))
-        most = F.least(F.col("na"), F.col("nb"), common + F.greatest(after("na"), after("nb"))).cast("long")
-        return stage(both.select("a", "b", "na", "nb", most.alias("most")), "gram-likely")
+        common = F.size(F.array_intersect("keysa", "keysb"))
+        most = F.least(F.col("na"), F.col("nb"), common + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")))
+        return stage(both.withColumn("most", most).where(_linked("most")).select("a", "b", "na", "nb"), "gram-likely")
 
     def segments(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         """node, fragment, grams of all nodes of ``pairs``; staged. One document stands for each node."""
@@ -277,47 +303,46 @@ class Joiner:
         kept = texts.mapInArrow(_segments(self.order), "node long, fragment int, grams array<long>")
         return stage(kept.dropDuplicates(["node", "fragment"]), "gram-segments")
 
-    def overlaps(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        """a, b, linked, low, high (bounds of the Jaccard distance) of ``pairs``; staged.
-
-        Pairs that may link by their bound are counted exactly: fragment by fragment, then summed.
-        """
+    def links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (a, b) that link: overlaps counted fragment by fragment, then summed; staged."""
         pairs = self.likely(pairs, nodes)
-        may = _linked("most")
-        chosen = pairs.where(may).select("a", "b", "na", "nb")
-        segments = self.segments(chosen, nodes)
-        left = chosen.select("a", "b").join(segments.withColumnsRenamed({"node": "a", "grams": "ga"}), "a")
+        if pairs.isEmpty():
+            return pairs.select("a", "b")
+        segments = self.segments(pairs, nodes)
+        left = pairs.select("a", "b").join(segments.withColumnsRenamed({"node": "a", "grams": "ga"}), "a")
         met = left.join(segments.withColumnsRenamed({"node": "b", "grams": "gb"}), ["b", "fragment"])
         partial = met.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("common"))
         total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
-        exact = chosen.join(total, ["a", "b"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
-        away = lambda n: 1 - F.col(n) / (F.col("na") + F.col("nb") - F.col(n))
-        far = pairs.where(~may).select("a", "b", F.lit(False).alias("linked"), away("most").alias("low"), F.lit(1.0).alias("high"))
-        return stage(exact.select("a", "b", _linked("common").alias("linked"), away("common").alias("low"), away("common").alias("high")).union(far), "gram-overlaps")
+        return stage(pairs.join(total, ["a", "b"]).where(_linked("common")).select("a", "b"), "gram-links")
 
     def roots(self) -> DataFrame:
         """node, root for all nodes that link with another node."""
-        postings = self.postings()
-        nodes = self.describe(postings)
-        centre = centres(postings)
-        near = self.overlaps(star_pairs(postings, centre), nodes)
-        links = near.where("linked").select("a", "b")
+        nodes, ranked = self.describe(self.postings())
+        # the node that leads to most others is the likeliest to be near the rest of a key
+        best = F.max(F.struct("weight", "node", "n", "p", "rank"))
+        centre = stage(ranked.groupBy("key").agg(best.alias("c")).select("key", *(F.col(f"c.{c}").alias(f"x_{c}") for c in ("node", "n", "p", "rank"))), "gram-centres")
+        star = ranked.join(centre, "key").where((F.col("node") != F.col("x_node")) & _may_link())
+        star = stage(star.select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b")).distinct(), "gram-star")
+        links = self.links(star, nodes)
         first = components(links)
-        own = F.col("node") == F.col("centre")
-        placed = (
-            postings.join(centre, "key")
-            .join(near.select(F.col("a").alias("centre"), F.col("b").alias("node"), "low", "high"), ["centre", "node"], "left")
-            .join(first, "node", "left")
-            .join(nodes.select("node", F.col("n").alias("size")), "node")
-            .select(
-                "key", "node", "size", F.coalesce("root", "node").alias("component"),
-                F.when(own, 0.0).otherwise(F.col("low")).alias("low"), F.when(own, 0.0).otherwise(F.col("high")).alias("high"),
-            )
-        )
-        rest = leftover_pairs(stage(placed, "gram-placed"), 1 - PERCENT / 100, 100 / PERCENT)
-        rest = rest.join(near.select("a", "b"), ["a", "b"], "left_anti")
-        more = self.overlaps(rest, nodes).where("linked").select("a", "b")
-        return components(links.union(more))
+        placed = ranked.drop("weight").join(first, "node", "left")
+        placed = stage(placed.withColumn("component", F.coalesce("root", "node")).drop("root"), "gram-placed")
+        rest = leftover_pairs(placed, _may_link()).join(star, ["a", "b"], "left_anti")
+        more = self.links(rest, nodes)
+        return first if more.isEmpty() else components(links.union(more))
+
+
+def _may_link():
+    """Whether nodes of sizes n and x_n, prefixes p and x_p, may link by a key of ranks rank and x_rank.
+
+    Linked sets share at least so many n-grams of both prefixes; the rarest of these has the others
+    behind it, in either prefix.
+    """
+    n, x = F.col("n"), F.col("x_n")
+    overlap = F.ceil(PERCENT * (n + x) / F.lit(100 + PERCENT))
+    shared = F.greatest(F.lit(1), overlap - F.greatest(n - F.col("p"), x - F.col("x_p")))
+    ranks = (F.col("rank") <= F.col("p") - shared) & (F.col("x_rank") <= F.col("x_p") - shared)
+    return (100 * F.least(n, x) >= PERCENT * F.greatest(n, x)) & ranks
 
 
 def _linked(overlap: str):

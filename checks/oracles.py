@@ -281,7 +281,8 @@ def _sql() -> dict[str, str]:
 
     on("modality_stats", """SELECT coalesce(nullif(trim(modalidad), ''), '(sin modalidad)') AS modalidad_g, count(*) AS n,
  median(valor_num) FILTER (WHERE valor_num > 0) AS mediana_valor FROM e GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15""")
-    on("monthly_series", "SELECT departamento, strftime(fecha_inicio, '%Y-%m') AS anio_mes, count(*) AS n_contratos FROM k GROUP BY 1, 2")
+    on("monthly_series", """SELECT *, row_number() OVER (PARTITION BY departamento ORDER BY anio_mes) AS puesto FROM (
+ SELECT departamento, strftime(fecha_inicio, '%Y-%m') AS anio_mes, count(*) AS n_contratos FROM k GROUP BY 1, 2)""")
     on("scatter_sample", f"""SELECT id_contrato, valor_num, duracion_dias, {fixed('valor_num / abs(duracion_dias)')} AS costo_por_dia,
  modalidad, tipo_contrato, nombre_entidad, proveedor FROM e WHERE elegible ORDER BY id_contrato LIMIT 2500""")
     on("cost_per_day_trim", f"SELECT id_contrato, {fixed('costo')} AS costo_por_dia FROM tr", *TRIMMED)
@@ -326,17 +327,21 @@ def _sql() -> dict[str, str]:
     on("modality_risk", """SELECT id_contrato, modalidad, es_directa, CASE WHEN strip_accents(upper(modalidad)) LIKE '%DIRECTA%' THEN 10
  WHEN strip_accents(upper(modalidad)) LIKE '%ABREVIADA%' THEN 5 WHEN strip_accents(upper(modalidad)) LIKE '%LICITACION PUBLICA%' THEN 1 END AS puntuacion_modalidad FROM e""")
 
-    on("by_department", "SELECT * FROM por_depto", SPELLED)
-    on("by_city", "SELECT * FROM por_ciudad", SPELLED)
-    on("city_list", "SELECT departamento, coalesce(nullif(trim(ciudad), ''), '(vacío / null)') AS ciudad, count(*) AS n_contratos FROM sp GROUP BY 1, 2", SPELLED)
+    on("by_department", "SELECT *, row_number() OVER (ORDER BY n_contratos DESC, departamento NULLS LAST) AS puesto FROM por_depto", SPELLED)
+    on("by_city", "SELECT *, row_number() OVER (PARTITION BY departamento ORDER BY n_contratos DESC, ciudad NULLS LAST) AS puesto FROM por_ciudad", SPELLED)
+    on("city_list", """SELECT *, row_number() OVER (PARTITION BY departamento ORDER BY n_contratos DESC, ciudad) AS puesto,
+ count(*) OVER (PARTITION BY departamento) AS n_ciudades FROM (
+ SELECT departamento, coalesce(nullif(trim(ciudad), ''), '(vacío / null)') AS ciudad, count(*) AS n_contratos FROM sp GROUP BY 1, 2)""", SPELLED)
     rank_label = """CASE WHEN lower(trim(departamento)) IN ('', 'nan', 'none') THEN '(Sin nombre)'
  WHEN lower(departamento) LIKE '%distrito capital%' OR lower(departamento) LIKE '%bogot%' THEN 'Bogotá (D.C.)' ELSE trim(departamento) END AS etiqueta"""
-    on("department_rank", f"SELECT *, {rank_label} FROM por_depto ORDER BY n_contratos DESC, departamento LIMIT 40", SPELLED)
+    on("department_rank", f"SELECT *, {rank_label} FROM por_depto", SPELLED)
     region_pairs = "rp AS (SELECT DISTINCT trim(departamento) AS departamento, trim(ciudad) AS ciudad FROM sp WHERE trim(departamento) <> '' AND trim(ciudad) <> '')"
     on("region_pairs", "SELECT * FROM rp", SPELLED, region_pairs)
     on("region_catalog", "SELECT departamento, count(*) AS n_ciudades, string_agg(ciudad, '|' ORDER BY lower(ciudad), ciudad) AS ciudades FROM rp GROUP BY 1", SPELLED, region_pairs)
     on("region_catalog_saved", """SELECT departamento, ciudad, row_number() OVER (PARTITION BY departamento ORDER BY lower(ciudad), ciudad) - 1 AS orden,
  'csv' AS origen FROM rp""", SPELLED, region_pairs)
+    for source in ("api", "json"):
+        q[f"region_catalog_{source}"] = q["region_catalog_saved"].replace("'csv' AS origen", f"'{source}' AS origen")
     md = matched("por_depto", "md")
     on("region_match", "SELECT * FROM md", SPELLED, md)
     on("region_fill", "SELECT orden, d.dpto, coalesce(n, 0)::DOUBLE AS z FROM deptos d LEFT JOIN (SELECT dpto, sum(n_contratos) AS n FROM md GROUP BY 1) USING (dpto)", SPELLED, md)
@@ -346,16 +351,25 @@ def _sql() -> dict[str, str]:
     on("city_tier_match", "SELECT * FROM cm", *city_ctes)
     on("municipality_volumes", "SELECT dpto, mpio, sum(n_contratos)::BIGINT AS n_contratos, first(ciudad ORDER BY n_contratos DESC, ciudad) AS ciudad FROM cm GROUP BY 1, 2", *city_ctes)
     on("municipality_fill", """SELECT dpto, mpio, coalesce(n_contratos, 0)::DOUBLE AS z, coalesce(ciudad, ciudad_catalogo, '') AS ciudad_filtro,
- CASE WHEN coalesce(ciudad, ciudad_catalogo, '') <> '' THEN coalesce(ciudad, ciudad_catalogo) ELSE mpio END AS etiqueta
+ CASE WHEN coalesce(ciudad, ciudad_catalogo, '') <> '' THEN coalesce(ciudad, ciudad_catalogo) ELSE mpio END AS etiqueta,
+ row_number() OVER (PARTITION BY dpto ORDER BY mpio) AS puesto
  FROM mapa LEFT JOIN vol USING (dpto, mpio) LEFT JOIN cat1 USING (dpto, mpio)""",
-       SPELLED, """pd AS (SELECT departamento, trim(ciudad) AS ciudad, count(*) AS n_contratos FROM sp
- WHERE modalidad = 'Contratación Directa (con ofertas)' GROUP BY 1, 2)""", matched("pd", "pdm"),
+       SPELLED, """pd AS (SELECT departamento, trim(ciudad) AS ciudad, count(*) AS n_contratos FROM sp GROUP BY 1, 2)""", matched("pd", "pdm"),
        "pdc AS (SELECT dpto, ciudad, n_contratos FROM pdm WHERE dpto IS NOT NULL)", tiers("pdc", "cm"),
        "vol AS (SELECT dpto, mpio, sum(n_contratos) AS n_contratos, first(ciudad ORDER BY n_contratos DESC, ciudad) AS ciudad FROM cm GROUP BY 1, 2)",
        region_pairs, "rpo AS (SELECT *, row_number() OVER (PARTITION BY departamento ORDER BY lower(ciudad), ciudad) - 1 AS orden FROM rp)",
        matched("rpo", "rpm"), "rpc AS (SELECT dpto, ciudad, orden FROM rpm WHERE dpto IS NOT NULL)",
        tiers("(SELECT DISTINCT dpto, ciudad FROM rpc)", "ct"),
        "cat1 AS (SELECT dpto, mpio, first(ciudad ORDER BY orden, ciudad) AS ciudad_catalogo FROM rpc JOIN ct USING (dpto, ciudad) GROUP BY 1, 2)")
+    q["municipality_fill_geojson"] = q["municipality_fill"]
+    on("csv_result", "SELECT * FROM por_depto", SPELLED)
+    on("saved_runs", """SELECT strftime(fecha_inicio, '%Y-%m') AS anio_mes, count(*) AS n_contratos, departamento AS region, 2::BIGINT AS version
+ FROM k WHERE departamento IN ('ASIA', 'EUROPE') GROUP BY 1, 3""")
+    q["csv_records"] = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'línea uno' || chr(10) || 'línea "dos", fin'
+ WHEN o_orderkey % 17 = 0 THEN 'a 5" b' WHEN o_orderkey % 19 = 0 THEN 'x" y' ELSE 'z' END AS nota,
+ CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus WHEN o_orderkey % 13 = 0 THEN 'de más' END AS estado,
+ (o_orderkey % 11 = 0) <> (o_orderkey % 13 = 0) AS rechazado FROM orders"""
+    q["tsv_headings"] = "SELECT n_nationkey::BIGINT AS clave, n_name AS nombre, false AS rechazado FROM nation"
     on("department_volume", f"""SELECT nombre, coalesce((SELECT sum(n_contratos) FROM por_depto WHERE departamento = trim(nombre)),
  (SELECT max(n_contratos) FROM por_depto WHERE {norm('departamento')} = {norm('nombre')}), 0)::BIGINT AS n_contratos
  FROM (SELECT dpto AS nombre FROM deptos UNION ALL SELECT 'Zona ' || lower(dpto) FROM deptos)""", SPELLED)
@@ -363,6 +377,7 @@ def _sql() -> dict[str, str]:
  FROM sp GROUP BY departamento, ciudad""", SPELLED)
 
     on("burst_window", trailing("e", "nit_entidad, doc_proveedor", "fecha_inicio", 60, "NOT descartado"))
+    q["burst_window_hot"] = q["burst_window"]
     on("burst_max", "SELECT * FROM pico", pairs(60))
     on("burst_window_nation", trailing("k", "ciudad, doc_proveedor", "fecha_inicio", 10))
     q["burst_window_events"] = trailing("events", "user_id, event_type", "ts", 2)
@@ -377,6 +392,14 @@ def _sql() -> dict[str, str]:
  {fixed('score_reglas')} AS score_reglas, 0::DOUBLE AS score_anomalia, reglas_disparadas,
  CASE WHEN frases <> '' THEN frases ELSE format('combinación de scores (reglas={{:.2f}}, anomalía={{:.2f}})', score_reglas, 0::DOUBLE) END AS razon_priorizacion,
  true AS alerta FROM puntos, um WHERE score_reglas >= q""", pairs(60), *SCORED, threshold)
+    mix = """mezcla AS (SELECT *, least(1::DOUBLE, greatest(0::DOUBLE, 0.4::DOUBLE * score_reglas + 0.6::DOUBLE * azar)) AS final,
+ concat_ws('; ', nullif(frases, ''), CASE WHEN azar >= 0.7::DOUBLE THEN 'patrón agregado atípico (Isolation Forest)' END) AS motivos FROM (
+ SELECT *, ('0x' || substr(md5(concat_ws('|', nit_entidad, doc_proveedor)), 1, 4))::INT::DOUBLE / 65536::DOUBLE AS azar FROM puntos))"""
+    on("blended_ranking", f"""SELECT {PAIR_KEYS}, n_contratos, {fixed('suma_valor', 2)} AS suma_valor, {fixed('ratio_directa')} AS ratio_directa,
+ {fixed('concentracion_entidad', 8)} AS concentracion_entidad, max_contratos_ventana, {fixed('final')} AS score_final,
+ {fixed('score_reglas')} AS score_reglas, {fixed('azar')} AS score_anomalia, reglas_disparadas,
+ CASE WHEN motivos <> '' THEN motivos ELSE format('combinación de scores (reglas={{:.2f}}, anomalía={{:.2f}})', score_reglas, azar) END AS razon_priorizacion,
+ true AS alerta FROM mezcla, um WHERE final >= q""", pairs(60), *SCORED, mix, quantile("mezcla", "final", 0.95, "um"))
     on("run_counts_rules", f"""SELECT c.*, (SELECT count(*) FROM pares) AS n_pairs, (SELECT count(*) FROM puntos) AS n_pairs_scored,
  (SELECT count(*) FROM puntos, um WHERE score_reglas >= q) AS n_alerts, {fixed('(SELECT q FROM p90)')} AS costo_dia_p90,
  95::DOUBLE AS alert_percentile, 1::DOUBLE AS weight_rules, 0::DOUBLE AS weight_if, 60 AS burst_window_days,
@@ -417,20 +440,20 @@ def _sql() -> dict[str, str]:
  (SELECT count(*) FROM cambios WHERE o_orderkey IN (SELECT o_orderkey FROM base)) AS filas_actualizadas,
  (SELECT count(*) FROM base WHERE o_orderkey IN (SELECT o_orderkey FROM bajas) AND o_orderkey NOT IN (SELECT o_orderkey FROM cambios)) AS filas_borradas""",
        VALOR_TEXT, CHANGES)
+    q["saved_transform_file"] = q["upsert"]
     q["last_change"] = "SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1"
     q["saved_transform"] = "SELECT o_totalprice AS precio, o_orderkey AS id, lower(o_orderstatus) AS o_orderstatus, o_orderpriority, o_totalprice >= 200000 AS caro FROM orders"
     q["sorted_page"] = "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 500 OFFSET 100"
 
     q["stream_daily_counts"] = """SELECT desde, desde + INTERVAL 1 DAY AS hasta, event_type, n FROM (
- SELECT date_trunc('day', ts)::TIMESTAMP AS desde, event_type, count(*) AS n FROM events GROUP BY 1, 2)
- WHERE desde + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
+ SELECT date_trunc('day', ts)::TIMESTAMP AS desde, event_type, count(*) AS n FROM events GROUP BY 1, 2)"""
     on("stream_burst", """SELECT desde, desde + INTERVAL 10 DAY AS hasta, ciudad, doc_proveedor, count(*) AS n FROM (
  SELECT date_trunc('day', fecha_inicio)::TIMESTAMP - to_days(i::INT) AS desde, ciudad, doc_proveedor FROM k, range(10) r(i))
- WHERE desde + INTERVAL 10 DAY <= (SELECT max(fecha_inicio) FROM k) - INTERVAL 30 DAY GROUP BY ALL HAVING count(*) >= 3""")
+ GROUP BY ALL HAVING count(*) >= 3""")
     q["stream_sessions"] = """SELECT min(ts) AS desde, max(ts) + INTERVAL 6 HOUR AS hasta, user_id, count(*) AS n FROM (
  SELECT user_id, ts, sum(nueva) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
  SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nueva FROM events))
- GROUP BY user_id, s HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
+ GROUP BY user_id, s"""
     q["stream_repeats"] = "SELECT event_id, user_id, event_type, value FROM events"
     return q
 

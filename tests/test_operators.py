@@ -10,6 +10,7 @@ from veedor.operators import concentration, explore, listing, quality, scope
 from veedor.operators.pairs import pair_features
 from veedor.operators.quantiles import exact_quantiles
 from veedor.operators.spread import attach_stats, attach_total
+from veedor.operators.listing import next_cursor, page_after
 from veedor.operators.windows import trailing_counts
 
 
@@ -133,8 +134,8 @@ def test_years_pages(make):
     assert [(r.id_contrato, r.n_fila) for r in listing.page(df, 1, 5).orderBy("n_fila").collect()] == [
         (f"C{i:04d}", i + 1) for i in range(5, 10)]
     assert [r.id_contrato for r in listing.page(df, -3, 2).orderBy("n_fila").collect()] == ["C0000", "C0001"]
-    assert [r.id_contrato for r in listing.page_after(df, "C0009", 5).collect()] == ["C0010", "C0011"]
-    assert listing.page_after(df, None, 3).count() == 3
+    assert [r.id_contrato for r in listing.page_after(df, {"id_contrato": "C0009"}, 1, 5).collect()] == ["C0010", "C0011"]
+    assert listing.page_after(df, None, size=3).count() == 3
     counts = listing.filtered_counts(enrich(df)).select("n")
     assert [tuple(one(listing.page_bounds(counts, n, 5)))[1:] for n in (0, 2, 99)] == [(3, 1), (3, 2), (3, 3)]
     assert tuple(one(listing.page_bounds(counts.select(F.lit(0).alias("n")), 1, 5)))[1:] == (1, 1)
@@ -242,3 +243,13 @@ def test_quantiles_of_values_in_one_bucket(spark):
     df = spark.createDataFrame([(v,) for v in numbers], "v double")
     got = one(exact_quantiles(df, "v", {"a": 0.013, "b": 0.5, "c": 0.95}))
     assert list(got) == pytest.approx([np.quantile(numbers, p) for p in (0.013, 0.5, 0.95)], rel=1e-15)
+
+
+def test_keyset_pages_see_every_row_once(make):
+    df = make(*[{"id_contrato": i, "ciudad": c} for i, c in (("A", "x"), ("A", "x"), ("A", None), ("B", "y"), (None, "z"), (None, "z"), (None, None))])
+    for size in (1, 2, 3):
+        seen, last, delivered = [], None, 0
+        while rows := [r.asDict() for r in page_after(df, last, delivered, size).collect()]:
+            seen += rows
+            last, delivered = next_cursor(rows, last, delivered)
+        assert sorted(map(str, seen)) == sorted(str(r.asDict()) for r in df.collect())

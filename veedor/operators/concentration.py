@@ -23,8 +23,9 @@ def pair_counts(df: DataFrame) -> DataFrame:
 def concentration_index(df: DataFrame) -> DataFrame:
     """Share of each pair in its entity's contracts; both ids must be present."""
     known = df.where(is_present(F.col("nit_entidad")) & is_present(F.col("doc_proveedor")))
+    # Staged: totals and pairs come from one pass over contracts.
     pairs = attach_total(
-        pair_counts(known), "nit_entidad", "contratos_par", "contratos_entidad",
+        stage(pair_counts(known), "pair-counts"), "nit_entidad", "contratos_par", "contratos_entidad",
         ("nombre_entidad", "doc_proveedor", "proveedor"),
     )
     share = F.col("contratos_par").cast("double") / F.col("contratos_entidad")

@@ -77,11 +77,10 @@ def draw_samples(
 ) -> DataFrame:
     """(arbol, u, h, x): of ``n`` rows at most ``sample`` rows per tree, chosen by hashing the row key.
 
-    The choice does not depend on partitioning. With many rows each is offered to one tree by
-    a single hash; with few, to every tree.
+    The choice does not depend on partitioning: every row is offered to every tree with the same
+    small chance, independently, whatever the number of rows.
     """
-    ratio = _SPARE * sample / max(n, 1)
-    share = F.lit(ratio)
+    share = F.lit(_SPARE * sample / max(n, 1))
 
     def unit(*parts: Column) -> Column:
         return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
@@ -89,24 +88,14 @@ def draw_samples(
     base = df.select(
         F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
         F.xxhash64(F.lit(seed), *keys).alias("h"),
-    ).withColumn("u", unit(F.col("h"), F.lit(-1)))
-    one_tree = F.when(
-        F.col("u") < share * trees,
-        F.array(
-            F.struct(
-                F.floor(F.col("u") / share).cast("int").alias("arbol"),
-                F.pmod(F.col("u"), share).alias("u"),
-            )
-        ),
     )
-    every_tree = F.filter(
+    offers = F.filter(
         F.transform(
             F.sequence(F.lit(0), F.lit(trees - 1)),
             lambda t: F.struct(t.alias("arbol"), unit(F.col("h"), t).alias("u")),
         ),
         lambda c: c["u"] < share,
     )
-    offers = one_tree if ratio * trees <= 1.0 else every_tree
     # A fixed number of partitions: these few rows are otherwise merged into one task, and
     # all trees would grow there.
     tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)

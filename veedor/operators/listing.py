@@ -50,10 +50,32 @@ def page(df: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
     return rows.withColumn("n_fila", (position + skip).cast("bigint"))
 
 
-def page_after(df: DataFrame, last_id: str | None, size: int = PAGE_SIZE) -> DataFrame:
-    """The rows that follow ``last_id``: the same cost for every page. Needs unique ids."""
-    rest = df if last_id is None else df.where(F.col("id_contrato") > last_id)
-    return rest.orderBy(*page_order(df)).limit(size)
+def page_after(df: DataFrame, last: dict | None, delivered: int = 0, size: int = PAGE_SIZE) -> DataFrame:
+    """The next rows in page order: the same cost for every page, whatever the ids.
+
+    ``last`` is the last row delivered (or the values of its first sort columns), and
+    ``delivered`` how many rows equal to it were delivered so far (see ``next_cursor``): rows
+    that are equal in every column can only be told apart by their number.
+    """
+    if last is None:
+        return df.orderBy(*page_order(df)).limit(size)
+    names = [c for c in ["id_contrato", *(c for c in df.columns if c != "id_contrato")] if c in last]
+    rest = F.lit(True)  # equal in all columns: not before the cursor
+    for name in reversed(names):
+        column, value = F.col(f"`{name}`"), F.lit(last[name]).cast(df.schema[name].dataType)
+        after = F.lit(False) if last[name] is None else column.isNull() | (column > value)
+        rest = after | (column.eqNullSafe(value) & rest)
+    # implied by the rest, and simple enough for the scan
+    reach = F.lit(True) if last.get("id_contrato") is None else F.col("id_contrato").isNull() | (F.col("id_contrato") >= last["id_contrato"])
+    return df.where(reach & rest).orderBy(*page_order(df)).offset(delivered).limit(size)
+
+
+def next_cursor(rows: list[dict], last: dict | None = None, delivered: int = 0) -> tuple[dict | None, int]:
+    """Cursor after a page: its last row, and how many rows equal to it have been delivered."""
+    if not rows:
+        return last, delivered
+    same = next((k for k, row in enumerate(reversed(rows)) if row != rows[-1]), len(rows))
+    return rows[-1], same + (delivered if same == len(rows) and rows[-1] == last else 0)
 
 
 def page_bounds(counts: DataFrame, number: int, size: int = PAGE_SIZE) -> DataFrame:
@@ -99,3 +121,25 @@ def first_rows(df: DataFrame, order: list[Column], limit: int | None) -> DataFra
 def ranked(df: DataFrame, measure: str, *keys: str) -> DataFrame:
     """Largest measure first, ties by key."""
     return df.orderBy(F.col(measure).desc_nulls_last(), *[F.col(k).asc_nulls_last() for k in keys])
+
+
+def numbered(report: DataFrame, order: list[Column], within: tuple[str, ...] = ()) -> DataFrame:
+    """Add ``puesto``: the place of a row of a report in its sorted form, from 1, in each group.
+
+    For aggregates only (one row per place name or month): a group's rows meet in one task.
+    """
+    group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    return report.withColumn("puesto", F.row_number().over(group.orderBy(*order)).cast("bigint"))
+
+
+def largest_first(*keys: str) -> list[Column]:
+    """Order of the place reports: most contracts first, ties by name."""
+    return [F.col("n_contratos").desc(), *[F.col(k).asc_nulls_last() for k in keys]]
+
+
+def numbered_cities(cities: DataFrame) -> DataFrame:
+    """``city_list`` in order, with the number of cities of the department."""
+    each = Window.partitionBy("departamento")
+    return numbered(cities, largest_first("ciudad"), ("departamento",)).withColumn(
+        "n_ciudades", F.count("*").over(each)
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from veedor.functions.flags import SHORT_TEXT, cost_per_day, discarded, is_direct
 from veedor.operators.spread import attach_total
-from veedor.operators.windows import key_sizes, trailing_counts
+from veedor.operators.windows import trailing_counts
 from veedor.runtime import stage
 from veedor.schema import PAIR_KEYS
 
@@ -22,28 +22,35 @@ def analyzed(enriched: DataFrame) -> DataFrame:
 _IDS = ("nit_entidad", "doc_proveedor")
 
 
-def burst_peaks(
-    rows: DataFrame, days: int = BURST_DAYS, sizes: DataFrame | None = None
-) -> DataFrame:
+def burst_peaks(rows: DataFrame, days: int = BURST_DAYS) -> DataFrame:
     """Most contracts of a pair of ids within ``days`` days."""
-    counts = trailing_counts(rows, _IDS, "fecha_inicio", days, sizes=sizes)
+    counts = trailing_counts(rows, _IDS, "fecha_inicio", days)
     return counts.groupBy(*_IDS).agg(
         F.max("n_ventana").cast("bigint").alias("max_contratos_ventana")
     )
 
 
+def _narrow(rows: DataFrame) -> DataFrame:
+    """What the features of a pair are made of."""
+    return rows.select(
+        *PAIR_KEYS, "fecha_inicio", "valor_num", "duracion_dias", "longitud_objeto",
+        cost_per_day().alias("costo_dia"),
+        is_direct(F.col("modalidad")).cast("double").alias("directa"),
+        F.left(F.trim(F.coalesce("objeto_raw", F.lit(""))), F.lit(OBJECT_PREFIX)).alias("inicio_objeto"),
+    )
+
+
 def _pair_aggregate(rows: DataFrame) -> DataFrame:
     short = F.when(F.col("longitud_objeto") < SHORT_TEXT, 1.0).otherwise(0.0)
-    opening = F.left(F.trim(F.coalesce("objeto_raw", F.lit(""))), F.lit(OBJECT_PREFIX))
     return rows.groupBy(*PAIR_KEYS).agg(
         F.count("*").alias("n_contratos"),
         F.sum("valor_num").alias("suma_valor"),
         F.avg("valor_num").alias("promedio_valor"),
-        F.avg(cost_per_day()).alias("costo_dia_promedio"),
+        F.avg("costo_dia").alias("costo_dia_promedio"),
         F.avg("duracion_dias").alias("duracion_promedio"),
-        F.avg(is_direct(F.col("modalidad")).cast("double")).alias("ratio_directa"),
+        F.avg("directa").alias("ratio_directa"),
         F.avg(short).alias("pct_objeto_corto"),
-        F.count_distinct(opening).alias("diversidad_objetos"),
+        F.count_distinct("inicio_objeto").alias("diversidad_objetos"),
         F.min("longitud_objeto").alias("min_longitud_objeto"),
     )
 
@@ -55,15 +62,14 @@ def pair_features(enriched: DataFrame, days: int = BURST_DAYS) -> DataFrame:
     The burst belongs to the two ids, so spellings of a name share it; without a supplier id
     (or without dates) it is the pair's contract count.
     """
-    rows = analyzed(enriched).where(F.col("nit_entidad").isNotNull())
-    # Staged: read for sizes, totals and the join, while contracts are aggregated once.
+    # Staged: contracts are joined, parsed and filtered once, for the aggregate and the bursts.
+    rows = stage(_narrow(analyzed(enriched).where(F.col("nit_entidad").isNotNull())), "pair-contracts")
     aggregate = stage(_pair_aggregate(rows), "pair-aggregate")
     pairs = attach_total(
         aggregate, "nit_entidad", "n_contratos", "n_entidad_anio",
         ("nombre_entidad", "doc_proveedor", "proveedor"),
     )
-    sizes = key_sizes(aggregate.where(F.col("doc_proveedor").isNotNull()), _IDS, F.col("n_contratos"))
-    peaks = burst_peaks(rows.where(F.col("doc_proveedor").isNotNull()), days, sizes).select(
+    peaks = burst_peaks(rows.where(F.col("doc_proveedor").isNotNull()), days).select(
         F.col("nit_entidad").alias("_nit"), F.col("doc_proveedor").alias("_doc"),
         F.lit(False).alias("_sin_doc"), "max_contratos_ventana",
     )

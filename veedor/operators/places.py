@@ -152,7 +152,8 @@ def department_volume(requests: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def department_ranking(counts: DataFrame, limit: int = RANKING_ROWS) -> DataFrame:
-    """Largest departments with their short label."""
-    top = ranked(counts, "n_contratos", "departamento").limit(limit)
+def department_ranking(counts: DataFrame, limit: int | None = RANKING_ROWS) -> DataFrame:
+    """Largest departments with their short label; with None all of them."""
+    top = ranked(counts, "n_contratos", "departamento")
+    top = top if limit is None else top.limit(limit)
     return top.withColumn("etiqueta", ranking_label(F.col("departamento")))

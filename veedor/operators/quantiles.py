@@ -41,24 +41,27 @@ def _join_targets(values: DataFrame, targets: DataFrame, keys: list[str]) -> Dat
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: tuple[str, ...] = ()
+    df: DataFrame, value: str, probs: dict[str, float], by: tuple[str, ...] = (), weight: str | None = None
 ) -> DataFrame:
     """Linearly interpolated quantiles: ``by`` columns plus one double column per name.
 
     NULL, NaN and infinite values are ignored; a group without values is missing (for
-    ``by=()`` the one row holds NULL).
+    ``by=()`` the one row holds NULL). ``weight`` names how many rows a row stands for.
 
-    1. Count values per (group, bucket): map-side combined, a small table.
-    2. Running counts tell which buckets hold the wanted ranks.
-    3. Only values of those buckets are shuffled, as counts of distinct values, and the same
-       two steps over fine buckets leave a handful of values to rank.
+    1. Count equal values per group, map-side combined, and stage these counts: ``df`` is
+       evaluated once.
+    2. Count per (group, bucket); running counts tell which buckets hold the wanted ranks.
+    3. Only counts of those buckets are joined, and the same two steps over fine buckets leave
+       a handful of values to rank.
 
     A group with a third of all rows is spread over its buckets, unlike an exact
     ``percentile``, which keeps every distinct value of a group in one buffer.
     """
     v = F.col(value).cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
-    values = df.where(finite).select(*by, v.alias("_v"), _bucket(v).alias("_b"))
+    times = (F.lit(1) if weight is None else F.col(weight)).cast("bigint").alias("_n")
+    counts = df.where(finite).select(*by, v.alias("_v"), times).groupBy(*by, "_v").agg(F.sum("_n").alias("_n"))
+    values = stage(counts, "quantile-counts").withColumn("_b", _bucket(F.col("_v")))
     group, coarse = list(by), [*by, "_b"]
 
     def position(p: float) -> Column:
@@ -72,7 +75,7 @@ def exact_quantiles(
     wanted = reduce(lambda a, b: a | b, [holds(r) for r in ranks])
 
     histogram = values.groupBy(*coarse).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+        F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
     totals = Window.partitionBy(*group) if by else Window.partitionBy(F.lit(0))
     targets = (
@@ -91,8 +94,7 @@ def exact_quantiles(
     distinct = (
         _join_targets(values, targets, coarse)
         .withColumn("_f", _fine(F.col("_v"), F.col("_lo"), F.col("_hi")))
-        .groupBy(*fine, "_before", "_total", "_v")
-        .agg(F.count("*").alias("_n"))
+        .select(*fine, "_before", "_total", "_v", "_n")
     )
     per_fine = distinct.groupBy(*fine, "_before", "_total").agg(F.sum("_n").alias("_n"))
     fine_targets = (

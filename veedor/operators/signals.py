@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veedor.functions.flags import cost_per_day, incoherent_duration_or_signature, modality_risk
 from veedor.functions.parsing import is_present
 from veedor.operators.quantiles import exact_quantiles
-from veedor.operators.spread import attach_stats, attach_total
+from veedor.operators.spread import attach_stats
 from veedor.runtime import stage
 
 SIGMAS = 3.0
@@ -37,9 +37,9 @@ def sector_deviation(enriched: DataFrame, sector: str) -> DataFrame:
 def relationship_age(df: DataFrame) -> DataFrame:
     """Days between a supplier's first contract and each of its contracts."""
     dated = df.where(is_present(F.col("doc_proveedor")) & F.col("fecha_inicio").isNotNull())
-    rows = attach_total(
-        dated, "doc_proveedor", "fecha_inicio", "primer_contrato", ("id_contrato",), F.min
-    )
+    first = dated.groupBy("doc_proveedor").agg(F.min("fecha_inicio").alias("primer_contrato"))
+    # Staged, both sides of the join are plain inputs and adaptive execution splits a hot supplier.
+    rows = dated.join(stage(first, "first-contracts"), "doc_proveedor")
     age = F.datediff("fecha_inicio", "primer_contrato").cast("bigint")
     return rows.withColumn("antiguedad_dias", age)
 

@@ -9,15 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from veedor.functions.times import HOUR_MICROS, epoch_hour, micros_in_hour
 from veedor.runtime import stage
 
-# A key with more rows than this is split by hour instead of being sorted in one task. There
-# are at most (all rows / HOT_ROWS) such keys.
+# A key with more different times than this is split by hour instead of being sorted in one
+# task. There are at most (all times / HOT_ROWS) such keys. The results do not depend on it.
 HOT_ROWS = 1_000_000
-_SIZE = "_rows"
-
-
-def key_sizes(df: DataFrame, keys: tuple[str, ...], n: Column | None = None) -> DataFrame:
-    """Rows per key in the form ``trailing_counts`` takes as ``sizes``; ``n`` adds up counts."""
-    return df.groupBy(*keys).agg(F.sum(F.lit(1) if n is None else n).alias(_SIZE))
 
 
 def trailing_counts(
@@ -26,7 +20,6 @@ def trailing_counts(
     stamp: str,
     days: int,
     weight: Column | None = None,
-    sizes: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """For each key and distinct time: ``n_filas`` rows at that time and ``n_ventana`` rows in
@@ -36,59 +29,53 @@ def trailing_counts(
     preceding and current row)``. Rows without a time are left out. ``weight`` is what a row
     counts, 1 by default.
 
-    Keys up to ``hot_rows`` rows go through one window, a single shuffle. Larger ones, if there
-    are any, are split by hour. ``sizes`` are known row counts per key (see ``key_sizes``);
-    without them the keys are counted first.
+    Rows with equal key and time are counted before the shuffle and staged: ``df`` is evaluated
+    once. Keys of up to ``hot_rows`` times then go through one window; larger ones, if there
+    are any, are split by hour.
     """
     window_days = max(1, int(days))
     rows = df.where(F.col(stamp).isNotNull()).select(
         *keys, stamp, (F.lit(1) if weight is None else weight).cast("bigint").alias("_w")
     )
-    sizes = key_sizes(rows, keys) if sizes is None else sizes
-    hot = stage(sizes.where(F.col(_SIZE) > hot_rows).select(*keys), "hot-keys")
+    ticks = stage(rows.groupBy(*keys, stamp).agg(F.sum("_w").alias("n_filas")), "ticks")
+    sizes = ticks.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    hot = stage(sizes.where(F.col("_rows") > hot_rows).select(*keys), "hot-keys")
     if hot.isEmpty():
-        return _within_key(rows, keys, stamp, window_days)
+        return _within_key(ticks, keys, stamp, window_days)
     hot = hot.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys])
-    small = _within_key(rows.join(hot, same, "left_anti"), keys, stamp, window_days)
-    large = _by_hour(rows.join(hot, same, "left_semi"), keys, stamp, window_days)
+    same = reduce(lambda a, b: a & b, [ticks[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys])
+    small = _within_key(ticks.join(hot, same, "left_anti"), keys, stamp, window_days)
+    large = _by_hour(ticks.join(hot, same, "left_semi"), keys, stamp, window_days)
     return small.unionByName(large)
 
 
-def _within_key(rows: DataFrame, keys: tuple[str, ...], stamp: str, days: int) -> DataFrame:
+def _within_key(ticks: DataFrame, keys: tuple[str, ...], stamp: str, days: int) -> DataFrame:
     """One sort per key. Two running sums replace the sliding frame, whose cost would grow with
-    the rows in the range; the grouping by key and time reuses the window's partitioning."""
+    the rows in the range."""
     at = F.col(stamp)
     clock = epoch_hour(at) * HOUR_MICROS + micros_in_hour(at)
     by_time = Window.partitionBy(*keys).orderBy("_t")
-    upto = F.sum("_w").over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.sum("_w").over(
+    upto = F.sum("n_filas").over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.sum("n_filas").over(
         by_time.rangeBetween(Window.unboundedPreceding, -days * 24 * HOUR_MICROS - 1)
     )
-    counted = rows.withColumn("_t", clock).withColumn(
-        "_n", upto - F.coalesce(before, F.lit(0).cast("bigint"))
-    )
-    return counted.groupBy(*keys, stamp).agg(
-        F.sum("_w").alias("n_filas"), F.max("_n").alias("n_ventana")
+    counted = ticks.withColumn("_t", clock).withColumn(
+        "n_ventana", upto - F.coalesce(before, F.lit(0).cast("bigint"))
     )
+    return counted.select(*keys, stamp, "n_filas", "n_ventana")
 
 
-def _by_hour(rows: DataFrame, keys: tuple[str, ...], stamp: str, days: int) -> DataFrame:
+def _by_hour(ticks: DataFrame, keys: tuple[str, ...], stamp: str, days: int) -> DataFrame:
     """The same counts for keys of any size; a key's rows never meet in one task.
 
-    * rows with equal key and time are counted before the shuffle;
     * the hours strictly inside the range are added up from hourly counts;
     * the two hours at the ends are compared by offset within (key, hour).
     """
     hours = days * 24
     at = F.col(stamp)
-    ticks = (
-        rows.groupBy(*keys, stamp)
-        .agg(F.sum("_w").alias("n_filas"))
-        .withColumns({"_hour": epoch_hour(at), "_off": micros_in_hour(at)})
-    )
+    ticks = ticks.withColumns({"_hour": epoch_hour(at), "_off": micros_in_hour(at)})
     none = F.lit(0).cast("bigint")
-    no_time = F.lit(None).cast(rows.schema[stamp].dataType)
+    no_time = F.lit(None).cast(ticks.schema[stamp].dataType)
 
     def entry(hour: Column, off: Column, time: Column, own: Column, past: Column, inner: Column):
         return [

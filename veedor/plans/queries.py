@@ -130,7 +130,7 @@ def page_by_id(spark, d):
 
 @query
 def page_keyset(spark, d):
-    return listing.page_after(contracts(spark, d), "2000-")
+    return listing.page_after(contracts(spark, d), {"id_contrato": "2000-"})
 
 
 @query
@@ -176,7 +176,8 @@ def modality_stats(spark, d):
 
 @query
 def monthly_series(spark, d):
-    return explore.monthly_series(contracts(spark, d, "departamento", "fecha_inicio"), ("departamento",))
+    months = explore.monthly_series(contracts(spark, d, "departamento", "fecha_inicio"), ("departamento",))
+    return listing.numbered(months, [F.col("anio_mes")], ("departamento",))
 
 
 @query
@@ -346,22 +347,22 @@ def _cities(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def by_department(spark, d):
-    return listing.by_department(_spelled(spark, d))
+    return listing.numbered(listing.by_department(_spelled(spark, d)), listing.largest_first("departamento"))
 
 
 @query
 def by_city(spark, d):
-    return listing.by_city(_spelled(spark, d))
+    return listing.numbered(listing.by_city(_spelled(spark, d)), listing.largest_first("ciudad"), ("departamento",))
 
 
 @query
 def city_list(spark, d):
-    return listing.city_list(_spelled(spark, d))
+    return listing.numbered_cities(listing.city_list(_spelled(spark, d)))
 
 
 @query
 def department_rank(spark, d):
-    return places.department_ranking(listing.by_department(_spelled(spark, d)))
+    return places.department_ranking(listing.by_department(_spelled(spark, d)), None)
 
 
 @query
@@ -385,6 +386,25 @@ def region_catalog_saved(spark, d):
     return found.select("departamento", "ciudad", F.col("orden").cast("bigint").alias("orden"), F.lit(label).alias("origen"))
 
 
+def _catalog_from(spark: SparkSession, d: str, path: str, api) -> DataFrame:
+    found, label = catalog.resolve_catalog(spark, path, api, lambda: _spelled(spark, d).limit(0))
+    return found.select("departamento", "ciudad", F.col("orden").cast("bigint").alias("orden"), F.lit(label).alias("origen"))
+
+
+@query
+def region_catalog_api(spark, d):
+    """The API's rows come first and are saved."""
+    return _catalog_from(spark, d, new_path(spark, "catalog"), lambda: _spelled(spark, d))
+
+
+@query
+def region_catalog_json(spark, d):
+    """Without an API the saved document is next."""
+    path = new_path(spark, "catalog")
+    catalog.save_catalog(catalog.region_pairs(_spelled(spark, d)), path, "api")
+    return _catalog_from(spark, d, path, None)
+
+
 @query
 def region_match(spark, d):
     counts = listing.by_department(_spelled(spark, d))
@@ -403,16 +423,20 @@ def region_unmatched(spark, d):
     )
 
 
-@query
-def region_fill_geojson(spark, d):
-    """The same fill with the map read from a GeoJSON document."""
+def _map_from_geojson(spark: SparkSession, d: str) -> DataFrame:
+    """The map written as a GeoJSON document and read back."""
     path = new_path(spark, "geojson")
     properties = F.struct(F.col("dpto").alias("DPTO_CNMBR"), F.col("mpio").alias("MPIO_CNMBR"))
     feature = F.struct(properties.alias("properties"), F.lit(None).cast("string").alias("geometry"))
     ordered = F.array_sort(F.collect_list(F.struct("orden", feature.alias("f"))))
     _map(spark, d).agg(F.transform(ordered, lambda e: e["f"]).alias("features")).write.json(path)
-    features = geojson.read_features(spark, path)
-    departments = features.groupBy("dpto").agg(F.min("orden").alias("orden"))
+    return geojson.read_features(spark, path)
+
+
+@query
+def region_fill_geojson(spark, d):
+    """The same fill with the map read from a GeoJSON document."""
+    departments = _map_from_geojson(spark, d).groupBy("dpto").agg(F.min("orden").alias("orden"))
     return places.department_fill(listing.by_department(_spelled(spark, d)), departments)
 
 
@@ -434,18 +458,26 @@ def _catalog_cities(spark: SparkSession, d: str) -> DataFrame:
     return matched.where(F.col("dpto").isNotNull()).select("dpto", "ciudad", "orden")
 
 
-@query
-def municipality_fill(spark, d):
-    municipalities = _map(spark, d)
-    directly = _spelled(spark, d).where(F.col("modalidad") == "Contratación Directa (con ofertas)")
-    counts = places.match_departments(listing.by_city(directly), _departments(spark, d))
+def _municipality_fill(spark: SparkSession, d: str, municipalities: DataFrame) -> DataFrame:
+    counts = places.match_departments(listing.by_city(_spelled(spark, d)), _departments(spark, d))
     volumes = places.municipality_volumes(
         places.match_cities(
             counts.where(F.col("dpto").isNotNull()).select("dpto", "ciudad", "n_contratos"), municipalities
         )
     )
     first = places.catalog_city(_catalog_cities(spark, d), municipalities)
-    return places.municipality_fill(municipalities, volumes, first)
+    return listing.numbered(places.municipality_fill(municipalities, volumes, first), [F.col("mpio")], ("dpto",))
+
+
+@query
+def municipality_fill(spark, d):
+    return _municipality_fill(spark, d, _map(spark, d))
+
+
+@query
+def municipality_fill_geojson(spark, d):
+    """The same fill with the municipalities read from a GeoJSON document."""
+    return _municipality_fill(spark, d, _map_from_geojson(spark, d).select("orden", "dpto", "mpio"))
 
 
 @query
@@ -487,6 +519,14 @@ def burst_max(spark, d):
     return burst_peaks(_burst_input(spark, d), BURST_DAYS)
 
 
+@query
+def burst_window_hot(spark, d):
+    """The same windows with every key split by hour, as only very large ones are by default."""
+    return trailing_counts(
+        _burst_input(spark, d), ("nit_entidad", "doc_proveedor"), "fecha_inicio", BURST_DAYS, hot_rows=0
+    )
+
+
 @query
 def burst_window_nation(spark, d):
     """A busier grain: place and supplier, default window."""
@@ -566,6 +606,18 @@ def contract_forest_scores(spark, d):
     )
 
 
+@query
+def blended_ranking(spark, d):
+    """Blend, alert, explanation and order with given anomaly scores: a hash of the ids."""
+    digits = F.substring(F.md5(F.concat_ws("|", "nit_entidad", "doc_proveedor")), 1, 4)
+    given = F.conv(digits, 16, 10).cast("double") / 65536
+    options = RiskOptions(burst_days=BURST_DAYS, burst_min=2, display_limit=None)
+    return _fix(
+        run_risk(_enriched(spark, d), options, given).ranking, suma_valor=2, ratio_directa=5, concentracion_entidad=8,
+        score_final=5, score_reglas=5, score_anomalia=5,
+    )
+
+
 @query
 def hybrid_ranking(spark, d):
     return run_risk(_enriched(spark, d)).ranking
@@ -607,6 +659,71 @@ def csv_ingest(spark, d):
     )
 
 
+@query
+def csv_records(spark, d):
+    """An export with line breaks inside quotes, short, long and badly quoted records."""
+    path = new_path(spark, "records")
+    key = F.col("o_orderkey")
+    note = (
+        F.when(key % 7 == 0, F.lit('"línea uno\nlínea ""dos"", fin"'))
+        .when(key % 17 == 0, F.lit('a 5" b'))
+        .when(key % 19 == 0, F.lit('"x"" y"'))
+        .otherwise(F.lit("z"))
+    )
+    status = F.when(key % 11 == 0, F.lit("")).otherwise(F.concat(F.lit(","), "o_orderstatus"))
+    more = F.when(key % 13 == 0, F.lit(",de más")).otherwise(F.lit(""))
+    lines = table(spark, d, "orders").select(F.concat(key.cast("string"), F.lit(","), note, status, more).alias("value"))
+    lines.write.text(path)
+    rows = export.read_text_table(spark, path, header=False, columns=["id", "nota", "estado"])
+    return rows.select(F.col("id").cast("bigint").alias("id"), "nota", "estado", F.col(export.REJECT).isNotNull().alias("rechazado"))
+
+
+@query
+def tsv_headings(spark, d):
+    """A file with two heading lines, of which the second names the columns, separated by tabs."""
+    path = new_path(spark, "tsv")
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat_ws("\t", "n_nationkey", "n_name").alias("value"))
+    heads = spark.createDataFrame([(-2, "Naciones"), (-1, "clave\tnombre")], "k long, value string")
+    heads.unionByName(rows.withColumn("k", F.col("k").cast("long"))).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
+    found = export.read_text_table(spark, path, sep="\t", header_count=2, column_header=2)
+    return found.select(F.col("clave").cast("bigint").alias("clave"), "nombre", F.col(export.REJECT).isNotNull().alias("rechazado"))
+
+
+@query
+def csv_result(spark, d):
+    """The department report written as CSV with a header and read back."""
+    path = new_path(spark, "result")
+    export.write_csv(listing.by_department(_spelled(spark, d)), path)
+    return spark.read.schema("departamento string, n_contratos bigint").csv(path, header=True, ignoreLeadingWhiteSpace=False)
+
+
+@query
+def saved_runs(spark, d):
+    """Two results kept apart by the parameters of their runs."""
+    path = new_path(spark, "runs")
+    months = explore.monthly_series(contracts(spark, d, "departamento", "fecha_inicio"), ("departamento",))
+    for region in ("ASIA", "EUROPE"):
+        export.save_run(months.where(F.col("departamento") == region).drop("departamento"), path, region=region, version=2)
+    return spark.read.schema("anio_mes string, n_contratos bigint, region string, version bigint").parquet(path)
+
+
+@query
+def saved_transform_file(spark, d):
+    """A saved transform parses a later file, edits its columns and takes its action on the table."""
+    base, changes, _ = _change_sets(spark, d)
+    path = new_path(spark, "changes")
+    named = changes.select(F.col("o_orderkey").alias("Clave"), F.col("o_orderstatus").alias("Estado"), F.col("o_totalprice").alias("Precio"))
+    named.write.option("header", "true").option("sep", ";").csv(path)
+    saved = publish.TransformConfig(
+        "cambios",
+        read_options={"sep": ";", "multiline": False},
+        steps=({"rename": {"Clave": "o_orderkey", "Estado": "o_orderstatus", "Precio": "o_totalprice"}},),
+        action="upsert",
+    )
+    loaded = publish.TransformConfig.from_json(saved.to_json()).load(spark, path, base, "o_orderkey")
+    return _fix(loaded, o_totalprice=2)
+
+
 @query
 def partitioned_copy(spark, d):
     """Scope filter on the partitioned copy: only one year and department are read."""
@@ -753,13 +870,14 @@ def sorted_page(spark, d):
 
 
 def _event_feed(spark: SparkSession, d: str) -> DataFrame:
-    schema = table(spark, d, "events").schema
-    return feeds.contract_feed(spark, d, schema, pathGlobFilter="events.parquet")
+    return feeds.contract_feed(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
 
 
 def _contract_feed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    arrived = stage(contracts(spark, d, *columns), "feed")
-    return feeds.contract_feed(spark, arrived.inputFiles()[0].rsplit("/", 1)[0], arrived.schema)
+    path = new_path(spark, "feed")
+    arrived = contracts(spark, d, *columns)
+    arrived.write.parquet(path)
+    return feeds.contract_feed(spark, path, arrived.schema)
 
 
 @query
@@ -769,21 +887,28 @@ def stream_flags(spark, d):
 
 @query
 def stream_daily_counts(spark, d):
-    counts = feeds.period_counts(_event_feed(spark, d), "ts", "1 day", "1 day", "event_type")
-    return feeds.run_available(counts, "stream-daily")
+    def build(feed):
+        return feeds.period_counts(feed, "ts", "1 day", "1 day", "event_type")
+
+    return feeds.run_to_end(_event_feed(spark, d), "ts", build, "stream-daily")
 
 
 @query
 def stream_burst(spark, d):
     feed = _contract_feed(spark, d, "ciudad", "doc_proveedor", "fecha_inicio")
-    bursts = feeds.burst_feed(feed, "fecha_inicio", ("ciudad", "doc_proveedor"), 10, 3, "30 days")
-    return feeds.run_available(bursts, "stream-burst")
+
+    def build(feed):
+        return feeds.burst_feed(feed, "fecha_inicio", ("ciudad", "doc_proveedor"), 10, 3, "30 days")
+
+    return feeds.run_to_end(feed, "fecha_inicio", build, "stream-burst")
 
 
 @query
 def stream_sessions(spark, d):
-    found = feeds.activity_sessions(_event_feed(spark, d), "ts", "user_id", "6 hours", "1 day")
-    return feeds.run_available(found, "stream-sessions")
+    def build(feed):
+        return feeds.activity_sessions(feed, "ts", "user_id", "6 hours", "1 day")
+
+    return feeds.run_to_end(_event_feed(spark, d), "ts", build, "stream-sessions")
 
 
 @query

@@ -67,9 +67,10 @@ class RiskResult:
         """One row: contract counts, pair counts, thresholds and parameters."""
         wr, wm = self.options.weights()
         n_alerts = self.scored.where("alerta").count()
+        n_pairs = self.pairs.count()  # staged: read from the files' footers
         return population_counts(self.contracts).withColumns(
             {
-                "n_pairs": F.lit(self.pairs.count()).cast("bigint"),
+                "n_pairs": F.lit(n_pairs).cast("bigint"),
                 "n_pairs_scored": F.lit(self.n_scored).cast("bigint"),
                 "n_alerts": F.lit(n_alerts).cast("bigint"),
                 "tasa_alerta": F.lit(n_alerts / max(1, self.n_scored)),
@@ -92,10 +93,12 @@ def _with_model(ruled: DataFrame, options: RiskOptions, n: int) -> DataFrame:
 
 
 def score_pairs(
-    pairs: DataFrame, options: RiskOptions, cost_limit: Column, n: int
+    pairs: DataFrame, options: RiskOptions, cost_limit: Column, n: int, anomaly: Column | None = None
 ) -> DataFrame:
     """Rules, model, blend, alert and explanation of the ``n`` pairs large enough.
 
+    ``anomaly`` is a score from 0 to 1 of another model, taken in place of the forest's.
+
     ``pairs`` must be staged: it is read several times and thresholds must meet the very
     values they were taken from. With fewer than two pairs nothing is scored.
     """
@@ -103,6 +106,8 @@ def score_pairs(
     wr, wm = options.weights()
     if n < 2:
         modelled = ruled.where(F.lit(False)).withColumn("score_anomalia", F.lit(0.0))
+    elif anomaly is not None:
+        modelled = ruled.withColumn("score_anomalia", anomaly)
     elif wm > 0:
         modelled = _with_model(ruled, options, n)
     else:
@@ -130,11 +135,13 @@ def rank(scored: DataFrame, limit: int | None) -> DataFrame:
     return ordered if limit is None else ordered.limit(limit)
 
 
-def run_risk(enriched: DataFrame, options: RiskOptions = RiskOptions()) -> RiskResult:
-    """The whole analysis over the contracts of one scope."""
+def run_risk(
+    enriched: DataFrame, options: RiskOptions = RiskOptions(), anomaly: Column | None = None
+) -> RiskResult:
+    """The whole analysis over the contracts of one scope; ``anomaly`` as in ``score_pairs``."""
     pairs = stage(pair_features(enriched, options.burst_days), "pairs")
     large = large_pairs(pairs, options)
     n = large.count()
     cost_limit = quantile_value(large, "costo_dia_promedio", 0.90)
-    scored = score_pairs(pairs, options, cost_limit, n)
+    scored = score_pairs(pairs, options, cost_limit, n, anomaly)
     return RiskResult(enriched, pairs, scored, options, cost_limit, n)

@@ -20,6 +20,7 @@ def get_session(app: str = "veedor", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.ui.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
@@ -80,13 +81,3 @@ def single_value(df: DataFrame):
     """
     row = df.first()
     return None if row is None else row[0]
-
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Give a file scan with fewer splits than cores one partition per core, by ``key``.
-
-    Only a table smaller than a split per core has so few, so what moves is small by
-    definition; a large table keeps its splits and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from veedor.functions.parsing import parse_export_date
+from veedor.sources.records import read_records
 from veedor.schema import API_COLUMNS, DATE_COLUMNS, EXPORT_COLUMNS
 
 REJECT = "_corrupt_record"
@@ -19,27 +22,52 @@ def read_text_table(
     header: bool = True,
     columns: list[str] | None = None,
     multiline: bool = True,
+    header_count: int = 1,
+    column_header: int = 1,
 ) -> DataFrame:
     """All columns as text plus ``_corrupt_record`` for rows with too few or too many fields.
 
-    ``multiline`` accepts line breaks inside quotes but reads a file in one task; switch it
-    off for exports known to hold none, then large files are split.
+    With ``multiline`` line breaks inside quotes belong to the field; large files are split all
+    the same. Switch it off for exports known to hold none: that saves a pass. ``header_count``
+    lines at the head of each file are no rows, and the ``column_header``-th of them (from 1)
+    names the columns; both need ``header`` and heading lines without line breaks.
     """
     options = {
-        "header": str(header).lower(),
         "sep": sep,
         "quote": quote,
         "escape": quote,
-        "encoding": encoding,
-        "multiLine": str(multiline).lower(),
         "maxCharsPerColumn": "-1",
         "mode": "PERMISSIVE",
         "columnNameOfCorruptRecord": REJECT,
     }
+    plain = (header_count, column_header) == (1, 1) or not header
     if columns is None:
-        columns = spark.read.options(**options).csv(path).columns
+        columns = _heading(spark, path, options, encoding, header, column_header)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, REJECT]])
-    return spark.read.options(**options).schema(schema).csv(path)
+    splittable = encoding.upper() in ("UTF-8", "ISO-8859-1", "US-ASCII") and len(quote) == len(sep) == 1
+    if splittable and (multiline or not plain):
+        skipped = header_count if header else 0
+        rows = read_records(spark, path, sep, quote, encoding).where(F.coalesce("number", F.lit(skipped)) >= skipped)
+        return rows.select(F.from_csv("record", _ddl(schema), options).alias("r")).select("r.*")
+    reader = spark.read.options(**options, header=str(header).lower(), encoding=encoding, multiLine=str(multiline).lower())
+    return reader.schema(schema).csv(path)
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` STRING" for f in schema)
+
+
+def _heading(spark: SparkSession, path, options: dict, encoding: str, header: bool, line: int) -> list[str]:
+    """Column names from a file's heading, or numbered ones."""
+    if line == 1:
+        return spark.read.options(**options, header=str(header).lower(), encoding=encoding).csv(path).columns
+    rows = read_records(spark, path, options["sep"], options["quote"], encoding).where(F.col("number") == line - 1)
+    text = rows.select("record").orderBy("record").first()[0]
+    named = spark.createDataFrame([(text,)], "value string")
+    width = named.select(F.size(F.split("value", re.escape(options["sep"])))).first()[0]
+    fields = ", ".join(f"c{k} STRING" for k in range(width))
+    found = named.select(F.from_csv("value", fields, {k: v for k, v in options.items() if k != "columnNameOfCorruptRecord"}).alias("r")).first()[0]
+    return [x for x in found if x is not None]
 
 
 def canonical(
@@ -78,13 +106,18 @@ def land_export(
     return read_contracts(spark, f"{target}/contracts"), landed.where(F.col(REJECT).isNotNull())
 
 
+#: Folder of contracts whose department is the empty text: an empty partition value reads as NULL.
+EMPTY = "(vacío)"
+
+
 def write_contracts(df: DataFrame, path: str) -> None:
     """Parquet partitioned by start year and department.
 
     The rebalance hint splits a hot (year, department) over several tasks and files and
     merges small ones.
     """
-    keyed = df.withColumn("anio_inicio", F.year("fecha_inicio"))
+    department = F.when(F.col("departamento") == "", F.lit(EMPTY)).otherwise(F.col("departamento"))
+    keyed = df.withColumns({"anio_inicio": F.year("fecha_inicio"), "departamento": department})
     keyed.hint("rebalance", "anio_inicio", "departamento").write.mode("overwrite").partitionBy(
         "anio_inicio", "departamento"
     ).parquet(path)
@@ -97,7 +130,8 @@ def read_contracts(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType(
         [T.StructField(f.name, fixed.get(f.name, f.dataType)) for f in found.fields]
     )
-    return spark.read.schema(schema).parquet(path)
+    department = F.when(F.col("departamento") == EMPTY, F.lit("")).otherwise(F.col("departamento"))
+    return spark.read.schema(schema).parquet(path).withColumn("departamento", department)
 
 
 def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -110,7 +144,7 @@ def read_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
     schema = T.StructType([T.StructField(c, T.StringType()) for c in API_COLUMNS])
     rows = spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
     rest = [c for c in rows.columns if c != "id_contrato"]
-    no_id = F.when(F.col("id_contrato").isNull(), F.xxhash64(*rest)).alias("_no_id")
+    no_id = F.when(F.col("id_contrato").isNull(), F.struct(*rest)).alias("_no_id")
     merged = rows.groupBy("id_contrato", no_id).agg(F.max(F.struct(*rest)).alias("_row"))
     return canonical(merged.select("id_contrato", "_row.*"), API_COLUMNS)
 

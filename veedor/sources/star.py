@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veedor.runtime import spread_small
 from veedor.schema import CONTRACT_SCHEMA
 
 # Order priority -> modality text; anything else is two blanks.
@@ -103,8 +102,6 @@ def contracts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     definitions = _definitions()
     needed = {parent for c in wanted for parent in definitions[c][1]}
     df = table(spark, sf_dir, "lineitem")
-    if {"valor_raw", "objeto_raw"} & set(wanted):  # text that costs work per row
-        df = spread_small(df, "l_orderkey")
     for parent, (left, right) in _JOINS.items():
         if parent in needed:
             df = df.join(table(spark, sf_dir, parent), F.col(left) == F.col(right))

@@ -183,7 +183,7 @@ def first_pass(block: TextBlock) -> str:
     text = block.text
     words = [w.lower() for w in _WORD.findall(text)]
     chars = len(text.replace(" ", ""))
-    if block.apart or not words or ("©" in text and not block.inside):
+    if block.apart or ("©" in text and not block.inside):
         return BAD
     if block.link_chars >= LINK_SHARE * chars:
         return BAD

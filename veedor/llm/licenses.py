@@ -133,10 +133,9 @@ def compile_template(template: str, label: str) -> Automaton:
 
 def _scanner(phrases: list[Automaton], templates: list[Automaton]):
     starts = np.array(sorted({a.first for a in (*phrases, *templates)}), np.uint64)
-    by_first: dict[int, list[Automaton]] = {}
-    for automaton in (*phrases, *templates):
-        by_first.setdefault(automaton.first, []).append(automaton)
-    base = {id(a) for a in phrases}
+    by_first: dict[int, list[tuple[Automaton, bool]]] = {}  # with whether it is a phrase
+    for automaton, is_phrase in [*((a, True) for a in phrases), *((a, False) for a in templates)]:
+        by_first.setdefault(automaton.first, []).append((automaton, is_phrase))
     reach = max(a.end for a in (*phrases, *templates)) + 1
 
     def run(batches):
@@ -152,12 +151,12 @@ def _scanner(phrases: list[Automaton], templates: list[Automaton]):
                 for place, d in zip(places.tolist(), doc.tolist()):
                     ahead = h[place : min(place + reach, int(w.first[d + 1]))].tolist()
                     bases, own, labels, scores = found.setdefault(d, ([], set(), set(), [0.0]))
-                    for automaton in by_first[ahead[0]]:
+                    for automaton, is_phrase in by_first[ahead[0]]:
                         share = automaton.run(ahead, 0)
                         scores[0] = max(scores[0], share)
                         if share == 1.0:
                             labels.add(automaton.label)
-                            if id(automaton) in base:
+                            if is_phrase:
                                 bases.append(place - int(w.first[d]))
                                 own.add(automaton.label)
                 rows = [found.get(d, ([], set(), set(), [0.0])) for d in range(b - a)]

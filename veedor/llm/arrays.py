@@ -6,7 +6,8 @@ sets, so a byte of 0x80 or more always belongs to a word and no decoding is need
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -126,3 +127,23 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     for k in range(size):
         out = out * np.uint64(_BASE) + h[k : k + n]
     return mix(out + np.uint64(size))
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` (a mapInArrow function) that gives unused memory back when its task ends.
+
+    Python workers wait for further tasks with what their allocators hold; several of them and the
+    executor share one limit.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: it keeps what it likes
+                pass
+
+    return wrapped

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veedor.llm.arrays import NON_SPACE, pieces, utf8, word_hashes, words
+from veedor.llm.arrays import NON_SPACE, pieces, tidy, utf8, word_hashes, words
 from veedor.llm.sums import SLICES, added, sliced
 from veedor.runtime import stage
 
@@ -224,7 +224,7 @@ def _fit(rows: DataFrame, counts: np.ndarray) -> Views:
                 x = np.hstack([text.text(seen), meta.meta(about)])
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(3).slice(a, b - a)], ["x", "label"])
 
-    found = rows.mapInArrow(measure, "x array<double>, label int").collect()
+    found = rows.mapInArrow(tidy(measure), "x array<double>, label int").collect()
     x = np.array([r.x for r in found]).reshape(len(found), 4 + len(META) + 1)
     y = np.array([r.label for r in found], np.float64)
     return Views(text, meta, Calibration.of(x[:, :4], y), Calibration.of(x[:, 4:], y))
@@ -243,12 +243,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     if len(kinds) < 4:
         return None
     schema = "slice int, counts binary"
-    own = added(learn.mapInArrow(_count_labelled, schema), COUNTS)
+    own = added(learn.mapInArrow(tidy(_count_labelled), schema), COUNTS)
     views = _fit(fit, own)
     known = context.broadcast({r.id for r in sample.collect()})
     for _ in range(rounds):
         shared = context.broadcast(views)
-        views = _fit(fit, own + added(narrow.mapInArrow(_count_confident(shared, known), schema), COUNTS))
+        views = _fit(fit, own + added(narrow.mapInArrow(tidy(_count_confident(shared, known)), schema), COUNTS))
     return views
 
 
@@ -296,7 +296,7 @@ def score(
                 )
 
     zero = F.lit(0.0)
-    return rows.mapInArrow(run, rows.select("row", zero.alias("text_score"), zero.alias("meta_score"), zero.alias("score")).schema)
+    return rows.mapInArrow(tidy(run), rows.select("row", zero.alias("text_score"), zero.alias("meta_score"), zero.alias("score")).schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, **names) -> DataFrame:

@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veedor.llm.arrays import ALNUM, pieces, utf8, word_hashes, words
+from veedor.llm.arrays import ALNUM, pieces, tidy, utf8, word_hashes, words
 
 WINDOW = 13
 BLOCK_WORDS = 200_000
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 #: A document is affected when at least one of so many words is hit.
 AFFECTED_ONE_IN = 20
 
@@ -249,7 +249,7 @@ def _run(docs: DataFrame, benchmark: DataFrame, report: str, schema: str, column
     context = docs.sparkSession.sparkContext
     blocks = [context.broadcast(b) for b in benchmark_blocks(benchmark, item_col, item_text, BLOCK_WORDS)]
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(_scan(blocks, report), f"id {narrow.schema['id'].dataType.simpleString()}, {schema}")
+    return narrow.mapInArrow(tidy(_scan(blocks, report)), f"id {narrow.schema['id'].dataType.simpleString()}, {schema}")
 
 
 COLUMNS = ("doc_id", "text", "item_id", "text")
@@ -284,5 +284,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, columns: tuple[str, str
                 keep = ~((n_hit > 0) & (AFFECTED_ONE_IN * n_hit >= n_words))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(out.column("id").filter(pa.array(keep)))], ["row"])
 
-    kept = rows.mapInArrow(clean, rows.select("row").schema)
+    kept = rows.mapInArrow(tidy(clean), rows.select("row").schema)
     return kept.select("row.*")

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veedor.llm.arrays import tidy
+
 # Element names by their role in a page.
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -251,5 +253,5 @@ def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), texts], ["row", "text"])
 
     schema = rows.select("row", F.col("html").alias("text")).schema
-    found = rows.mapInArrow(run, schema)
+    found = rows.mapInArrow(tidy(run), schema)
     return found.select(*(["row.*"] if rest else []), F.col("text").alias(out_col))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veedor.llm.arrays import ALNUM, hash_texts, pieces, utf8, word_hashes, words
+from veedor.llm.arrays import ALNUM, hash_texts, pieces, tidy, utf8, word_hashes, words
 
 # Fixed values of the contract.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -182,4 +182,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     schema = f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veedor.llm.arrays import NON_SPACE, mix, pieces, utf8, window_hashes, word_hashes, words
+from veedor.llm.arrays import NON_SPACE, mix, pieces, tidy, utf8, window_hashes, word_hashes, words
 from veedor.llm.links import components, leftover_pairs, small
 from veedor.llm.sums import SLICES, added, sliced
 from veedor.llm.vocabulary import _codes, _planes, answer_blocks, ask, block_key, by_bucket, deflate, inflate
@@ -243,7 +243,7 @@ class Joiner:
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
         kind = self.docs.schema["id"].dataType.simpleString()
-        measured = stage(self.docs.mapInArrow(_measure, f"id {kind}, n long, node long, slice int, counts binary"), "gram-sizes")
+        measured = stage(self.docs.mapInArrow(tidy(_measure), f"id {kind}, n long, node long, slice int, counts binary"), "gram-sizes")
         self.sizes = measured.where("slice IS NULL").select("id", "n", "node")
         counts = added(measured.where("slice IS NOT NULL").select("slice", "counts"), 1 << SKETCH_BITS)
         self.order = self.spark.sparkContext.broadcast(Order(counts))
@@ -253,7 +253,7 @@ class Joiner:
         n_buckets = 4 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         packer = _prefix_packer(self.order, n_buckets)
         schema = "block long, payload binary, parts array<struct<bucket: int, part: binary>>"
-        blocks = stage(self.docs.select("text").mapInArrow(packer, schema), "gram-blocks")
+        blocks = stage(self.docs.select("text").mapInArrow(tidy(packer), schema), "gram-blocks")
         replies = ask(blocks.select("block", "parts"), _find_shared, "block long, bucket int, reply binary")
         return stage(answer_blocks(blocks.select("block", "payload"), replies, _post, "key long, node long").distinct(), "gram-postings")
 
@@ -300,7 +300,7 @@ class Joiner:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = stage(nodes.select("node", "first").join(wanted, "node", "left_semi"), "gram-wanted")
         texts = self.docs.join(small(wanted), self.docs["id"].eqNullSafe(wanted["first"])).select("node", "text")
-        kept = texts.mapInArrow(_segments(self.order), "node long, fragment int, grams array<long>")
+        kept = texts.mapInArrow(tidy(_segments(self.order)), "node long, fragment int, grams array<long>")
         return stage(kept.dropDuplicates(["node", "fragment"]), "gram-segments")
 
     def links(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -376,7 +376,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     schema = rows.select("row", F.lit(0).cast("long").alias("node")).schema
     schema["node"].nullable = True
-    placed = rows.mapInArrow(with_node, schema)
+    placed = rows.mapInArrow(tidy(with_node), schema)
     alone = placed.join(grouped, "node", "left_anti").select("row")
     best = F.min_by("row", F.struct(F.col(f"row.`{id_col}`"), F.col(f"row.`{text_col}`")))
     one = placed.join(grouped, "node").groupBy("root").agg(best.alias("row")).select("row")

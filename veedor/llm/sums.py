@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from veedor.llm.arrays import tidy
 from veedor.llm.vocabulary import deflate, inflate
 
 SLICES = 32
@@ -27,6 +28,6 @@ def _add(batches):
 def added(slices: DataFrame, size: int) -> np.ndarray:
     """The sum of all vectors of ``size`` entries in ``slices`` (slice, counts). The slices are added up
     on the executors; the driver gets one vector, whose size does not depend on the data."""
-    rows = slices.repartition(SLICES, "slice").mapInArrow(_add, "slice int, counts binary").collect()
+    rows = slices.repartition(SLICES, "slice").mapInArrow(tidy(_add), "slice int, counts binary").collect()
     found = {r.slice: inflate(r.counts) for r in rows}
     return np.concatenate([found.get(k, none) for k, none in enumerate(np.array_split(np.zeros(size, np.int64), SLICES))])

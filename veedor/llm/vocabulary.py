@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veedor.llm.arrays import pieces, utf8
+from veedor.llm.arrays import pieces, tidy, utf8
 from veedor.runtime import stage
 
 
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, split: Splitter, block_byt
         narrow, kind = narrow.withColumn("id", F.col("id").cast("string")), "string"
     spark_type = {"long": "bigint", "integer": "int"}.get(kind, kind)
     schema = f"block long, ids array<{spark_type}>, payload binary, parts array<struct<bucket: int, part: binary>>"
-    made = lambda *want: narrow.mapInArrow(_packer(split, block_bytes, n_buckets, counted, _ARROW[kind], {*want}), schema)
+    made = lambda *want: narrow.mapInArrow(tidy(_packer(split, block_bytes, n_buckets, counted, _ARROW[kind], {*want})), schema)
     if staged:
         blocks = stage(made("parts", "payload"), "word-blocks")
         return Packed(blocks.select("block", "parts"), blocks.select("block", "ids", "payload"))
@@ -173,7 +173,7 @@ def ask(parts: DataFrame, handle, schema: str) -> DataFrame:
     """``handle`` gets the Arrow batches (block, bucket, part) of whole buckets, one bucket after another."""
     n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = parts.select("block", F.explode("parts").alias("p")).select("block", "p.bucket", "p.part")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(handle, schema)
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(tidy(handle), schema)
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:

@@ -39,6 +39,20 @@ def test_export(spark, tmp_path):
     assert Scope("05", None, 2024).apply(good).count() == 2
 
 
+def test_long_records_stay_whole_and_broken_ones_are_no_rows(spark, tmp_path):
+    long = "\n".join(f"línea {k}, con ""coma" for k in range(150_000))
+    (tmp_path / "long.csv").write_text(f'1,"{long}"\n2,z\n', encoding="utf-8")
+    (tmp_path / "open.csv").write_text('3,z\n4,"y\n5,x\n6\n7,"w"\n8,"v\n9,u', encoding="utf-8")
+    read = lambda name: export.read_text_table(spark, str(tmp_path / name), header=False, columns=["record", "broken"])
+    assert len(long) > 2_000_000
+    for name, columns in (("long.csv", ["record", "broken"]), ("long.csv", ["broken", "record"])):
+        rows = export.read_text_table(spark, str(tmp_path / name), header=False, columns=columns).collect()
+        assert sorted(tuple(r) for r in rows) == [("1", long, None), ("2", "z", None)]
+    good = {r[0]: r[1] for r in read("open.csv").collect() if r[2] is None}
+    torn = sorted(r[2] for r in read("open.csv").collect() if r[2] is not None and r[0] is None)
+    assert good.get("3") == "z" and not {"5", "6", "9"} & set(good) and torn[-1] == "9,u"
+
+
 def test_table_options(spark, tmp_path):
     (tmp_path / "t.tsv").write_bytes("x\tñ\n1\t'a\tb'\n".encode("latin-1"))
     df = export.read_text_table(spark, str(tmp_path / "t.tsv"), sep="\t", quote="'", encoding="ISO-8859-1")

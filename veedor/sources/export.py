@@ -28,7 +28,8 @@ def read_text_table(
     """All columns as text plus ``_corrupt_record`` for rows with too few or too many fields.
 
     With ``multiline`` line breaks inside quotes belong to the field; large files are split all
-    the same. Switch it off for exports known to hold none: that saves a pass. ``header_count``
+    the same. Lines of a record whose quote never closes are rejected one by one, their columns NULL.
+    Switch it off for exports known to hold none: that saves a pass. ``header_count``
     lines at the head of each file are no rows, and the ``column_header``-th of them (from 1)
     names the columns; both need ``header`` and heading lines without line breaks.
     """
@@ -48,13 +49,19 @@ def read_text_table(
     if splittable and (multiline or not plain):
         skipped = header_count if header else 0
         rows = read_records(spark, path, sep, quote, encoding).where(F.coalesce("number", F.lit(skipped)) >= skipped)
-        return rows.select(F.from_csv("record", _ddl(schema), options).alias("r")).select("r.*")
+        read = rows.select("record", "broken", F.from_csv("record", _ddl(schema), options).alias("r"))
+        fields = [F.when(~F.col("broken"), F.col(f"r.{_name(c)}")).alias(c) for c in columns]
+        return read.select(*fields, F.when(F.col("broken"), F.col("record")).otherwise(F.col(f"r.{REJECT}")).alias(REJECT))
     reader = spark.read.options(**options, header=str(header).lower(), encoding=encoding, multiLine=str(multiline).lower())
     return reader.schema(schema).csv(path)
 
 
+def _name(column: str) -> str:
+    return f"`{column.replace('`', '``')}`"
+
+
 def _ddl(schema: T.StructType) -> str:
-    return ", ".join(f"`{f.name.replace('`', '``')}` STRING" for f in schema)
+    return ", ".join(f"{_name(f.name)} STRING" for f in schema)
 
 
 def _heading(spark: SparkSession, path, options: dict, encoding: str, header: bool, line: int) -> list[str]:

@@ -3,6 +3,9 @@
 Whether a line ends inside quotes depends on whether it began there: every line is a function
 from {outside, inside} to {outside, inside}. Within a split of a file the functions are composed
 by running windows, between splits over one row per split. Lines that begin outside start a record.
+
+A record that is closed is gathered whatever its length. One whose quote never closes before the end
+of its file is broken: it is given out line by line, and its lines are no rows.
 """
 
 from __future__ import annotations
@@ -13,9 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veedor.runtime import stage
 
-#: Bytes of the longest record. One that grows longer, as after a quote that never closes, is
-#: given out line by line, so that it is rejected by its number of fields and not gathered.
-LONGEST = 2_000_000
 _SPLIT = ["file", "block"]
 
 
@@ -47,7 +47,7 @@ def _after(begin: Column) -> Column:
 
 
 def read_records(spark: SparkSession, path: str | list[str], sep: str, quote: str, encoding: str = "UTF-8") -> DataFrame:
-    """record, number (place from 0 among the lines of the file's first split; NULL further on)."""
+    """record, number (place from 0 among the lines of the file's first split; NULL further on), broken."""
     raw = spark.read.option("lineSep", "\n").text(path)
     text = F.decode(F.col("value").cast("binary"), encoding) if encoding.upper() != "UTF-8" else F.col("value")
     lines = raw.select(
@@ -73,7 +73,9 @@ def read_records(spark: SparkSession, path: str | list[str], sep: str, quote: st
     )
     ends = _composed(splits, ["file"], "block").withColumn("_end", _after(F.lit(0)))
     by_file = Window.partitionBy("file").orderBy("block")
-    begins = ends.select(*_SPLIT, F.coalesce(F.lag("_end").over(by_file), F.lit(0)).alias("_begin"))
+    whole = by_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    begin, left_open = F.coalesce(F.lag("_end").over(by_file), F.lit(0)), F.last("_end").over(whole) == 1
+    begins = ends.select(*_SPLIT, begin.alias("_begin"), left_open.alias("_open"))
     begins = stage(begins, "csv-splits")
 
     by_line = Window.partitionBy(*_SPLIT).orderBy("at")
@@ -84,23 +86,23 @@ def read_records(spark: SparkSession, path: str | list[str], sep: str, quote: st
     starts = F.when(F.col("_before") == 0, F.col("at"))
     placed = placed.withColumn("_start", F.last(starts, ignorenulls=True).over(by_line))
     single = (F.col("_before") == 0) & (F.col("_state") == 0)
-    columns = [*_SPLIT, "at", "line", "_start", "number", single.alias("_single")]
+    columns = [*_SPLIT, "at", "line", "_start", "number", "_open", single.alias("_single")]
     placed = stage(placed.select(*columns), "csv-placed")
 
     # the first lines of a split may belong to a record that began in an earlier one
     latest = placed.groupBy(*_SPLIT).agg(F.max("_start").alias("_latest"))
     earlier = by_file.rowsBetween(Window.unboundedPreceding, -1)
-    latest = latest.select(*_SPLIT, F.last("_latest", ignorenulls=True).over(earlier).alias("_earlier"))
+    last_of = lambda window: F.last("_latest", ignorenulls=True).over(window)
+    latest = latest.select(*_SPLIT, last_of(earlier).alias("_earlier"), last_of(whole).alias("_final"))
     parts = placed.where(~F.col("_single")).join(stage(latest, "csv-latest"), _SPLIT)
     parts = parts.withColumn("_record", F.coalesce("_start", "_earlier"))
-    sizes = stage(parts.groupBy("file", "_record").agg(F.sum(F.octet_length("line") + 1).alias("_bytes")), "csv-sizes")
-    sized = parts.join(sizes, ["file", "_record"])
+    broken = F.col("_open") & (F.col("_record") == F.col("_final"))
     gathered = (
-        sized.where(F.col("_bytes") <= LONGEST)
+        parts.where(~broken)
         .groupBy("file", "_record")
         .agg(F.sort_array(F.collect_list(F.struct("block", "at", "line"))).alias("_lines"), F.min("number").alias("number"))
-        .select(F.array_join("_lines.line", "\n").alias("record"), "number")
+        .select(F.array_join("_lines.line", "\n").alias("record"), "number", F.lit(False).alias("broken"))
     )
-    alone = placed.where("_single").select(F.col("line").alias("record"), "number")
-    too_long = sized.where(F.col("_bytes") > LONGEST).select(F.col("line").alias("record"), "number")
-    return alone.unionByName(gathered).unionByName(too_long).where("record != ''")
+    alone = placed.where("_single").select(F.col("line").alias("record"), "number", F.lit(False).alias("broken"))
+    torn = parts.where(broken).select(F.col("line").alias("record"), "number", F.lit(True).alias("broken"))
+    return alone.unionByName(gathered).unionByName(torn).where("record != ''")

@@ -16,9 +16,12 @@ from veedor.llm.bilinear_lm import score
 from veedor.llm.byte_bpe import decode_batches, encode, token_bytes
 from veedor.llm.decontaminate import contamination
 from veedor.llm.exact_dedup import exact_groups
+from veedor.llm.heap_kmeans import cluster
 from veedor.llm.html_text import extract
+from veedor.llm.learned_partitions import nearest
 from veedor.llm.licenses import scan_licenses
 from veedor.llm.line_dedup import line_report
+from veedor.llm.mask_search import search
 from veedor.llm.ngram_join import components_of
 from veedor.llm.warc import read_archive, resolve_revisits, write_archive
 
@@ -96,6 +99,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_kept", F.concat_ws(",", F.col("dropped").cast("array<string>")).alias("dropped_lines"))
 
 
+def op11_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
+def op12_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_heap_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it takes its last stage from this module
 
@@ -113,12 +129,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bilinear_lm": op8_bilinear_lm,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_line_dedup": op10_line_dedup,
+    "op11_learned_partitions": op11_learned_partitions,
+    "op12_mask_search": op12_mask_search,
+    "op13_heap_kmeans": op13_heap_kmeans,
     "pipeline": pipeline,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Every round of the clustering written out: x(r, i, a) vectors, c0, c1, ... (c, i, a) centroids."""
+    parts = [
+        """kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+             FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64 AND len(embedding) = 64),
+        x AS MATERIALIZED (SELECT r, i, v[i] AS a FROM kept, range(1, 65) t(i)),
+        c0 AS MATERIALIZED (SELECT c, i, v[i] AS a FROM (SELECT v, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS c
+             FROM kept QUALIFY c < 8), range(1, 65) t(i))"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, sum((x.a - k.a) * (x.a - k.a))::BIGINT AS d FROM x JOIN c{n} k USING (i) GROUP BY r, c)
+             QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)""")
+        if n < rounds:
+            parts.append(f"""c{n + 1} AS MATERIALIZED (SELECT c, i, coalesce((s - ((s % n) + n) % n) // n, a) AS a FROM c{n} LEFT JOIN
+             (SELECT c, i, sum(a)::BIGINT AS s, count(*) AS n FROM x JOIN a{n} USING (r) GROUP BY c, i) USING (c, i))""")
+    return ",\n        ".join(parts)
+
+
 ORACLES: dict[str, str] = {
     "op2_decontamination": f"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD}, {_ALNUM}) AS w FROM documents),
@@ -150,4 +190,22 @@ ORACLES: dict[str, str] = {
                      row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept
               FROM n WINDOW w AS (PARTITION BY t))
         SELECT doc_id, keep_id, group_size, kept, sha256(t) AS text_sha256 FROM g""",
+    "op12_mask_search": f"""
+        WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_FOLD}, {_TERM}) AS w FROM documents),
+        s AS (SELECT count(*)::BIGINT AS n, sum(len(w))::BIGINT AS l FROM t WHERE len(w) > 0),
+        i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all({_FOLD}, {_TERM}) AS w FROM benchmark),
+        q AS MATERIALIZED (SELECT i, item_id, v, count(*) AS k FROM (SELECT i, item_id, unnest(w) AS v FROM i) GROUP BY ALL),
+        p AS MATERIALIZED (SELECT r, v, count(*) AS tf FROM (SELECT r, unnest(w) AS v FROM t) WHERE v IN (SELECT v FROM q) GROUP BY ALL),
+        f AS (SELECT v, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS g FROM (SELECT v, count(*) AS df FROM p GROUP BY v), s),
+        m AS (SELECT r, doc_id, 75 + (25 * len(w) * n) // l AS m FROM t, s),
+        x AS (SELECT i, item_id, r, doc_id, sum(k * g * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+              FROM q JOIN p USING (v) JOIN f USING (v) JOIN m USING (r) GROUP BY ALL)
+        SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+        FROM x WHERE score > 0 QUALIFY rank <= 20""",
+    "op13_heap_kmeans": f"""
+        WITH {_rounds_sql(10)},
+        h AS (SELECT c, sha256(string_agg(a::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c10 GROUP BY c)
+        SELECT vec_id, c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+               (sum(d) OVER ())::BIGINT AS inertia, centroid_sha256
+        FROM a10 JOIN kept USING (r) JOIN h USING (c)""",
 }

@@ -74,6 +74,27 @@ def test_parts_meet_the_neighbours(spark):
     assert all(scores[q, i] == s for q in found for _, i, s in found[q] if (q, i) in scores)
 
 
+def test_levels(spark, monkeypatch):
+    """Rows compared in several levels under a rising bound; equal vectors are in all of them."""
+    monkeypatch.setattr(lp, "SAMPLE", 300)
+    monkeypatch.setattr(lp, "GROWTH", 2)
+    monkeypatch.setattr(lp, "CELL_ROWS", 100)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((10, 8)) * 2
+    rows = [(i, (centres[i % 10] + rng.standard_normal(8)).tolist()) for i in range(1500)]
+    rows += [(5000 + i, rows[7][1]) for i in range(700)] + [(None, rows[9][1])]
+    met = []
+    real = lp._compared
+    monkeypatch.setattr(lp, "_compared", lambda *a: met.append(a[0].count()) or real(*a))
+    found, want = run(spark, rows, 20, part_rows=400), exact(rows, 20)
+    assert len(met) > 2 and sum(met) == 1500 + 20 + 1  # of equal vectors one more than there are places
+    assert all([r for r, _, _ in x] == list(range(1, 21)) for x in found.values()) and set(found) == set(want)
+    recall = {q: len({i for _, i, _ in found[q]} & {i for i, _ in want[q][0]}) / 20 for q in want}
+    assert np.mean(list(recall.values())) >= 0.9
+    scores = {(q, i): s for q in want for i, s in want[q][0]}
+    assert all(scores[q, i] == s for q in found for _, i, s in found[q] if (q, i) in scores)
+
+
 def test_rows_of_any_length_can_be_near(spark):
     """Long vectors are near to many queries: lengths are learned as well."""
     rng = np.random.default_rng(3)

@@ -8,7 +8,10 @@ chosen on held-out vectors of the sample so that ``TARGET`` of their true neighb
 vectors of those parts are compared with the query exactly.
 
 A part is cut into cells of bounded rows and queries, so that one part, or one vector, with a third
-of all rows is spread. Of equal vectors only the smallest ids can be among the nearest, so more of them than
+of all rows is spread. A query first meets the sample, which gives it a score that its last place will reach at
+least; a cell only gives out rows of that score. Rows are compared in levels, each ``GROWTH`` times the one
+before, and the bound rises from level to level: what cells give out stays at some ``GROWTH`` lists a query
+and level, whatever the rows. Of equal vectors only the smallest ids can be among the nearest, so more of them than
 a result has places are left out before anything is compared; equal query vectors are searched once.
 """
 
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from veedor.llm.arrays import tidy
 from veedor.llm.tables import delete, narrow_ids
-from veedor.runtime import stage
+from veedor.runtime import new_path, stage
 
 #: Distinct vectors that the networks are fitted on, about; all rows where there are fewer.
 SAMPLE = 10_000
@@ -35,6 +38,8 @@ PART_ROWS, MOST_PARTS = 2048, 256
 TARGET = 0.96
 #: Rows and queries that meet in one cell, about.
 CELL_ROWS, CELL_QUERIES = 4096, 2048
+#: Rows of a level, as a multiple of those before it.
+GROWTH = 20
 HIDDEN, EPOCHS, BATCH, RATE = 128, 12, 256, 2e-3
 _NEIGHBOURS = 20
 
@@ -60,6 +65,30 @@ class Index(NamedTuple):
     place: Network | None  # none: there is one part
     route: Network | None
     share: float  # probability that the parts of a query add up to
+    sample: np.ndarray  # rows, and the part that each is placed in
+    sample_parts: np.ndarray
+
+    @staticmethod
+    def single(size: int) -> Index:
+        return Index(size, 1, 1.0, None, None, 1.0, np.zeros((0, size)), np.zeros(0, np.int64))
+
+    def least(self, vectors: np.ndarray, routes: list[np.ndarray], most: int) -> np.ndarray:
+        """A score that the ``most`` best rows in the parts of each query reach; the sample's rows are among them.
+
+        A few places more are counted: between two equally probable parts, rounding may place a row otherwise."""
+        most += 4
+        out = np.full(len(vectors), -np.inf)
+        if len(self.sample) < most:
+            return out
+        slack = 1e-9 * np.linalg.norm(vectors, axis=1) * np.linalg.norm(self.sample, axis=1).max()
+        for at in range(0, len(vectors), 256):
+            s = vectors[at : at + 256] @ self.sample.T
+            open_parts = np.zeros((len(s), self.n_parts), bool)
+            for k, parts in enumerate(routes[at : at + 256]):
+                open_parts[k, parts] = True
+            s[~open_parts[:, self.sample_parts]] = -np.inf
+            out[at : at + 256] = np.partition(s, -most, axis=1)[:, -most] - slack[at : at + 256]
+        return out
 
     def parts_of(self, vectors: np.ndarray) -> np.ndarray:
         if self.n_parts == 1:
@@ -180,7 +209,7 @@ def fit(vectors: np.ndarray, n_parts: int, target: float = TARGET, seed: int = 7
     """An index of ``n_parts`` parts from a sample of different vectors (float64)."""
     size = vectors.shape[1]
     if n_parts == 1 or len(vectors) <= 4 * n_parts or len(vectors) <= 2 * _NEIGHBOURS:
-        return Index(size, 1, 1.0, None, None, 1.0)
+        return Index.single(size)
     rng = np.random.default_rng(seed)
     norm = float(np.linalg.norm(vectors, axis=1).max())
     scaled = (vectors / norm).astype(np.float32)
@@ -199,7 +228,7 @@ def fit(vectors: np.ndarray, n_parts: int, target: float = TARGET, seed: int = 7
     for share in [*np.arange(0.5, 1, 0.01).tolist(), 2.0]:  # the last: all parts
         if met[np.arange(len(met)), visited(ordered, share) - 1].mean() >= target:
             break
-    return Index(size, n_parts, norm, place, route, share)
+    return Index(size, n_parts, norm, place, route, share, vectors, found)
 
 
 # --- tables --------------------------------------------------------------------------------
@@ -240,14 +269,19 @@ def _placer(index: Index):
     return run
 
 
-def _router(index: Index):
+def _router(index: Index, most: int):
     def run(batches):
         for batch in batches:
             fits, vectors = _by_length(batch, index.size)
             parts = [np.array([-1 - n]) for n in pc.list_value_length(batch.column("v")).to_pylist()]
-            for at, own in zip(np.flatnonzero(fits), index.routes(vectors) if len(vectors) else []):
-                parts[at] = own
-            yield batch.append_column("parts", pa.array([p.tolist() for p in parts], pa.list_(pa.int32())))
+            least = np.full(batch.num_rows, -np.inf)
+            if len(vectors):
+                routes = index.routes(vectors)
+                least[fits] = index.least(vectors, routes, most)
+                for at, own in zip(np.flatnonzero(fits), routes):
+                    parts[at] = own
+            batch = batch.append_column("parts", pa.array([p.tolist() for p in parts], pa.list_(pa.int32())))
+            yield batch.append_column("least", pa.array(least))
 
     return run
 
@@ -261,19 +295,23 @@ def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def compare(rows: pa.Table, queries: pa.Table, most: int) -> pa.Table:
-    """The ``most`` best rows of every query: largest inner product, then smallest id, NULL last."""
+    """The ``most`` best rows of every query that reach its ``least``: largest inner product, then smallest id, NULL last."""
     a, b = _matrix(queries.column("v").combine_chunks(), queries.num_rows), _matrix(rows.column("v").combine_chunks(), rows.num_rows)
     ids = rows.column("id").combine_chunks()
     by_id = np.empty(len(ids), np.int64)
     by_id[pc.array_sort_indices(ids, null_placement="at_end").to_numpy()] = np.arange(len(ids))
+    floor = queries.column("least").to_numpy()
     slack = 1e-12 * np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max()
     found = []
     for at in range(0, len(a), 256):
         s = a[at : at + 256] @ b.T
         least = np.partition(s, -most, axis=1)[:, -most] if len(b) > most else np.full(len(s), -np.inf)
+        least = np.maximum(least, floor[at : at + 256])
         q, r = np.nonzero(s >= (least - 2 * slack[at : at + 256])[:, None])
         q = q + at
         score = inner_products(a[q], b[r])
+        reach = score >= floor[q]
+        q, r, score = q[reach], r[reach], score[reach]
         order = np.lexsort((by_id[r], -score, q))
         q, r, score = q[order], r[order], score[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -326,48 +364,66 @@ def nearest(
     if usual is None:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     n_parts = min(MOST_PARTS, math.ceil(usual.n / part_rows))
-    index = Index(usual.size, 1, 1.0, None, None, 1.0)
+    index = Index.single(usual.size)
     if n_parts > 1:
         index = fit(sample(rows, usual.size, usual.n, SAMPLE), n_parts, target)
     columns = f"id {kind}, v {vector}, h long, g long"
 
+    steps = [len(index.sample) / usual.n] if len(index.sample) else [1.0]
+    while steps[-1] < 1:
+        steps.append(steps[-1] * GROWTH)
     few = _best(rows, most + 1, "h", "g").drop("rank")
-    placed = stage(few.mapInArrow(tidy(_placer(index)), f"{columns}, part int"), "placed-vectors")
+    share = F.pmod(F.xxhash64("g", "h"), F.lit(1 << 40)) / float(1 << 40)
+    level = sum(((share >= min(f, 1.0)).cast("int") for f in steps), F.lit(0)) - (1 if len(steps) > 1 else 0)
+    place = few.mapInArrow(tidy(_placer(index)), f"{columns}, part int").withColumn("level", F.greatest(level, F.lit(0)))
+    path = new_path(spark, "placed-vectors")
+    place.write.partitionBy("level").parquet(path)
+    placed = spark.read.schema(place.schema).parquet(path)
     different = asked.dropDuplicates(["h", "g"])
-    routed = stage(different.mapInArrow(tidy(_router(index)), f"{columns}, parts array<int>"), "routed-queries")
+    routed = stage(different.mapInArrow(tidy(_router(index, most + 1)), f"{columns}, parts array<int>, least double").drop("id"), "routed-queries")
+
+    lists = None
+    for number in range(max(1, len(steps) - 1)):
+        met = _compared(placed.where(F.col("level") == number).drop("level"), routed, lists, most, kind)
+        if lists is not None:
+            before = lists.select("h", "g", F.explode("near").alias("x"))
+            met = met.unionByName(before.select("h", "g", "x.id", "x.score", "x.same"))
+        own = _best(met, most + 1, "h", "g").groupBy("h", "g")
+        older, lists = lists, stage(own.agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", "same"))).alias("near")), "nearest")
+        if older is not None:
+            delete(spark, older)
+    delete(spark, path)
+    delete(spark, routed)
+    return _own_left_out(asked.select(F.col("id").alias("query_id"), "h", "g").join(lists, ["h", "g"]), most)
+
 
-    sides = placed.select("part", F.lit(1).alias("r"), F.lit(0).alias("q")).unionByName(
+def _compared(rows: DataFrame, routed: DataFrame, lists: DataFrame | None, most: int, kind: str) -> DataFrame:
+    """h, g (the query's), id, score and same: of each cell the rows that can be among a query's ``most`` + 1 best."""
+    if lists is not None:  # a full list's last score is the bound
+        last = lists.where(F.size("near") > most).select("h", "g", F.element_at("near", -1)["score"].alias("last"))
+        routed = routed.join(last, ["h", "g"], "left").withColumn("least", F.greatest("least", "last")).drop("last")
+    sides = rows.select("part", F.lit(1).alias("r"), F.lit(0).alias("q")).unionByName(
         routed.select(F.explode("parts").alias("part"), F.lit(0).alias("r"), F.lit(1).alias("q"))
     )
-    cells = stage(
-        sides.groupBy("part").agg(
-            F.ceil(F.sum("r") / CELL_ROWS).cast("int").alias("n_r"), F.ceil(F.sum("q") / CELL_QUERIES).cast("int").alias("n_q")
-        ).where("n_r > 0 AND n_q > 0"),
-        "cells",
-    )
+    counts = sides.groupBy("part").agg(F.sum("r").alias("r"), F.sum("q").alias("q")).where("r > 0 AND q > 0")
+    cells = stage(counts.select("part", F.ceil(F.col("r") / CELL_ROWS).cast("int").alias("n_r"), F.ceil(F.col("q") / CELL_QUERIES).cast("int").alias("n_q")), "cells")
 
     def dealt(df: DataFrame, own: str, other: str, n_own: str, n_other: str, key: Column) -> DataFrame:
         met = df.join(cells, "part").withColumn(own, F.pmod(key, F.col(n_own)).cast("int"))
         return met.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).drop("n_r", "n_q")
 
-    # The shelves of the two sides are cut by different hashes, so that equal vectors spread over both.
-    left = dealt(placed, "c", "d", "n_r", "n_q", F.xxhash64("h", "id"))
-    right = dealt(routed.withColumn("part", F.explode("parts")).drop("parts", "id"), "d", "c", "n_q", "n_r", F.col("g"))
+    left = dealt(rows, "c", "d", "n_r", "n_q", F.xxhash64("h", "id"))
+    right = dealt(routed.withColumn("part", F.explode("parts")).drop("parts"), "d", "c", "n_q", "n_r", F.col("g"))
+    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    empty = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("id", id_type), ("score", pa.float64()), ("same", pa.bool_())])
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if not (rows.num_rows and queries.num_rows):
-            return pa.table({"h": [], "g": [], "id": [], "score": [], "same": []}).cast(empty)
+            return empty.empty_table()
         return compare(rows, queries, most + 1)
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    empty = pa.schema([("h", pa.int64()), ("g", pa.int64()), ("id", id_type), ("score", pa.float64()), ("same", pa.bool_())])
     keys = ("part", "c", "d")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"h long, g long, id {kind}, score double, same boolean")
-    ranked = _best(met, most + 1, "h", "g")
-    lists = ranked.groupBy("h", "g").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score", "same"))).alias("near"))
-    lists = stage(lists, "nearest")
-    delete(spark, placed)
-    return _own_left_out(asked.select(F.col("id").alias("query_id"), "h", "g").join(lists, ["h", "g"]), most)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"h long, g long, id {kind}, score double, same boolean")
 
 
 def _own_left_out(found: DataFrame, most: int) -> DataFrame:

@@ -377,7 +377,7 @@ def _sql() -> dict[str, str]:
  FROM sp GROUP BY departamento, ciudad""", SPELLED)
 
     on("burst_window", trailing("e", "nit_entidad, doc_proveedor", "fecha_inicio", 60, "NOT descartado"))
-    q["burst_window_hot"] = q["burst_window"]
+    q["burst_window_hot"] = q["stream_burst_exact"] = q["burst_window"]
     on("burst_max", "SELECT * FROM pico", pairs(60))
     on("burst_window_nation", trailing("k", "ciudad, doc_proveedor", "fecha_inicio", 10))
     q["burst_window_events"] = trailing("events", "user_id, event_type", "ts", 2)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from veedor.functions.flags import enrich, enriched_columns, is_direct, with_measures
+from veedor.functions.flags import discarded, enrich, enriched_columns, is_direct, with_measures
 from veedor.functions.names import BOGOTA, normalize_name, ranking_label, value_label
 from veedor.functions.parsing import parse_timestamp
 from veedor.operators import concentration, explore, listing, places, publish, quality, scope, signals
@@ -22,6 +22,7 @@ from veedor.schema import EXPORT_COLUMNS, PAIR_KEYS
 from veedor.sources import catalog, export, geojson
 from veedor.sources.star import contracts, table
 from veedor.streaming import feeds
+from veedor.streaming.bursts import exact_burst_feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -873,11 +874,11 @@ def _event_feed(spark: SparkSession, d: str) -> DataFrame:
     return feeds.contract_feed(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
 
 
-def _contract_feed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def _contract_feed(spark: SparkSession, d: str, *columns: str, **options: str) -> DataFrame:
     path = new_path(spark, "feed")
     arrived = contracts(spark, d, *columns)
     arrived.write.parquet(path)
-    return feeds.contract_feed(spark, path, arrived.schema)
+    return feeds.contract_feed(spark, path, arrived.schema, **options)
 
 
 @query
@@ -903,6 +904,20 @@ def stream_burst(spark, d):
     return feeds.run_to_end(feed, "fecha_inicio", build, "stream-burst")
 
 
+@query
+def stream_burst_exact(spark, d):
+    """The windows of ``burst_window``, from a feed that arrives in several batches."""
+    cols = ("nit_entidad", "doc_proveedor", "fecha_firma", "fecha_inicio", "fecha_fin", "valor_raw")
+    feed = _contract_feed(spark, d, *cols, maxFilesPerTrigger="8")
+    keys = ("nit_entidad", "doc_proveedor")
+
+    def build(feed):
+        rows = enrich(feed.withColumn("objeto_raw", F.lit("")))
+        return exact_burst_feed(rows, "fecha_inicio", keys, BURST_DAYS, "4000 days", (~discarded()).cast("int"))
+
+    return feeds.run_to_end(feed, "fecha_inicio", build, "stream-burst-exact", keyed_state=True)
+
+
 @query
 def stream_sessions(spark, d):
     def build(feed):

@@ -299,6 +299,9 @@ def _sql() -> dict[str, str]:
     on("value_quantiles", f"SELECT a.departamento, {fixed('a.q')} AS p10, {fixed('b.q')} AS p50, {fixed('c.q')} AS p99 FROM a JOIN b USING (departamento) JOIN c USING (departamento)",
        quantile("e", "valor_num", 0.1, "a", "departamento"), quantile("e", "valor_num", 0.5, "b", "departamento"), quantile("e", "valor_num", 0.99, "c", "departamento"))
 
+    on("quantile_sketches", """SELECT ambito, count(*) AS n, cuantil, true AS dentro FROM (SELECT unnest([departamento, '(todo)']) AS ambito
+ FROM e WHERE valor_num IS NOT NULL), unnest(['p10', 'p50', 'p90', 'p99']) t(cuantil) GROUP BY ALL""")
+
     conc = ("ent_t AS (SELECT nit_entidad, count(*) AS contratos_entidad FROM k GROUP BY 1)",
             f"ent_p AS (SELECT {PAIR_KEYS}, count(*) AS contratos_par FROM k GROUP BY ALL)",
             "ci AS (SELECT ent_p.*, contratos_entidad, contratos_par::DOUBLE / contratos_entidad AS idx FROM ent_p JOIN ent_t USING (nit_entidad))")
@@ -435,6 +438,7 @@ def _sql() -> dict[str, str]:
     q["upsert"] = with_(CHANGES, select=f"SELECT o_orderkey, o_orderstatus, {fixed('o_totalprice', 2)} AS o_totalprice FROM nueva")
     q["replace_delete"] = with_(CHANGES, select=f"""SELECT o_orderkey, o_orderstatus, {fixed('o_totalprice', 2)} AS o_totalprice FROM nueva
  WHERE o_orderkey NOT IN (SELECT o_orderkey FROM bajas)""")
+    q["upsert_buckets"] = q["replace_delete"]
     on("load_stats", f"""SELECT (SELECT count(*) FROM ({bad})) AS errores,
  (SELECT count(*) FROM cambios WHERE o_orderkey NOT IN (SELECT o_orderkey FROM base)) AS filas_creadas,
  (SELECT count(*) FROM cambios WHERE o_orderkey IN (SELECT o_orderkey FROM base)) AS filas_actualizadas,

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from veedor.functions.flags import cost_per_day, plottable
 from veedor.operators.listing import first_rows, page_order, ranked
 from veedor.operators.quantiles import exact_quantiles, quantile_value
-from veedor.runtime import stage
 
 TOP_MODALITIES = 15
 SCATTER_ROWS = 2500
@@ -17,14 +16,9 @@ BINS = 48
 def modality_stats(enriched: DataFrame, limit: int | None = TOP_MODALITIES) -> DataFrame:
     """Contracts and median positive value per modality, most frequent first."""
     label = F.coalesce(F.nullif(F.trim("modalidad"), F.lit("")), F.lit("(sin modalidad)"))
-    # Staged, so that contracts are read once for counts and medians.
-    values = enriched.groupBy(label.alias("modalidad_g"), "valor_num").agg(F.count("*").alias("n"))
-    values = stage(values, "modality-values")
-    counts = values.groupBy("modalidad_g").agg(F.sum("n").alias("n"))
-    medians = exact_quantiles(
-        values.where(F.col("valor_num") > 0), "valor_num", {"mediana_valor": 0.5}, ("modalidad_g",), "n"
-    )
-    report = ranked(counts.join(medians, "modalidad_g", "left"), "n", "modalidad_g")
+    values = enriched.select(label.alias("modalidad_g"), F.when(F.col("valor_num") > 0, F.col("valor_num")).alias("valor"))
+    medians = exact_quantiles(values, "valor", {"mediana_valor": 0.5}, ("modalidad_g",), also={"n": F.count("*")})
+    report = ranked(medians, "n", "modalidad_g")
     return report if limit is None else report.limit(limit)
 
 

@@ -29,7 +29,7 @@ def sector_deviation(enriched: DataFrame, sector: str) -> DataFrame:
     """Percent difference of each valid contract from the median value of its sector."""
     valid = enriched.where(F.col("flag_valor_invalido") == 0)
     medians = exact_quantiles(valid, "valor_num", {"mediana_sector": 0.5}, (sector,))
-    rows = attach_stats(valid, stage(medians, "sector-medians"), (sector,), ("id_contrato",))
+    rows = attach_stats(valid, medians, (sector,), ("id_contrato",))
     change = F.col("valor_num") / F.col("mediana_sector") - 1
     return rows.withColumn("desviacion_pct", F.lit(100.0) * change)
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from veedor.functions.flags import discarded, enrich, enriched_columns, is_direct, with_measures
 from veedor.functions.names import BOGOTA, normalize_name, ranking_label, value_label
 from veedor.functions.parsing import parse_timestamp
-from veedor.operators import concentration, explore, listing, places, publish, quality, scope, signals
+from veedor.operators import concentration, explore, listing, places, publish, quality, scope, signals, sketches
 from veedor.operators.isolation import fit_forest, normalized, with_anomaly
 from veedor.operators.pairs import MODEL_FEATURES, analyzed, burst_peaks, model_features, pair_features
 from veedor.operators.quantiles import exact_quantiles, quantile_value
@@ -20,6 +20,7 @@ from veedor.plans.risk import RiskOptions, run_risk
 from veedor.runtime import new_path, stage
 from veedor.schema import EXPORT_COLUMNS, PAIR_KEYS
 from veedor.sources import catalog, export, geojson
+from veedor.sources.buckets import BucketTable
 from veedor.sources.star import contracts, table
 from veedor.streaming import feeds
 from veedor.streaming.bursts import exact_burst_feed
@@ -231,6 +232,35 @@ def value_quantiles(spark, d):
     return _fix(found, p10=5, p50=5, p99=5)
 
 
+@query
+def quantile_sketches(spark, d):
+    """Sketches per place and year, added to when later years arrive, merged per place and over all; and
+    whether the answers' ranks, counted in the contracts, are as near as promised."""
+    df = _with_year(with_measures(contracts(spark, d, "departamento", "fecha_inicio", "valor_raw"), only=("valor_num",)))
+    probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+    by = ("departamento", "anio")
+    early = stage(sketches.sketch_table(df.where("anio < 1996"), "valor_num", by), "sketches")
+    table = stage(sketches.with_new_rows(early, df.where("anio >= 1996"), "valor_num", by), "sketches")
+    places = sketches.merged(table, ("departamento",)).withColumnRenamed("departamento", "ambito")
+    scopes = places.unionByName(sketches.merged(table).withColumn("ambito", F.lit("(todo)")))
+    answers = stage(sketches.quantiles_of(scopes, probs), "sketch-quantiles")
+    rows = df.select("valor_num", F.explode(F.array("departamento", F.lit("(todo)"))).alias("ambito")).where("valor_num IS NOT NULL")
+    met = rows.join(answers, "ambito")
+    counts = met.groupBy("ambito", "n").agg(
+        *[F.count_if(F.col("valor_num") < F.col(q)).alias(f"{q}_antes") for q in probs],
+        *[F.count_if(F.col("valor_num") <= F.col(q)).alias(f"{q}_hasta") for q in probs],
+    )
+    error = 2 * sketches.rank_error(sketches.SIZE)
+    near = [
+        F.struct(
+            F.lit(q).alias("cuantil"),
+            ((F.col(f"{q}_antes") <= (p + error) * F.col("n")) & (F.col(f"{q}_hasta") >= (p - error) * F.col("n"))).alias("dentro"),
+        )
+        for q, p in probs.items()
+    ]
+    return counts.select("ambito", F.col("n").cast("bigint").alias("n"), F.inline(F.array(*near)))
+
+
 # --- concentration -------------------------------------------------------------------------
 
 
@@ -833,6 +863,16 @@ def replace_delete(spark, d):
     return _fix(left, o_totalprice=2)
 
 
+@query
+def upsert_buckets(spark, d):
+    """The rows of ``replace_delete``, by changes that rewrite the touched buckets of a published table."""
+    base, changes, deletes = _change_sets(spark, d)
+    published = BucketTable.create(base, new_path(spark, "buckets"), "o_orderkey", 64)
+    published.upsert(changes)
+    published.delete(deletes)
+    return _fix(published.read(), o_totalprice=2)
+
+
 @query
 def load_stats(spark, d):
     base, changes, deletes = _change_sets(spark, d)

@@ -307,6 +307,7 @@ def _sql() -> dict[str, str]:
             "ci AS (SELECT ent_p.*, contratos_entidad, contratos_par::DOUBLE / contratos_entidad AS idx FROM ent_p JOIN ent_t USING (nit_entidad))")
     out = f"{PAIR_KEYS}, contratos_par, contratos_entidad, {fixed('idx', 8)} AS indice_concentracion"
     on("concentration_index", f"SELECT {out} FROM ci", *conc)
+    q["kept_concentration"], q["kept_quality"] = q["concentration_index"], q["quality_summary"]
     on("concentration_top", f"SELECT {out} FROM ci ORDER BY idx DESC, contratos_par DESC, {PAIR_KEYS} LIMIT 30", *conc)
     on("trailing_concentration", f"""SELECT DISTINCT nit_entidad, doc_proveedor, fecha_inicio, contratos_par, contratos_entidad,
  {fixed('contratos_par::DOUBLE / contratos_entidad', 8)} AS indice FROM (SELECT nit_entidad, doc_proveedor, fecha_inicio,

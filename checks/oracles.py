@@ -260,6 +260,8 @@ def _sql() -> dict[str, str]:
 
     on("count_filtered", "SELECT departamento, ciudad, anio, count(*) AS n, count(*) FILTER (WHERE elegible) AS n_elegibles FROM e GROUP BY 1, 2, 3")
     on("year_range", "SELECT departamento, ciudad, min(anio) AS anio_min, max(anio) AS anio_max FROM e GROUP BY 1, 2")
+    on("page_deep", f"""SELECT * FROM (SELECT {RAW}, row_number() OVER (ORDER BY id_contrato) AS n_fila FROM k)
+ WHERE n_fila > (SELECT (count(*) - 1) // 10 * 10 FROM k)""")
     on("page_by_id", f"SELECT {RAW}, row_number() OVER (ORDER BY id_contrato) AS n_fila FROM k ORDER BY id_contrato LIMIT 10 OFFSET 30")
     on("page_keyset", f"SELECT {RAW} FROM k WHERE id_contrato > '2000-' ORDER BY id_contrato LIMIT 10")
     on("page_bounds", """SELECT departamento, anio, n, paginas, least(greatest(40, 1), paginas) AS pagina FROM (

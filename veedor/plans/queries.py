@@ -21,6 +21,7 @@ from veedor.runtime import new_path, stage
 from veedor.schema import EXPORT_COLUMNS, PAIR_KEYS
 from veedor.sources import catalog, export, geojson
 from veedor.sources.buckets import BucketTable
+from veedor.sources.directory import PageDirectory
 from veedor.sources.star import contracts, table
 from veedor.streaming import feeds, views
 from veedor.streaming.bursts import exact_burst_feed
@@ -130,6 +131,12 @@ def page_by_id(spark, d):
     return listing.page(contracts(spark, d), 3)
 
 
+@query
+def page_deep(spark, d):
+    """The last page, from a sorted copy and its directory."""
+    return PageDirectory.build(contracts(spark, d), new_path(spark, "pages"), file_rows=20_000).last_page()
+
+
 @query
 def page_keyset(spark, d):
     return listing.page_after(contracts(spark, d), {"id_contrato": "2000-"})

@@ -355,6 +355,7 @@ def _sql() -> dict[str, str]:
     on("region_unmatched", "SELECT departamento, n_contratos FROM md WHERE dpto IS NULL", SPELLED, md)
     city_ctes = (SPELLED, matched("por_ciudad", "pc"), CITIES, tiers("ciudades", "cm"))
     on("city_tier_match", "SELECT * FROM cm", *city_ctes)
+    q["city_tier_index"] = q["city_tier_match"]
     on("municipality_volumes", "SELECT dpto, mpio, sum(n_contratos)::BIGINT AS n_contratos, first(ciudad ORDER BY n_contratos DESC, ciudad) AS ciudad FROM cm GROUP BY 1, 2", *city_ctes)
     on("municipality_fill", """SELECT dpto, mpio, coalesce(n_contratos, 0)::DOUBLE AS z, coalesce(ciudad, ciudad_catalogo, '') AS ciudad_filtro,
  CASE WHEN coalesce(ciudad, ciudad_catalogo, '') <> '' THEN coalesce(ciudad, ciudad_catalogo) ELSE mpio END AS etiqueta,

@@ -15,6 +15,7 @@ from veedor.operators.pairs import MODEL_FEATURES, analyzed, burst_peaks, model_
 from veedor.operators.quantiles import exact_quantiles, quantile_value
 from veedor.operators.rules import RULES, rule_catalog, with_rules
 from veedor.operators.scope import DateBucket, Scope
+from veedor.operators.substrings import match_cities_indexed
 from veedor.operators.windows import trailing_counts
 from veedor.plans.risk import RiskOptions, run_risk
 from veedor.runtime import new_path, stage
@@ -483,6 +484,12 @@ def city_tier_match(spark, d):
     return places.match_cities(_cities(spark, d), _map(spark, d))
 
 
+@query
+def city_tier_index(spark, d):
+    """``city_tier_match`` by an index of letter groups."""
+    return match_cities_indexed(_cities(spark, d), _map(spark, d))
+
+
 @query
 def municipality_volumes(spark, d):
     return places.municipality_volumes(places.match_cities(_cities(spark, d), _map(spark, d)))

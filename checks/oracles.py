@@ -350,6 +350,7 @@ def _sql() -> dict[str, str]:
         q[f"region_catalog_{source}"] = q["region_catalog_saved"].replace("'csv' AS origen", f"'{source}' AS origen")
     md = matched("por_depto", "md")
     on("region_match", "SELECT * FROM md", SPELLED, md)
+    q["region_match_collated"] = q["region_match"]
     on("region_fill", "SELECT orden, d.dpto, coalesce(n, 0)::DOUBLE AS z FROM deptos d LEFT JOIN (SELECT dpto, sum(n_contratos) AS n FROM md GROUP BY 1) USING (dpto)", SPELLED, md)
     q["region_fill_geojson"] = q["region_fill"]
     on("region_unmatched", "SELECT departamento, n_contratos FROM md WHERE dpto IS NULL", SPELLED, md)
@@ -390,6 +391,8 @@ def _sql() -> dict[str, str]:
     q["burst_window_events"] = trailing("events", "user_id, event_type", "ts", 2)
     on("pair_features_60d", f"SELECT {PAIR_OUT} FROM pares", pairs(60))
     flags = ", ".join(r for r, _, _, _ in RULES)
+    objects = "count(*) AS n, count(DISTINCT trim(coalesce(objeto_raw, ''))[1:50]) AS exacto, true AS dentro FROM e WHERE NOT descartado GROUP BY ALL"
+    on("pair_diversity_sketch", f"SELECT 'par' AS ambito, nit_entidad, doc_proveedor, {objects} UNION ALL SELECT 'proveedor', NULL, doc_proveedor, {objects}")
     on("rule_scores", f"SELECT {PAIR_KEYS}, {flags}, round(score_reglas, 2) AS score_reglas, reglas_disparadas FROM puntos", pairs(60), *SCORED)
     on("rule_firing", "\nUNION ALL ".join(
         f"SELECT '{r}' AS regla, {w}::DOUBLE AS peso, '{t}' AS descripcion, (SELECT count(*) FROM puntos WHERE {r}) AS n_pares" for r, w, t, _ in RULES), pairs(60), *SCORED)

@@ -98,3 +98,22 @@ def test_a_missed_rank_is_noticed(rows, monkeypatch):
     assert whole == [{"hot"}]
     for g in ("hot", "g0"):
         assert [found[g][c] for c in PROBS] == pytest.approx([exact(data, g, p) for p in PROBS.values()], rel=1e-12)
+
+
+# --- distinct values -----------------------------------------------------------------------
+
+
+def test_distinct_values_of_months_add_up(spark):
+    """Merged months equal the whole, and the whole is within the stated error; shared values count once."""
+    df = spark.range(60_000).selectExpr("id % 3 AS pair", "id % 5 AS month", "concat('t', id % 20011) AS what")
+    df = df.unionByName(spark.createDataFrame([(9, 1, None), (9, 2, "x"), (None, 1, "y")], "pair long, month long, what string"))
+    monthly = sketches.distinct_table(df, F.col("what"), ("pair", "month"))
+    merged = {r.pair: (r.n, r.d) for r in sketches.distinct_counts(sketches.distinct_merged(monthly, ("pair",)), "d").collect()}
+    direct = {r.pair: (r.n, r.d) for r in sketches.distinct_counts(sketches.distinct_table(df, F.col("what"), ("pair",)), "d").collect()}
+    exact = {r.pair: r.d for r in df.groupBy("pair").agg(F.count_distinct("what").alias("d")).collect()}
+    assert merged.keys() == direct.keys() == exact.keys()
+    for pair, (n, d) in merged.items():
+        assert abs(d - exact[pair]) <= 4 * sketches.distinct_error() * exact[pair] and n == direct[pair][0]
+        assert abs(direct[pair][1] - d) <= 0.02 * d
+    assert merged[9] == (2, 1) and merged[None] == (1, 1)
+    assert sketches.distinct_counts(sketches.distinct_merged(monthly.limit(0)), "d").first().n == 0

@@ -50,6 +50,21 @@ def normalize_name(text: Column) -> Column:
     return F.upper(F.regexp_replace(strip_blanks(bare), r"(?U)\s+", " "))
 
 
+def case_folded(text: Column) -> Column:
+    """Full case folding: ``straße`` and ``STRASSE`` are equal, which ``lower`` alone does not see.
+
+    The dotless i is a letter of its own.
+    """
+    kept = F.upper(F.translate(text.cast("string"), "ıẞ", "\ue000ß"))
+    return F.lower(F.translate(kept, "\ue000", "ı"))  # lower(upper(x)) alone would be simplified to lower(x)
+
+
+def place_text(text: Column) -> Column:
+    """A place name without outer blanks and runs of blanks, compared without regard to case and accents, in any
+    script: equality, ``distinct``, joins and order of this column follow Unicode's collation at its first level."""
+    return F.collate(F.regexp_replace(strip_blanks(text.cast("string")), r"(?U)\s+", " "), "UNICODE_CI_AI")
+
+
 def lookup(table: dict[str, str], key: Column) -> Column:
     """Value of a small fixed table, NULL when the key is absent."""
     entries = [F.lit(x) for pair in table.items() for x in pair]

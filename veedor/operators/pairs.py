@@ -30,13 +30,18 @@ def burst_peaks(rows: DataFrame, days: int = BURST_DAYS) -> DataFrame:
     )
 
 
+def object_start() -> Column:
+    """What two contracts' objects have to share to count as one."""
+    return F.left(F.trim(F.coalesce("objeto_raw", F.lit(""))), F.lit(OBJECT_PREFIX))
+
+
 def _narrow(rows: DataFrame) -> DataFrame:
     """What the features of a pair are made of."""
     return rows.select(
         *PAIR_KEYS, "fecha_inicio", "valor_num", "duracion_dias", "longitud_objeto",
         cost_per_day().alias("costo_dia"),
         is_direct(F.col("modalidad")).cast("double").alias("directa"),
-        F.left(F.trim(F.coalesce("objeto_raw", F.lit(""))), F.lit(OBJECT_PREFIX)).alias("inicio_objeto"),
+        object_start().alias("inicio_objeto"),
     )
 
 

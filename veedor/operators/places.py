@@ -10,6 +10,7 @@ from veedor.functions.names import (
     UNDEFINED_PLACE,
     lookup,
     normalize_name,
+    place_text,
     ranking_label,
 )
 from veedor.operators.listing import ranked
@@ -38,6 +39,17 @@ def match_departments(df: DataFrame, features: DataFrame, name: str = "departame
     return joined.withColumn("dpto", official).drop("_n", "_norm", "_oficial")
 
 
+def match_departments_collated(df: DataFrame, features: DataFrame, name: str = "departamento") -> DataFrame:
+    """``match_departments`` by collation, for names in any script; of several equal features the last one wins."""
+    official = features.groupBy(place_text(F.col("dpto")).alias("_norm")).agg(F.max_by("dpto", "orden").alias("_oficial"))
+    aliases = F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(o).alias("oficial")) for a, o in DEPARTMENT_ALIASES.items()])
+    keyed = df.withColumn("_n", place_text(F.col(name)))
+    alias = F.filter(aliases, lambda x: F.collate(x["alias"], "UNICODE_CI_AI") == F.col("_n"))
+    usable = (F.col("_n") != "") & (F.col("_n") != F.collate(F.lit(UNDEFINED_PLACE), "UNICODE_CI_AI"))
+    joined = keyed.withColumn("_a", F.get(alias, F.lit(0))["oficial"]).join(official, (F.col("_n") == F.col("_norm")) & usable, "left")
+    return joined.withColumn("dpto", F.coalesce("_a", "_oficial")).drop("_n", "_a", "_norm", "_oficial")
+
+
 def department_fill(counts: DataFrame, features: DataFrame) -> DataFrame:
     """Every department of the map in file order with its volume, 0 when it has none."""
     sums = (

@@ -51,3 +51,33 @@ def quantiles_of(table: DataFrame, probs: dict[str, float]) -> DataFrame:
 def ranks_of(table: DataFrame, value: Column) -> Column:
     """Share of a group's rows up to a constant value; NULL for a group without values."""
     return F.when(F.col("n") > 0, F.kll_sketch_get_rank_double("bosquejo", value))
+
+
+# --- distinct values -----------------------------------------------------------------------
+
+#: Base-two logarithm of the size of a distinct sketch.
+DISTINCT_SIZE = 12
+
+
+def distinct_error(size: int = DISTINCT_SIZE) -> float:
+    """Standard error of an estimate, as a share of it; small numbers are all but exact."""
+    return 1.04 / 2 ** (size / 2)
+
+
+def distinct_table(df: DataFrame, what: Column, by: tuple[str, ...], size: int = DISTINCT_SIZE) -> DataFrame:
+    """``by``, ``n`` (rows) and ``distintos``: a sketch per group, say pair and month; partly made before the shuffle.
+
+    NULLs are not counted among the values. Exact counting (``count_distinct``) cannot be added up over
+    groups; these can.
+    """
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.hll_sketch_agg(what, F.lit(size)).alias("distintos"))
+
+
+def distinct_merged(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """A coarser scope, values that several groups share counted once."""
+    return table.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.hll_union_agg("distintos").alias("distintos"))
+
+
+def distinct_counts(table: DataFrame, name: str) -> DataFrame:
+    """The estimate under ``name`` instead of the sketch."""
+    return table.withColumn(name, F.hll_sketch_estimate("distintos")).drop("distintos")

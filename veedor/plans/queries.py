@@ -11,7 +11,7 @@ from veedor.functions.names import BOGOTA, normalize_name, ranking_label, value_
 from veedor.functions.parsing import parse_timestamp
 from veedor.operators import concentration, explore, listing, places, publish, quality, scope, signals, sketches
 from veedor.operators.isolation import fit_forest, normalized, with_anomaly
-from veedor.operators.pairs import MODEL_FEATURES, analyzed, burst_peaks, model_features, pair_features
+from veedor.operators.pairs import MODEL_FEATURES, analyzed, burst_peaks, model_features, object_start, pair_features
 from veedor.operators.quantiles import exact_quantiles, quantile_value
 from veedor.operators.rules import RULES, rule_catalog, with_rules
 from veedor.operators.scope import DateBucket, Scope
@@ -444,6 +444,13 @@ def region_catalog_json(spark, d):
     return _catalog_from(spark, d, path, None)
 
 
+@query
+def region_match_collated(spark, d):
+    """``region_match`` by collation."""
+    counts = listing.by_department(_spelled(spark, d))
+    return places.match_departments_collated(counts, _departments(spark, d))
+
+
 @query
 def region_match(spark, d):
     counts = listing.by_department(_spelled(spark, d))
@@ -596,6 +603,26 @@ def pair_features_60d(spark, d):
     return _fix(pair_features(_enriched(spark, d), BURST_DAYS), **_PAIR_DIGITS)
 
 
+@query
+def pair_diversity_sketch(spark, d):
+    """Distinct object texts from sketches per pair and month, merged per pair and per supplier; and whether they are
+    as near to the exact count as promised."""
+    cols = ("nit_entidad", "doc_proveedor", "fecha_firma", "fecha_inicio", "fecha_fin", "valor_raw", "objeto_raw")
+    rows = analyzed(enrich(contracts(spark, d, *cols))).select(
+        "nit_entidad", "doc_proveedor", F.date_format("fecha_inicio", "yyyy-MM").alias("mes"), object_start().alias("objeto")
+    )
+    monthly = stage(sketches.distinct_table(rows, F.col("objeto"), ("nit_entidad", "doc_proveedor", "mes")), "diversity")
+    found = []
+    for scope, by in (("par", ("nit_entidad", "doc_proveedor")), ("proveedor", ("doc_proveedor",))):
+        estimated = sketches.distinct_counts(sketches.distinct_merged(monthly, by), "estimado")
+        exact = rows.groupBy(*by).agg(F.count_distinct("objeto").alias("exacto"))
+        near = F.abs(F.col("estimado") - F.col("exacto")) <= 4 * sketches.distinct_error() * F.col("exacto")
+        met = estimated.join(exact, list(by)).withColumns({"ambito": F.lit(scope), "dentro": near})
+        entity = F.col("nit_entidad") if "nit_entidad" in by else F.lit(None).cast("string")
+        found.append(met.select("ambito", entity.alias("nit_entidad"), "doc_proveedor", F.col("n").cast("bigint").alias("n"), "exacto", "dentro"))
+    return found[0].unionByName(found[1])
+
+
 def _staged_pairs(spark: SparkSession, d: str) -> DataFrame:
     return stage(pair_features(_enriched(spark, d), BURST_DAYS), "pairs")
 

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from veedor.functions.names import case_folded
 from veedor.functions.parsing import is_present
 
 
 def casefold_order(name: Column) -> list[Column]:
-    return [F.lower(name), name]
+    return [case_folded(name), name]
 
 
 def region_pairs(df: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def nested_catalog(pairs: DataFrame) -> DataFrame:
 
     Input is already distinct, so an array holds one entry per city of the department.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(F.lower("ciudad").alias("k"), "ciudad")))
+    ordered = F.array_sort(F.collect_list(F.struct(case_folded(F.col("ciudad")).alias("k"), "ciudad")))
     return pairs.groupBy("departamento").agg(
         F.transform(ordered, lambda e: e["ciudad"]).alias("ciudades")
     )
@@ -37,7 +38,7 @@ def nested_catalog(pairs: DataFrame) -> DataFrame:
 def catalog_document(pairs: DataFrame, source: str) -> DataFrame:
     """The one-row document form: source, generated_at, department list, map of city lists."""
     rows = F.array_sort(
-        F.collect_list(F.struct(F.lower("departamento").alias("k"), "departamento", "ciudades"))
+        F.collect_list(F.struct(case_folded(F.col("departamento")).alias("k"), "departamento", "ciudades"))
     )
     return nested_catalog(pairs).agg(
         F.lit(source).alias("source"),

@@ -372,12 +372,12 @@ def _sql() -> dict[str, str]:
     q["municipality_fill_geojson"] = q["municipality_fill"]
     on("csv_result", "SELECT * FROM por_depto", SPELLED)
     on("saved_runs", """SELECT strftime(fecha_inicio, '%Y-%m') AS anio_mes, count(*) AS n_contratos, departamento AS region, 2::BIGINT AS version
- FROM k WHERE departamento IN ('ASIA', 'EUROPE') GROUP BY 1, 3""")
+ FROM k GROUP BY 1, 3""")
     q["csv_records"] = """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'línea uno' || chr(10) || 'línea "dos", fin'
  WHEN o_orderkey % 17 = 0 THEN 'a 5" b' WHEN o_orderkey % 19 = 0 THEN 'x" y' ELSE 'z' END AS nota,
  CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus WHEN o_orderkey % 13 = 0 THEN 'de más' END AS estado,
  (o_orderkey % 11 = 0) <> (o_orderkey % 13 = 0) AS rechazado FROM orders"""
-    q["tsv_headings"] = "SELECT n_nationkey::BIGINT AS clave, n_name AS nombre, false AS rechazado FROM nation"
+    q["tsv_headings"] = "SELECT o_orderkey AS clave, o_orderpriority AS prioridad, strftime(o_orderdate, '%Y-%m-%d') AS fecha, false AS rechazado FROM orders"
     on("department_volume", f"""SELECT nombre, coalesce((SELECT sum(n_contratos) FROM por_depto WHERE departamento = trim(nombre)),
  (SELECT max(n_contratos) FROM por_depto WHERE {norm('departamento')} = {norm('nombre')}), 0)::BIGINT AS n_contratos
  FROM (SELECT dpto AS nombre FROM deptos UNION ALL SELECT 'Zona ' || lower(dpto) FROM deptos)""", SPELLED)

@@ -158,3 +158,15 @@ def test_drop_staged(tmp_path, spark):
     folder = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert runtime.drop_staged(spark) >= 1
     assert not Path(folder).exists() and runtime.drop_staged(spark) == 0
+
+
+def test_heading_of_several_files(spark, tmp_path):
+    """Only one file is opened for the names; every file's heading lines are no rows."""
+    for k in range(3):
+        (tmp_path / f"f{k}.tsv").write_bytes(f"Título {k}\r\na\tb ñ\r\n{k}\tx\r\n{k + 10}\t\"y\nz\"\r\n".encode("latin-1"))
+    found = export.read_text_table(spark, str(tmp_path), sep="\t", encoding="ISO-8859-1", header_count=2, column_header=2)
+    assert found.columns == ["a", "b ñ", export.REJECT]
+    assert sorted(r.a for r in found.collect()) == ["0", "1", "10", "11", "12", "2"]
+    assert {r[1] for r in found.collect()} == {"x", "y\nz"}
+    with pytest.raises(ValueError, match="no line 9"):
+        export.read_text_table(spark, str(tmp_path), sep="\t", header_count=9, column_header=9)

@@ -752,13 +752,14 @@ def csv_records(spark, d):
 
 @query
 def tsv_headings(spark, d):
-    """A file with two heading lines, of which the second names the columns, separated by tabs."""
-    path = new_path(spark, "tsv")
-    rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.concat_ws("\t", "n_nationkey", "n_name").alias("value"))
-    heads = spark.createDataFrame([(-2, "Naciones"), (-1, "clave\tnombre")], "k long, value string")
-    heads.unionByName(rows.withColumn("k", F.col("k").cast("long"))).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
-    found = export.read_text_table(spark, path, sep="\t", header_count=2, column_header=2)
-    return found.select(F.col("clave").cast("bigint").alias("clave"), "nombre", F.col(export.REJECT).isNotNull().alias("rechazado"))
+    """Files with two heading lines each, of which the second names the columns, separated by tabs."""
+    path, files = new_path(spark, "tsv"), 8
+    text = F.concat_ws("\t", "o_orderkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = table(spark, d, "orders").select(F.pmod("o_orderkey", F.lit(files)).cast("int").alias("f"), F.col("o_orderkey").alias("k"), text.alias("value"))
+    heads = spark.createDataFrame([(f, k, v) for f in range(files) for k, v in ((-2, "Pedidos"), (-1, "clave\tprioridad\tfecha"))], "f int, k long, value string")
+    heads.unionByName(rows).repartition("f").sortWithinPartitions("f", "k").drop("k").write.partitionBy("f").text(path)
+    found = export.read_text_table(spark, [f"{path}/f={f}" for f in range(files)], sep="\t", header_count=2, column_header=2)
+    return found.select(F.col("clave").cast("bigint").alias("clave"), "prioridad", "fecha", F.col(export.REJECT).isNotNull().alias("rechazado"))
 
 
 @query
@@ -771,10 +772,10 @@ def csv_result(spark, d):
 
 @query
 def saved_runs(spark, d):
-    """Two results kept apart by the parameters of their runs."""
+    """The results of every department, kept apart by the parameters of their runs."""
     path = new_path(spark, "runs")
-    months = explore.monthly_series(contracts(spark, d, "departamento", "fecha_inicio"), ("departamento",))
-    for region in ("ASIA", "EUROPE"):
+    months = stage(explore.monthly_series(contracts(spark, d, "departamento", "fecha_inicio"), ("departamento",)), "months")
+    for region in [r[0] for r in months.select("departamento").distinct().collect()]:  # a run per department
         export.save_run(months.where(F.col("departamento") == region).drop("departamento"), path, region=region, version=2)
     return spark.read.schema("anio_mes string, n_contratos bigint, region string, version bigint").parquet(path)
 

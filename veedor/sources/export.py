@@ -68,8 +68,14 @@ def _heading(spark: SparkSession, path, options: dict, encoding: str, header: bo
     """Column names from a file's heading, or numbered ones."""
     if line == 1:
         return spark.read.options(**options, header=str(header).lower(), encoding=encoding).csv(path).columns
-    rows = read_records(spark, path, options["sep"], options["quote"], encoding).where(F.col("number") == line - 1)
-    text = rows.select("record").orderBy("record").first()[0]
+    # The first lines of one file: all are read by the same heading.
+    first = min(spark.read.text(path).inputFiles())
+    begin = spark.read.option("lineSep", "\n").text(first).where(F.col("_metadata.file_block_start") == 0)
+    value = F.decode(F.col("value").cast("binary"), encoding) if encoding.upper() != "UTF-8" else F.col("value")
+    lines = begin.select(F.regexp_replace(value, "\r$", "").alias("line")).limit(line).collect()
+    if len(lines) < line:
+        raise ValueError(f"no line {line} in {first}")
+    text = lines[-1].line
     named = spark.createDataFrame([(text,)], "value string")
     width = named.select(F.size(F.split("value", re.escape(options["sep"])))).first()[0]
     fields = ", ".join(f"c{k} STRING" for k in range(width))

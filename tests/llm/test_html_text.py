@@ -1,6 +1,8 @@
+import time
+
 import pytest
 
-from veedor.llm.html_text import extract, main_text, second_pass
+from veedor.llm.html_text import Tags, extract, main_text, second_pass
 
 LONG = "the quick story of the fox and the dog is one that was told by many in the town for years on end and to all of them it is as good as new " * 2
 
@@ -41,3 +43,25 @@ def test_table(spark):
 
 def test_many_unclosed_tags():
     assert main_text("<p><b>x" * 20_000).count("\n") == 19_999
+
+
+@pytest.mark.parametrize("unit", ["<a '", '<a href="', "<b x ", "<a", "<!", "<nav><main>", "<p '\"", "</a '", "<a b='\">", "<script"])
+def test_broken_markup_takes_one_pass(unit):
+    """1 MB of it: scanning again from every tag would take minutes."""
+    begin = time.process_time()
+    text = main_text("<p>" + LONG + "</p>" + unit * (1_000_000 // len(unit)))
+    assert time.process_time() - begin < 10
+    assert text.startswith(LONG.strip()) or "<main>" in unit  # an unclosed main has no text of its own
+
+
+def test_tags():
+    """Names, attributes and ends; what is never closed is text."""
+    page = "a<b c='>'>d</E ><!-- <x> --><!doctype y><1><f/><g \"h<i>"
+    scan, at, found = Tags(page), 0, []
+    while tag := scan.after(at):
+        at = tag.end
+        found.append((page[tag.start : tag.end], tag.closing, tag.name, tag.attributes))
+    assert found == [
+        ("<b c='>'>", False, "b", " c='>'"), ("</E >", True, "E", " "), ("<!-- <x> -->", False, "", ""), ("<!doctype y>", False, "", ""),
+        ("<f/>", False, "f", "/"), ("<i>", False, "i", ""),
+    ]

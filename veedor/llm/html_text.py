@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import re
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,7 +60,9 @@ LOW_STOP = 0.08
 HIGH_STOP = 0.15
 LINK_SHARE = 0.4
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_BEGIN = re.compile(r"<(?:!--|[!?]|/?(?=[a-zA-Z]))")
+_NAME_END = re.compile(r"[\s/>]")
+_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W_]+")
@@ -95,11 +98,77 @@ def _is_apart(tag: str, attributes: str, inside: bool) -> bool:
     return bool(_HIDDEN.search(attributes)) or bool(_names(attributes) & names)
 
 
+class Tag(NamedTuple):
+    """A tag or comment; ``name`` is empty for the latter."""
+
+    start: int
+    end: int
+    closing: bool
+    name: str
+    attributes: str
+
+
+class Tags:
+    """Finds the tags of a page in one pass: a ``<`` whose tag is not closed before the page ends is text.
+
+    ``>`` inside quotes does not close a tag. That a scan came to the end of the page is kept for every place it
+    passed, outside quotes or inside either kind, so broken markup is not scanned again from each of its tags.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.name_end = self.next_close = self.next_stop = -1
+        self.dead: set[tuple[int, str]] = set()
+
+    def after(self, at: int) -> Tag | None:
+        page = self.page
+        while found := _BEGIN.search(page, at):
+            at, begin = found.end(), found[0]
+            if begin == "<!--":
+                end = page.find("-->", at)
+                return Tag(found.start(), len(page) if end < 0 else end + 3, False, "", "")
+            if begin in ("<!", "<?"):
+                if self.next_close < at:
+                    end = page.find(">", at)
+                    self.next_close = len(page) if end < 0 else end
+                if self.next_close < len(page):
+                    return Tag(found.start(), self.next_close + 1, False, "", "")
+                continue
+            if self.name_end < at:
+                end = _NAME_END.search(page, at)
+                self.name_end = end.start() if end else len(page)
+            end = self._closed(self.name_end)
+            if end >= 0:
+                return Tag(found.start(), end + 1, begin == "</", page[at : self.name_end], page[self.name_end : end])
+        return None
+
+    def _closed(self, at: int) -> int:
+        """Where the tag is closed whose name ends at ``at``; -1 if nowhere."""
+        if self.next_stop < at:  # it serves all tags that begin before it
+            first = _STOP.search(self.page, at)
+            self.next_stop = first.start() if first else len(self.page)
+        passed, quote = [], ""
+        for stop in _STOP.finditer(self.page, self.next_stop):
+            place = (stop.start(), quote)
+            if place in self.dead:
+                break
+            if not quote and stop[0] == ">":
+                return stop.start()
+            passed.append(place)
+            if not quote:
+                quote = stop[0]
+            elif stop[0] == quote:
+                quote = ""
+        self.dead.update(passed)
+        return -1
+
+
 class _Open:
     """Open tags, with counts of what they mean for the text inside them."""
 
     def __init__(self):
-        self.tags: list[tuple[str, bool]] = []  # name, whether it sets its content apart
+        self.tags: list[tuple[str, int]] = []  # name, and since when it sets its content apart; -1: it does not
+        self.since = 0
         self.places: dict[str, list[int]] = {}
         self.counts: dict[str, int] = {"apart": 0, "inside": 0, "heading": 0, "link": 0}
 
@@ -111,13 +180,13 @@ class _Open:
 
     def push(self, name: str, apart: bool) -> None:
         self.places.setdefault(name, []).append(len(self.tags))
-        self.tags.append((name, apart))
+        self.tags.append((name, self.since if apart else -1))
         self._count(name, apart, 1)
 
     def pop(self) -> None:
-        name, apart = self.tags.pop()
+        name, since = self.tags.pop()
         self.places[name].pop()
-        self._count(name, apart, -1)
+        self._count(name, since == self.since, -1)
 
     def close(self, name: str) -> None:
         """Up to the innermost tag of that name; nothing if there is none."""
@@ -127,7 +196,7 @@ class _Open:
                 self.pop()
 
     def forget_apart(self) -> None:
-        self.tags = [(name, False) for name, _ in self.tags]
+        self.since += 1
         self.counts["apart"] = 0
 
 
@@ -135,6 +204,7 @@ def blocks(page: str) -> list[TextBlock]:
     """Blocks that hold text, in page order."""
     out: list[TextBlock] = []
     tags, now, at, size, articles = _Open(), TextBlock(), 0, len(page), 0
+    scan = Tags(page)
 
     def close() -> None:
         nonlocal now
@@ -151,29 +221,29 @@ def blocks(page: str) -> list[TextBlock]:
                 now.link_chars += len("".join(text.split()))
 
     while at < size:
-        tag = _TAG.search(page, at)
+        tag = scan.after(at)
         if tag is None:
             add(page[at:])
             break
-        add(page[at : tag.start()])
-        at, name = tag.end(), (tag[2] or "").lower()
+        add(page[at : tag.start])
+        at, name = tag.end, tag.name.lower()
         if not name:
             continue
         if name in BLOCKS:
             close()
-        if tag[1]:
+        if tag.closing:
             tags.close(name)
         elif name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
-        elif name not in VOID and not tag[3].endswith("/"):
+        elif name not in VOID and not tag.attributes.endswith("/"):
             if name in ENDED_BY_NEXT and tags.tags and tags.tags[-1][0] == name:
                 tags.pop()
             if name == "main" or (name == "article" and not articles):
                 # what wraps the main text ("with-sidebar") says nothing about it
                 tags.forget_apart()
             articles += name == "article"
-            tags.push(name, _is_apart(name, tag[3], tags.counts["inside"] > 0))
+            tags.push(name, _is_apart(name, tag.attributes, tags.counts["inside"] > 0))
         if name in BLOCKS:
             close()
     close()

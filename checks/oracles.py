@@ -466,6 +466,7 @@ def _sql() -> dict[str, str]:
  SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nueva FROM events))
  GROUP BY user_id, s"""
     q["stream_repeats"] = "SELECT event_id, user_id, event_type, value FROM events"
+    q["stream_repeats_ever"] = q["stream_repeats"]
     return q
 
 

@@ -26,6 +26,7 @@ from veedor.sources.directory import PageDirectory
 from veedor.sources.star import contracts, table
 from veedor.streaming import feeds, views
 from veedor.streaming.bursts import exact_burst_feed
+from veedor.streaming.known_ids import drop_all_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -1051,3 +1052,15 @@ def stream_repeats(spark, d):
     feed = _event_feed(spark, d).withColumn("copia", F.explode(F.array(F.lit(0), F.lit(0))))
     found = feeds.run_available(feeds.drop_repeats(feed, "ts", "event_id", "40 days"), "stream-repeats")
     return found.select("event_id", "user_id", "event_type", "value")
+
+
+@query
+def stream_repeats_ever(spark, d):
+    """First arrivals by an index of ids: every event arrives again 60 days later, past any watermark."""
+    path = new_path(spark, "feed-repeats")
+    events = table(spark, d, "events")
+    later = events.withColumn("ts", F.col("ts") + F.expr("INTERVAL 60 DAYS")).withColumn("value", -F.col("value"))
+    for rows in (events, later):
+        rows.write.mode("append").parquet(path)
+    feed = feeds.contract_feed(spark, path, events.schema, maxFilesPerTrigger="8")
+    return drop_all_repeats(feed, "event_id", "ts", new_path(spark, "stream-repeats-ever")).select("event_id", "user_id", "event_type", "value")

@@ -74,18 +74,21 @@ class IdIndex:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
         files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
-        numbers = sorted(int(n) for n in names if n.isdigit() and int(n) < before)
-        return [n for n in numbers if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/{n}/_SUCCESS"))]
+        numbers = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+        marker = lambda n: self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/batch={n}/_SUCCESS")
+        return [n for n in numbers if n < before and files.exists(marker(n))]
 
     def _ids(self, before: int) -> DataFrame | None:
-        folders = [f"{self.path}/ids/{n}" for n in self._done("ids", before)]
-        return self.spark.read.schema("id string, h long, bucket int").parquet(*folders) if folders else None
+        folders = [f"{self.path}/ids/batch={n}" for n in self._done("ids", before)]
+        reader = self.spark.read.schema("id string, h long, batch int, bucket int").option("basePath", f"{self.path}/ids")
+        return reader.parquet(*folders) if folders else None
 
     def _filters(self, before: int) -> DataFrame | None:
         merged = self._done("merged", before)[-1:]
         layers = [n for n in self._done("filters", before) if not merged or n > merged[0]]
-        folders = [*(f"merged/{n}" for n in merged), *(f"filters/{n}" for n in layers)]
-        return self.spark.read.schema(_FILTER).parquet(*(f"{self.path}/{f}" for f in folders)) if folders else None
+        folders = [*(f"merged/batch={n}" for n in merged), *(f"filters/batch={n}" for n in layers)]
+        reader = self.spark.read.schema(_FILTER).option("recursiveFileLookup", "true")  # the folders' names are no columns here
+        return reader.parquet(*(f"{self.path}/{f}" for f in folders)) if folders else None
 
     def known(self, ids: DataFrame, before: int) -> DataFrame:
         """Those of ``ids`` (id as text, h, bucket; staged, distinct) that batches under ``before`` hold."""
@@ -111,12 +114,12 @@ class IdIndex:
         known = self.known(one.select("id", "h", "bucket"), batch)
         new = stage(one.join(known, "id", "left_anti"), "ids-new")
         ids = new.select("id", "h", "bucket").repartition("bucket")
-        ids.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/ids/{batch}")
+        ids.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/ids/batch={batch}")
         built = new.select("bucket", "h").groupBy("bucket").applyInPandas(_build, _FILTER)
-        built.write.mode("overwrite").parquet(f"{self.path}/filters/{batch}")
+        built.write.mode("overwrite").parquet(f"{self.path}/filters/batch={batch}")
         if batch % LAYERS == LAYERS - 1:
             whole = self._ids(batch + 1).select("bucket", "h").groupBy("bucket").applyInPandas(_build, _FILTER)
-            whole.write.mode("overwrite").parquet(f"{self.path}/merged/{batch}")
+            whole.write.mode("overwrite").parquet(f"{self.path}/merged/batch={batch}")
         return new.select("row.*").unionByName(named.where(own.isNull()).select("row.*"))
 
 

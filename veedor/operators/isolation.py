@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # The functions below travel to the executors whole: they need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,6 +25,12 @@ _TREE_SCHEMA = (
     "izquierda array<int>, derecha array<int>, largo array<double>"
 )
 
+_TREE_COLUMNS = ("variable", "corte", "izquierda", "derecha", "largo")
+_MODEL_SCHEMA = (
+    "arbol int, variable array<int>, corte array<double>, izquierda array<int>, derecha array<int>, "
+    "largo array<double>, escala double, columnas array<string>, minimo double, maximo double"
+)
+
 
 def _expected_path(m: int) -> float:
     """Average path of an unsuccessful search among m rows."""
@@ -198,3 +204,53 @@ def normalized(df: DataFrame, source: str, name: str) -> DataFrame:
     if low is None or high - low < 1e-12:
         return df.withColumn(name, F.lit(0.0))
     return df.withColumn(name, (F.col(source) - F.lit(low)) / F.lit(high - low))
+
+
+@dataclass(frozen=True)
+class SavedForest:
+    """A fitted forest with the columns it reads and the range of the raw scores it was fitted on."""
+
+    forest: Forest
+    features: tuple[str, ...]
+    low: float
+    high: float
+    version: int
+
+    def scored(self, df: DataFrame, raw: str, name: str) -> DataFrame:
+        """Add the raw score and its place in the range of the fit, 0 to 1; no state and no refit, so a feed will do.
+
+        Rows outside the range get its nearest end. A model of too few rows, or of equal scores, gives 0.
+        """
+        found = with_anomaly(df, self.features, self.forest, raw, n=MIN_ROWS if self.forest.trees else 0)
+        span = self.high - self.low
+        place = (F.col(raw) - F.lit(self.low)) / F.lit(span) if span >= 1e-12 else F.lit(0.0)
+        return found.withColumn(name, F.least(F.greatest(place, F.lit(0.0)), F.lit(1.0)))
+
+
+def fit_saved(df: DataFrame, features: tuple[str, ...], keys: tuple[str, ...], version: int = 1, **options) -> SavedForest:
+    """Fit on ``df`` (staged, as it is read several times) and take the range of its scores."""
+    n = df.count()
+    forest = fit_forest(df, features, keys, n=n, **options) if n >= MIN_ROWS else Forest([], 0.0)
+    low, high = with_anomaly(df, features, forest, "_raw", n).agg(F.min("_raw"), F.max("_raw")).first()
+    return SavedForest(forest, tuple(features), low or 0.0, high or 0.0, version)
+
+
+def save_forest(spark: SparkSession, model: SavedForest, path: str) -> None:
+    """The model as a folder of its version under ``path``: a row per tree. A version is written once."""
+    head = (model.forest.scale, list(model.features), model.low, model.high)
+    trees = [(k, *(t[c].tolist() for c in _TREE_COLUMNS), *head) for k, t in enumerate(model.forest.trees)]
+    empty = (-1, *([] for _ in _TREE_COLUMNS), *head)  # a model without trees keeps its columns
+    table = spark.createDataFrame(trees or [empty], _MODEL_SCHEMA)
+    table.coalesce(1).write.parquet(f"{path}/version={model.version}")
+
+
+def load_forest(spark: SparkSession, path: str, version: int | None = None) -> SavedForest:
+    """A version of the model at ``path``, the newest by default."""
+    table = spark.read.schema(f"{_MODEL_SCHEMA}, version int").parquet(path)
+    version = table.agg(F.max("version")).first()[0] if version is None else version
+    rows = table.where(F.col("version") == version).orderBy("arbol").collect()  # one row per tree
+    if not rows:
+        raise ValueError(f"no version {version} at {path}")
+    trees = [{c: np.asarray(r[c]) for c in _TREE_COLUMNS} for r in rows if r["arbol"] >= 0]
+    head = rows[0]
+    return SavedForest(Forest(trees, head["escala"]), tuple(head["columnas"]), head["minimo"], head["maximo"], version)

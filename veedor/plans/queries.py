@@ -10,7 +10,7 @@ from veedor.functions.flags import discarded, enrich, enriched_columns, is_direc
 from veedor.functions.names import BOGOTA, normalize_name, ranking_label, value_label
 from veedor.functions.parsing import parse_timestamp
 from veedor.operators import concentration, explore, listing, places, publish, quality, scope, signals, sketches
-from veedor.operators.isolation import fit_forest, normalized, with_anomaly
+from veedor.operators.isolation import fit_forest, fit_saved, load_forest, normalized, save_forest, with_anomaly
 from veedor.operators.pairs import MODEL_FEATURES, analyzed, burst_peaks, model_features, object_start, pair_features
 from veedor.operators.quantiles import exact_quantiles, quantile_value
 from veedor.operators.rules import RULES, rule_catalog, with_rules
@@ -1064,3 +1064,14 @@ def stream_repeats_ever(spark, d):
         rows.write.mode("append").parquet(path)
     feed = feeds.contract_feed(spark, path, events.schema, maxFilesPerTrigger="8")
     return drop_all_repeats(feed, "event_id", "ts", new_path(spark, "stream-repeats-ever")).select("event_id", "user_id", "event_type", "value")
+
+
+@query
+def stream_forest_scores(spark, d):
+    """Contracts of a feed scored by a model that was fitted on all contracts, saved and read again."""
+    features, path = signals.CONTRACT_FEATURES, new_path(spark, "forest-model")
+    rows = stage(signals.contract_features(_enriched(spark, d)).select("id_contrato", *features), "contract-features")
+    save_forest(spark, fit_saved(rows, features, ("id_contrato",)), path)
+    arriving = signals.contract_features(enrich(_contract_feed(spark, d)))
+    scored = load_forest(spark, path).scored(arriving.select("id_contrato", *features), "crudo", "score_anomalia")
+    return feeds.run_available(scored.select("id_contrato", "crudo", "score_anomalia"), "stream-forest")

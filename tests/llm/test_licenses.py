@@ -3,7 +3,7 @@ import re
 import pytest
 
 from tests.llm.brute import ALNUM, fold
-from veedor.llm.licenses import PHRASES, TEMPLATES, compile_template, scan_licenses
+from veedor.llm.licenses import PHRASES, TEMPLATES, WHOLE, compile_template, scan_licenses
 
 ROWS = [
     (1, None), (2, ""), (3, "Released under the MIT License."), (4, "the mit. license; MIT license"), (5, "mit licenses"),
@@ -52,5 +52,38 @@ def test_bad_templates(bad):
         compile_template(bad, "l")
 
 
+NAME = "acme widget holders"
+
+
+def written(template, name=NAME):
+    """A text that the template accepts: no optional words, ``name`` in the replaceable regions."""
+    plain = re.sub(r"\[[^\]]*\]", " ", template)
+    return re.sub(r"\{\d+\}", name, plain).upper()
+
+
+def test_whole_wording(table):
+    rows = [(k, f"Copyright X.\n\n{written(t)}\nmore words") for k, (t, _) in enumerate(WHOLE)]
+    found = {r.id: (r.labels, r.score) for r in scan_licenses(table(rows)).collect()}
+    assert found == {k: (label, 1.0) for k, (_, label) in enumerate(WHOLE)}
+
+
+def test_changed_wording_is_not_accepted(table):
+    rows = []
+    for k, (template, _) in enumerate(WHOLE):
+        words = written(template).split()
+        for at in (len(words) // 3, len(words) // 2, len(words) - 1):
+            while not {words[at - 1], words[at]}.isdisjoint(NAME.upper().split()):  # a word more in a name changes nothing
+                at += 1
+            rows.append((k, " ".join([*words[:at], "QUITE", *words[at:]])))
+        rows.append((k, " ".join(words[:-1])))
+    found = scan_licenses(table(rows)).collect()
+    assert len(found) == len(rows) and [r for r in found if r.labels or not 0.3 < r.score < 1] == []
+
+
+def test_wording_after_many_starts(table):
+    text = "this software " * 500 + written(dict((n, t) for t, n in WHOLE)["zlib"]) + " this" * 40
+    assert [(r.labels, r.score) for r in scan_licenses(table([(1, text)])).collect()] == [("zlib", 1.0)]
+
+
 def test_empty(table):
     assert scan_licenses(table([])).count() == 0

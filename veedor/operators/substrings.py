@@ -72,7 +72,8 @@ def match_cities_indexed(cities: DataFrame, municipalities: DataFrame) -> DataFr
         ),
         "names",
     )
-    keyed = cities.withColumn("_c", normalize_name(F.col("ciudad"))).where(_has_name(F.col("_c")))
+    # Staged: the texts to look for and the rows they go back to come from one evaluation of ``cities``.
+    keyed = stage(cities.withColumn("_c", normalize_name(F.col("ciudad"))).where(_has_name(F.col("_c"))), "city-rows")
     asked = stage(keyed.select("dpto", F.col("_c").alias("texto")).where(F.col("dpto").isNotNull()).distinct(), "city-texts")
     first = names.groupBy("dpto", "nombre").agg(F.min("orden").alias("orden"))
 

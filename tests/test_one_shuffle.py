@@ -51,3 +51,20 @@ def rows(df):
 def test_place_names_are_compared_once_a_place(spark, tmp_path):
     leaves = queries._cities(spark, tables(spark, tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in leaves
+
+
+def test_orders_meet_customers_before_lines(spark, tmp_path):
+    found = star.contracts(spark, tables(spark, tmp_path), "ciudad")
+    assert found.collect() == [("x",)]
+    tree = found._jdf.queryExecution().optimizedPlan().toString()
+    lines = tree.split("\n")
+    depth = {k: next(x.index("Relation") for x in lines if "Relation" in x and k in x) for k in ("l_orderkey", "c_custkey")}
+    assert depth["c_custkey"] > depth["l_orderkey"]
+
+
+def test_json_pages_are_written_compressed(spark, tmp_path, monkeypatch):
+    paths, real = [], queries.new_path
+    monkeypatch.setattr(queries, "new_path", lambda s, name: paths.append(real(s, name)) or paths[-1])
+    data = tables(spark, tmp_path)
+    assert [(r.departamento, r.n) for r in queries.json_pages(spark, data).collect()] == [("x", 1)]
+    assert all(f.endswith(".gz") for f in spark.read.text(f"{paths[0]}/*").inputFiles())

@@ -68,3 +68,17 @@ def test_json_pages_are_written_compressed(spark, tmp_path, monkeypatch):
     data = tables(spark, tmp_path)
     assert [(r.departamento, r.n) for r in queries.json_pages(spark, data).collect()] == [("x", 1)]
     assert all(f.endswith(".gz") for f in spark.read.text(f"{paths[0]}/*").inputFiles())
+def test_trailing_concentration_moves_contracts_once(spark, make):
+    contracts = some(make)
+    few = trailing_concentration(contracts, 40)
+    assert shuffles(few) == 0 and plan(few).count("REPARTITION_BY_NUM") == 1
+    assert rows(few) == rows(trailing_concentration(contracts, 40, hot_rows=0)) == rows(trailing_concentration(contracts, 40, hot_rows=15))
+    known = contracts.where("nit_entidad is not null and doc_proveedor is not null")
+    entity = {(r.nit_entidad, r.fecha_inicio): r.n_ventana for r in trailing_counts(known, ("nit_entidad",), "fecha_inicio", 40).collect()}
+    assert entity and all(entity[r.nit_entidad, r.fecha_inicio] == r.contratos_entidad for r in few.collect())
+
+
+def test_parts_have_no_key_in_common(spark):
+    df = spark.range(1000).selectExpr("if(id < 600, 'hot', cast(id % 40 as string)) k", "id")
+    few, many = spread.parted_by_size(df, "k", 100)
+    assert {r.k for r in many.collect()} == {"hot"} and few.count() == 400 and many.count() == 600

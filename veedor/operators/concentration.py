@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from veedor.functions.flags import is_direct
 from veedor.functions.parsing import is_present
 from veedor.operators.listing import first_rows, ranked
-from veedor.operators.spread import attach_total
-from veedor.operators.windows import trailing_counts
+from veedor.operators.spread import attach_total, parted_by_size
+from veedor.operators.windows import trailing_counts, with_trailing
 from veedor.runtime import stage
 from veedor.schema import PAIR_KEYS
 
@@ -42,24 +42,35 @@ def top_concentration(df: DataFrame, limit: int | None = TOP_PAIRS) -> DataFrame
     return first_rows(concentration_index(df), order, limit)
 
 
-def trailing_concentration(df: DataFrame, days: int = 365) -> DataFrame:
+_STARTS = ("nit_entidad", "doc_proveedor", "fecha_inicio")
+
+
+def trailing_concentration(df: DataFrame, days: int = 365, hot_rows: int | None = None) -> DataFrame:
     """At each start date of a pair: the supplier's share of the entity's contracts in the
-    ``days`` before it."""
-    known = df.where(F.col("nit_entidad").isNotNull() & F.col("doc_proveedor").isNotNull())
-    # Contracts are read once: entity counts add up the pairs' counts per start.
-    starts = stage(
-        known.groupBy("nit_entidad", "doc_proveedor", "fecha_inicio").agg(F.count("*").alias("n")),
-        "pair-starts",
-    )
+    ``days`` before it. ``hot_rows`` as in ``parted_by_size``."""
+    known = df.where(F.col("nit_entidad").isNotNull() & F.col("doc_proveedor").isNotNull() & F.col("fecha_inicio").isNotNull())
+    # Staged: contracts are read once. Those of all but huge entities then move once, to the task of their entity.
+    few, many = parted_by_size(stage(known.select(*_STARTS), "pair-starts"), "nit_entidad", hot_rows)
+    starts = few.groupBy(*_STARTS).agg(F.count("*").alias("_n"))
+    n = F.col("_n")
+    both = with_trailing(starts, ("nit_entidad", "doc_proveedor"), "fecha_inicio", days, n, "contratos_par")
+    both = with_trailing(both, ("nit_entidad",), "fecha_inicio", days, n, "contratos_entidad").drop("_n")
+    if many is not None:
+        both = both.unionByName(_trailing_of_many(many, days))
+    share = F.col("contratos_par").cast("double") / F.col("contratos_entidad")
+    return both.select(*_STARTS, "contratos_par", "contratos_entidad", share.alias("indice"))
+
+
+def _trailing_of_many(rows: DataFrame, days: int) -> DataFrame:
+    """The same counts for entities of any size, whose rows never meet in one task."""
+    starts = stage(rows.groupBy(*_STARTS).agg(F.count("*").alias("n")), "pair-starts")
     n = F.col("n")
     pair = trailing_counts(starts, ("nit_entidad", "doc_proveedor"), "fecha_inicio", days, n)
     entity = trailing_counts(starts, ("nit_entidad",), "fecha_inicio", days, n).select(
         "nit_entidad", "fecha_inicio", F.col("n_ventana").alias("contratos_entidad")
     )
     return pair.join(entity, ["nit_entidad", "fecha_inicio"]).select(
-        "nit_entidad", "doc_proveedor", "fecha_inicio",
-        F.col("n_ventana").alias("contratos_par"), "contratos_entidad",
-        (F.col("n_ventana").cast("double") / F.col("contratos_entidad")).alias("indice"),
+        *_STARTS, F.col("n_ventana").alias("contratos_par"), "contratos_entidad"
     )
 
 

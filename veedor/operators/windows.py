@@ -50,19 +50,24 @@ def trailing_counts(
 
 
 def _within_key(ticks: DataFrame, keys: tuple[str, ...], stamp: str, days: int) -> DataFrame:
-    """One sort per key. Two running sums replace the sliding frame, whose cost would grow with
-    the rows in the range."""
+    counted = with_trailing(ticks, keys, stamp, days, F.col("n_filas"), "n_ventana")
+    return counted.select(*keys, stamp, "n_filas", "n_ventana")
+
+
+def with_trailing(rows: DataFrame, keys: tuple[str, ...], stamp: str, days: int, weight: Column, name: str) -> DataFrame:
+    """Add the sum of ``weight`` over the rows of a key in ``[time - days, time]``; rows without a time count for no other.
+
+    One sort per key. Two running sums replace the sliding frame, whose cost would grow with
+    the rows in the range. A key's rows meet in one task.
+    """
     at = F.col(stamp)
     clock = epoch_hour(at) * HOUR_MICROS + micros_in_hour(at)
     by_time = Window.partitionBy(*keys).orderBy("_t")
-    upto = F.sum("n_filas").over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.sum("n_filas").over(
-        by_time.rangeBetween(Window.unboundedPreceding, -days * 24 * HOUR_MICROS - 1)
-    )
-    counted = ticks.withColumn("_t", clock).withColumn(
-        "n_ventana", upto - F.coalesce(before, F.lit(0).cast("bigint"))
-    )
-    return counted.select(*keys, stamp, "n_filas", "n_ventana")
+    counted = F.sum(F.when(at.isNotNull(), weight))
+    upto = counted.over(by_time.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before = counted.over(by_time.rangeBetween(Window.unboundedPreceding, -max(1, int(days)) * 24 * HOUR_MICROS - 1))
+    found = rows.withColumn("_t", clock).withColumn(name, upto - F.coalesce(before, F.lit(0).cast("bigint")))
+    return found.drop("_t")
 
 
 def _by_hour(ticks: DataFrame, keys: tuple[str, ...], stamp: str, days: int) -> DataFrame:

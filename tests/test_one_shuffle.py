@@ -82,3 +82,14 @@ def test_parts_have_no_key_in_common(spark):
     df = spark.range(1000).selectExpr("if(id < 600, 'hot', cast(id % 40 as string)) k", "id")
     few, many = spread.parted_by_size(df, "k", 100)
     assert {r.k for r in many.collect()} == {"hot"} and few.count() == 400 and many.count() == 600
+
+
+def test_pair_features_move_contracts_once(make):
+    few = pairs.pair_features(enrich(some(make)))
+    assert shuffles(few) == 0 and plan(few).count("REPARTITION_BY_NUM") == 1
+
+
+def test_huge_entities_give_the_same_features(make):
+    contracts = enrich(some(make))
+    few = rows(pairs.pair_features(contracts))
+    assert few == rows(pairs.pair_features(contracts, hot_rows=0)) == rows(pairs.pair_features(contracts, hot_rows=15)) and len(few) > 10

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veedor.functions.flags import SHORT_TEXT, cost_per_day, discarded, is_direct
-from veedor.operators.spread import attach_total
-from veedor.operators.windows import trailing_counts
+from veedor.operators.spread import attach_total, parted_by_size
+from veedor.operators.windows import trailing_counts, with_trailing
 from veedor.runtime import stage
 from veedor.schema import PAIR_KEYS
 
@@ -45,9 +45,9 @@ def _narrow(rows: DataFrame) -> DataFrame:
     )
 
 
-def _pair_aggregate(rows: DataFrame) -> DataFrame:
+def _measures() -> list[Column]:
     short = F.when(F.col("longitud_objeto") < SHORT_TEXT, 1.0).otherwise(0.0)
-    return rows.groupBy(*PAIR_KEYS).agg(
+    return [
         F.count("*").alias("n_contratos"),
         F.sum("valor_num").alias("suma_valor"),
         F.avg("valor_num").alias("promedio_valor"),
@@ -57,19 +57,54 @@ def _pair_aggregate(rows: DataFrame) -> DataFrame:
         F.avg(short).alias("pct_objeto_corto"),
         F.count_distinct("inicio_objeto").alias("diversidad_objetos"),
         F.min("longitud_objeto").alias("min_longitud_objeto"),
-    )
+    ]
+
+
+_COLUMNS = (
+    *PAIR_KEYS, "n_contratos", "suma_valor", "promedio_valor", "costo_dia_promedio",
+    "duracion_promedio", "ratio_directa", "pct_objeto_corto", "diversidad_objetos",
+    "min_longitud_objeto", "max_contratos_ventana", "concentracion_entidad", "n_entidad_anio",
+)
 
 
-def pair_features(enriched: DataFrame, days: int = BURST_DAYS) -> DataFrame:
+def pair_features(enriched: DataFrame, days: int = BURST_DAYS, hot_rows: int | None = None) -> DataFrame:
     """Features of every pair over the analyzed contracts.
 
     Entity totals come from the pairs themselves, not from a second pass over contracts.
     The burst belongs to the two ids, so spellings of a name share it; without a supplier id
     (or without dates) it is the pair's contract count.
+
+    Contracts of all but huge entities (``hot_rows``, see ``parted_by_size``) move once, to the task of their entity,
+    where pairs, bursts and totals are made; those of huge ones are spread.
     """
-    # Staged: contracts are joined, parsed and filtered once, for the aggregate and the bursts.
+    # Staged: contracts are joined, parsed and filtered once.
     rows = stage(_narrow(analyzed(enriched).where(F.col("nit_entidad").isNotNull())), "pair-contracts")
-    aggregate = stage(_pair_aggregate(rows), "pair-aggregate")
+    few, many = parted_by_size(rows, "nit_entidad", hot_rows)
+    found = _features_within_entity(few, days)
+    if many is not None:
+        found = found.unionByName(_features_spread(many, days))
+    share = F.col("n_contratos").cast("double") / F.col("n_entidad_anio")
+    burst = F.coalesce("max_contratos_ventana", "n_contratos").alias("max_contratos_ventana")
+    made = {"max_contratos_ventana": burst, "concentracion_entidad": share.alias("concentracion_entidad")}
+    return found.select(*[made.get(c, F.col(c)) for c in _COLUMNS])
+
+
+def _features_within_entity(rows: DataFrame, days: int) -> DataFrame:
+    """Pairs of rows that lie dealt by entity: every grouping holds the entity, so none needs a shuffle."""
+    windows = with_trailing(rows, _IDS, "fecha_inicio", days, F.lit(1).cast("bigint"), "_ventana")
+    burst = F.when(F.col("doc_proveedor").isNotNull() & F.col("fecha_inicio").isNotNull(), F.col("_ventana"))
+    pairs = windows.withColumn("_ventana", burst).groupBy(*PAIR_KEYS).agg(*_measures(), F.max("_ventana").alias("_ventana"))
+    return pairs.withColumns(
+        {
+            "max_contratos_ventana": F.max("_ventana").over(Window.partitionBy(*_IDS)),
+            "n_entidad_anio": F.sum("n_contratos").over(Window.partitionBy("nit_entidad")),
+        }
+    ).drop("_ventana")
+
+
+def _features_spread(rows: DataFrame, days: int) -> DataFrame:
+    """The same for entities of any size, whose rows never meet in one task."""
+    aggregate = stage(rows.groupBy(*PAIR_KEYS).agg(*_measures()), "pair-aggregate")
     pairs = attach_total(
         aggregate, "nit_entidad", "n_contratos", "n_entidad_anio",
         ("nombre_entidad", "doc_proveedor", "proveedor"),
@@ -94,15 +129,7 @@ def pair_features(enriched: DataFrame, days: int = BURST_DAYS) -> DataFrame:
         & (keyed["_falta"] == peaks["_sin_doc"]),
         "left",
     )
-    share = F.col("n_contratos").cast("double") / F.col("n_entidad_anio")
-    return joined.select(
-        *PAIR_KEYS, "n_contratos", "suma_valor", "promedio_valor", "costo_dia_promedio",
-        "duracion_promedio", "ratio_directa", "pct_objeto_corto", "diversidad_objetos",
-        "min_longitud_objeto",
-        F.coalesce("max_contratos_ventana", "n_contratos").alias("max_contratos_ventana"),
-        share.alias("concentracion_entidad"),
-        "n_entidad_anio",
-    )
+    return joined.drop("_clave", "_falta", "_nit", "_doc", "_sin_doc")
 
 
 MODEL_FEATURES = (

@@ -93,3 +93,32 @@ def test_huge_entities_give_the_same_features(make):
     contracts = enrich(some(make))
     few = rows(pairs.pair_features(contracts))
     assert few == rows(pairs.pair_features(contracts, hot_rows=0)) == rows(pairs.pair_features(contracts, hot_rows=15)) and len(few) > 10
+
+
+def test_a_change_moves_rows_once(spark, monkeypatch):
+    base = spark.range(50).selectExpr("if(id > 45, null, id % 40) id", "id v")
+    table = BucketTable.create(base, new_path(spark, "one-shuffle"), "id", 4)
+    seen, real = [], BucketTable._written
+
+    def written(self, df, now):
+        seen.append(plan(df).count("Exchange"))
+        return real(self, df, now)
+
+    monkeypatch.setattr(BucketTable, "_written", written)
+    table.upsert(spark.createDataFrame([(3, 100), (99, 101), (None, 102)], "id long, v long"))
+    table.delete(spark.createDataFrame([(5,), (None,)], "id long"))
+    found = sorted((r.id is None, r.id or 0, r.v) for r in table.read().collect())
+    kept = [(k % 40, k) for k in range(46) if k % 40 not in (3, 5)] + [(3, 100), (99, 101)]
+    assert found == sorted([(False, *x) for x in kept] + [(True, 0, v) for v in (46, 47, 48, 49, 102)])
+    assert seen == [1, 1]
+
+
+def test_a_batch_is_not_copied(spark, tmp_path, monkeypatch):
+    names, real = [], views.stage
+    monkeypatch.setattr(views, "stage", lambda df, name: names.append((name, df.columns)) or real(df, name))
+    spark.sql("select 'a' k, 1 v, 'wide' w, 1 signo").write.parquet(str(tmp_path / "in"))
+    spec = views.ViewSpec(("k",), {"n": queries.F.lit(True)})
+    kept = views.new_view(spark, spec, spark.read.parquet(str(tmp_path / "in")).drop("signo"))
+    feed = feeds.contract_feed(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    views.keep_views(feed, [kept], str(tmp_path / "check"))
+    assert kept.read().collect() == [("a", 1)] and names and not any("w" in columns for _, columns in names)

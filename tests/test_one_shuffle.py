@@ -122,3 +122,20 @@ def test_a_batch_is_not_copied(spark, tmp_path, monkeypatch):
     feed = feeds.contract_feed(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
     views.keep_views(feed, [kept], str(tmp_path / "check"))
     assert kept.read().collect() == [("a", 1)] and names and not any("w" in columns for _, columns in names)
+
+
+def test_offers_are_made_in_compiled_code(spark):
+    df = spark.range(100).selectExpr("id", "double(id) x")
+    drawn = isolation.draw_samples(df, ("x",), ("id",), 5, 8, 1, 100)
+    assert "lambdafunction" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.arbol for r in drawn.collect()} == set(range(5))
+
+
+def test_levels_lead_to_the_leaf_of_each_row():
+    tree = {"variable": [1, -1, 0, -1, -1], "corte": [0.5, 0, 0.25, 0, 0], "izquierda": [1, -1, 3, -1, -1], "derecha": [2, -1, 4, -1, -1], "largo": [1.0, 2.0, 0.0, 4.0, 8.0]}
+    tree = {c: np.asarray(v) for c, v in tree.items()}
+    variable, cut, length = isolation._levels(tree)
+    assert len(cut) == 3 and length.tolist() == [2.0, 2.0, 4.0, 8.0]
+    values = np.array([[0.9, 0.1], [0.1, 0.7], [0.3, 0.7], [np.nan, np.nan]] * 6000)
+    found = isolation._score_rows([tree], 1.0, values)
+    assert np.array_equal(found, np.exp2(-np.array([2.0, 4.0, 8.0, 8.0] * 6000)))

@@ -52,23 +52,57 @@ class Forest:
         return _score_rows(self.trees, self.scale, rows)
 
 
+#: Rows scored at a time, as many as an Arrow batch has by default: their nodes and values stay in the processor's cache.
+_BLOCK = 10_000
+
+
+def _levels(tree: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tree with every leaf carried down to its lowest level: node k's children are 2k + 1 and 2k + 2, so that a step
+    is arithmetic. (variable and cut of the inner nodes, lengths of the lowest level.)"""
+    variable, cut, at = [], [], np.zeros(1, dtype=np.int64)
+    while (tree["variable"][at] >= 0).any():
+        inner = tree["variable"][at] >= 0
+        variable.append(np.where(inner, tree["variable"][at], 0))
+        cut.append(tree["corte"][at])
+        children = np.where(inner, tree["izquierda"][at], at), np.where(inner, tree["derecha"][at], at)
+        at = np.stack(children, axis=1).ravel()
+    flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    return flat(variable, np.int64), flat(cut, float), tree["largo"][at]
+
+
 def _score_rows(trees: list[dict], scale: float, rows: np.ndarray) -> np.ndarray:
-    """2 ** (-mean path / scale) of every row, one tree level at a time for all rows."""
+    """2 ** (-mean path / scale) of every row, one tree level at a time for a block of rows."""
     if not trees or scale == 0.0:
         return np.zeros(len(rows))
     total = np.zeros(len(rows))
-    line = np.arange(len(rows))
-    for tree in trees:
-        node = np.zeros(len(rows), dtype=np.int64)
-        while True:
-            variable = tree["variable"][node]
-            inner = variable >= 0
-            if not inner.any():
-                break
-            left = rows[line, np.maximum(variable, 0)] < tree["corte"][node]
-            child = np.where(left, tree["izquierda"][node], tree["derecha"][node])
-            node = np.where(inner, child, node)
-        total += tree["largo"][node]
+    levelled = [_levels(tree) for tree in trees]
+    for first in range(0, len(rows), _BLOCK):
+        block = rows[first : first + _BLOCK]
+        n = len(block)
+        values = np.ascontiguousarray(block.T).ravel()  # value of variable v in row r: v * n + r
+        line, own = np.arange(n), total[first : first + n]
+        node, place, value, cuts = np.empty(n, np.int64), np.empty(n, np.int64), np.empty(n), np.empty(n)
+        below = np.empty(n, bool)
+        for variable, cut, length in levelled:
+            if not len(cut):
+                own += length[0]
+                continue
+            starts = variable * n
+            np.less(values[starts[0] : starts[0] + n], cut[0], out=below)  # all rows stand at the root
+            np.subtract(2, below, out=node)
+            for _ in range(len(length).bit_length() - 2):
+                # mode="clip" writes to ``out`` without a copy; every index is in range.
+                np.take(starts, node, out=place, mode="clip")
+                place += line
+                np.take(values, place, out=value, mode="clip")
+                np.take(cut, node, out=cuts, mode="clip")
+                np.less(value, cuts, out=below)
+                node *= 2
+                node += 2
+                node -= below
+            node -= len(cut)
+            np.take(length, node, out=value, mode="clip")
+            own += value
     return np.exp2(-total / len(trees) / scale)
 
 
@@ -95,19 +129,14 @@ def draw_samples(
         F.array(*[F.col(f).cast("double") for f in features]).alias("x"),
         F.xxhash64(F.lit(seed), *keys).alias("h"),
     )
-    offers = F.filter(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(trees - 1)),
-            lambda t: F.struct(t.alias("arbol"), unit(F.col("h"), t).alias("u")),
-        ),
-        lambda c: c["u"] < share,
-    )
     # A fixed number of partitions: these few rows are otherwise merged into one task, and
     # all trees would grow there.
     tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
     offered = (
-        base.select("x", "h", F.explode(offers).alias("o"))
-        .select("x", "h", "o.arbol", "o.u")
+        # Exploded, the offers are made in compiled code; nearly all end at the filter, in the same loop.
+        base.select("x", "h", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("arbol"))
+        .withColumn("u", unit(F.col("h"), F.col("arbol")))
+        .where(F.col("u") < share)
         .repartition(tasks, "arbol")
     )
     rank = F.row_number().over(Window.partitionBy("arbol").orderBy("u", "h", "x"))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from veedor.operators.listing import page
 from veedor.sources.directory import PageDirectory
@@ -45,3 +46,17 @@ def test_position_of_an_id(table):
 def test_empty(spark, tmp_path):
     none = PageDirectory.build(spark.createDataFrame([], "id_contrato string, n int"), str(tmp_path / "d"))
     assert none.page(0).count() == 0 and none.last_page().count() == 0 and none.n_rows() == 0 and none.position("a") == 0
+
+
+def test_the_input_is_evaluated_once(spark, tmp_path):
+    """For the number of rows, the ranges and the rows: joins below are made once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(n):
+        seen.add(1)
+        return f"C{n:04d}"
+
+    df = spark.range(300, numPartitions=3).select(F.udf(told, "string")("id").alias("id_contrato"), F.col("id").alias("n"))
+    directory = PageDirectory.build(df, str(tmp_path / "d"), file_rows=40)
+    assert directory.n_rows() == 300 and seen.value == 300
+    assert [r.n for r in directory.last_page().collect()] == list(range(290, 300))

@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from veedor.operators.listing import PAGE_SIZE, page_order
-from veedor.runtime import stage
+from veedor.runtime import set_for, stage
 
 #: Rows of a file, about: a page reads one file, or two where it lies across their border.
 FILE_ROWS = 1_000_000
+#: Rows of a staged file and bytes of such files that one task deals out by range: what it holds does not grow with the table.
+STAGED_ROWS, TASK_BYTES = 250_000, "32m"
 
 
 class PageDirectory:
@@ -26,13 +28,18 @@ class PageDirectory:
     @staticmethod
     def build(df: DataFrame, path: str, file_rows: int = FILE_ROWS, n_rows: int | None = None) -> PageDirectory:
         """One shuffle by ranges of the order. Rows that are equal in every column are spread by their
-        place in the input, so that many copies of one row do not meet in one file."""
+        place in the input, so that many copies of one row do not meet in one file.
+
+        ``df`` is staged, as it is read for its size, for the ranges and for the rows: its joins are made once, and
+        not in the tasks that hold the rows they deal out. Those read small files, a few each."""
         directory = PageDirectory(df.sparkSession, path)
+        df = stage(df, "page-rows", maxRecordsPerFile=STAGED_ROWS)
         n_files = max(1, math.ceil((df.count() if n_rows is None else n_rows) / file_rows))
         order = page_order(df)
         placed = df.withColumn("_place", F.monotonically_increasing_id())
-        dealt = placed.repartitionByRange(n_files, *order, F.col("_place")).sortWithinPartitions(*order)
-        dealt.drop("_place").write.parquet(f"{directory.path}/rows")
+        with set_for(directory.spark, "spark.sql.files.maxPartitionBytes", TASK_BYTES):
+            dealt = placed.repartitionByRange(n_files, *order, F.col("_place")).sortWithinPartitions(*order)
+            dealt.drop("_place").write.parquet(f"{directory.path}/rows")
         rows = directory._rows(df.schema)
         counts = rows.select(F.col("_metadata.file_name").alias("file"), F.col("id_contrato").alias("id")).groupBy("file")
         files = stage(counts.agg(F.count("*").alias("n"), F.min("id").alias("first_id")), "files")  # a row per file

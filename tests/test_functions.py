@@ -98,3 +98,9 @@ def test_discard_and_direct(make):
     direct = [tuple(r) for r in modes.orderBy("id_contrato").select(
         flags.is_direct(F.col("modalidad")), flags.modality_risk(F.col("modalidad"))).collect()]
     assert direct == [(1, 10), (0, None), (0, 5)]
+
+
+def test_a_date_is_read_once(spark):
+    """However often its time is looked at: the regular expressions are most of an ingest."""
+    plan = spark.createDataFrame([], "x string").select(parse_export_date(F.col("x")).alias("y"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("AaPp") == 1

@@ -53,6 +53,24 @@ def test_long_records_stay_whole_and_broken_ones_are_no_rows(spark, tmp_path):
     assert good.get("3") == "z" and not {"5", "6", "9"} & set(good) and torn[-1] == "9,u"
 
 
+def test_only_lines_of_splits_with_broken_lines_are_moved(spark, tmp_path):
+    """Splits of whole lines are read in place, those with records over several lines beside them too."""
+    calm = [(str(k), f'con "{k}", x' if k % 3 else "") for k in range(4000)]
+    torn = [(f"t{k}", f'uno\n"{k}", dos\r\n\n' if k % 500 == 7 else "z") for k in range(4000)]
+    rows = {"a.csv": calm, "b.csv": torn, "c.csv": [(f"c{k}", "z") for k in range(9)]}
+    for name, records in rows.items():
+        quoted = [k + ',"' + v.replace('"', '""') + '"' if set(v) & set('",\n\r') else f"{k},{v}" for k, v in records]
+        (tmp_path / name).write_bytes("\n".join(["id,nota", *quoted]).encode())
+    plain = export.read_text_table(spark, str(tmp_path / "a.csv"))
+    moved = plain._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in moved and "hashpartitioning" not in moved
+    assert sorted((r.id, r.nota or "") for r in plain.collect()) == sorted(calm)
+    with runtime.set_for(spark, "spark.sql.files.maxPartitionBytes", "4096"):
+        found = export.read_text_table(spark, str(tmp_path)).collect()
+    want = [(k, v.replace("\r\n", "\n")) for records in rows.values() for k, v in records]
+    assert sorted((r.id, r.nota or "") for r in found) == sorted(want) and not any(r[export.REJECT] for r in found)
+
+
 def test_table_options(spark, tmp_path):
     (tmp_path / "t.tsv").write_bytes("x\tñ\n1\t'a\tb'\n".encode("latin-1"))
     df = export.read_text_table(spark, str(tmp_path / "t.tsv"), sep="\t", quote="'", encoding="ISO-8859-1")

@@ -1,13 +1,17 @@
 """Work whose bytes moved or written must grow no faster than the input."""
 
+import os
+import time
+
 import numpy as np
+import pytest
 
 from veedor.functions.flags import enrich
 from veedor.operators import isolation, pairs, spread
 from veedor.operators.concentration import trailing_concentration
 from veedor.operators.windows import trailing_counts
 from veedor.plans import queries
-from veedor.runtime import new_path
+from veedor.runtime import new_path, stage
 from veedor.sources import star
 from veedor.sources.buckets import BucketTable
 from veedor.streaming import feeds, views
@@ -124,6 +128,48 @@ def test_a_batch_is_not_copied(spark, tmp_path, monkeypatch):
     assert kept.read().collect() == [("a", 1)] and names and not any("w" in columns for _, columns in names)
 
 
+def _kept_blocks(spark):
+    return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().length()
+
+
+def test_shuffle_files_go_with_the_job_that_staged(spark):
+    before = _kept_blocks(spark)
+    staged = [stage(spark.range(20_000).selectExpr("id % 997 k").groupBy("k").count(), "gone") for _ in range(3)]
+    until = time.time() + 20
+    while _kept_blocks(spark) > before and time.time() < until:
+        time.sleep(0.1)
+    assert _kept_blocks(spark) <= before and [x.count() for x in staged] == [997] * 3
+
+
+def test_a_change_in_parts_is_the_same_change(spark):
+    base = spark.range(60).selectExpr("if(id > 55, null, id % 50) id", "id v")
+    changes = spark.range(30, 90).selectExpr("id", "-id v")
+    ids = spark.range(5, 75, 3).toDF("id")
+    found = []
+    for n in (1, 3, 4):
+        table = BucketTable.create(base, new_path(spark, "parts"), "id", 4)
+        of = lambda df, n=n, table=table: [df.where(table.part(df, n) == k) for k in range(n)]
+        assert table.upsert(*of(changes)).version == 2 and table.delete(*of(ids)).version == 3
+        found.append(sorted((r.id is None, r.id or 0, r.v) for r in table.read().collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 60
+    with pytest.raises(ValueError, match="same bucket"):
+        table.upsert(changes, changes)
+    assert table.versions()[-1] == 3
+
+
+def test_kept_reports_leave_no_copies_of_the_contracts(spark, tmp_path, monkeypatch):
+    """Files that were folded in and the staged rows go; parts of a load change nothing."""
+    made, real = [], queries.new_path
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: made.append(real(spark, name)) or made[-1])
+    d = tables(spark, tmp_path)
+    whole = rows(queries.kept_concentration(spark, d))
+    monkeypatch.setattr(queries, "KEPT_PART_BYTES", 1)
+    assert rows(queries.kept_concentration(spark, d)) == whole and len(whole) == 1
+    left = [p for p in made if any(f.endswith(".parquet") for _, _, files in os.walk(p) for f in files)]
+    assert len([p for p in made if "changes-" in p]) == 2 and not any("changes-" in p for p in left)
+    assert len([p for p in left if "/contracts-" in p]) == 2  # the published ones
+
+
 def test_offers_are_made_in_compiled_code(spark):
     df = spark.range(100).selectExpr("id", "double(id) x")
     drawn = isolation.draw_samples(df, ("x",), ("id",), 5, 8, 1, 100)

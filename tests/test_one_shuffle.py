@@ -170,6 +170,14 @@ def test_kept_reports_leave_no_copies_of_the_contracts(spark, tmp_path, monkeypa
     assert len([p for p in left if "/contracts-" in p]) == 2  # the published ones
 
 
+def test_the_export_goes_when_it_is_landed(spark, tmp_path, monkeypatch):
+    made, real = [], queries.new_path
+    monkeypatch.setattr(queries, "new_path", lambda spark, name: made.append(real(spark, name)) or made[-1])
+    found = queries.csv_ingest(spark, tables(spark, tmp_path))
+    assert [(r.n, r.n_ids) for r in found.collect()] == [(1, 1)]
+    assert not [p for p in made if "export-csv" in p and os.path.exists(p)]
+
+
 def test_offers_are_made_in_compiled_code(spark):
     df = spark.range(100).selectExpr("id", "double(id) x")
     drawn = isolation.draw_samples(df, ("x",), ("id",), 5, 8, 1, 100)

@@ -39,6 +39,23 @@ def test_export(spark, tmp_path):
     assert Scope("05", None, 2024).apply(good).count() == 2
 
 
+def test_an_export_is_copied_in_portions(spark, tmp_path, monkeypatch):
+    """Some landed files at a time; what was taken over is deleted where the caller says so."""
+    for k in range(6):
+        lines = [",".join(HEADER), csv_line(**{"ID Contrato": f"a{k}"}), f"{k},corto", csv_line(**{"ID Contrato": f"b{k}", "Departamento": ""})]
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.csv").write_text("\n".join(lines), encoding="utf-8")
+    monkeypatch.setattr(export, "PORTION_BYTES", 1)
+    modes, real = [], export.write_contracts
+    monkeypatch.setattr(export, "write_contracts", lambda df, path, mode="overwrite": modes.append(mode) or real(df, path, mode))
+    found = []
+    for n, consume in enumerate((False, True)):
+        good, rejects = export.land_export(spark, str(tmp_path / "in"), str(tmp_path / f"out{n}"), consume=consume)
+        found.append((sorted(map(str, good.collect())), sorted(map(str, rejects.collect()))))
+        assert (tmp_path / "in").exists() != consume and any((tmp_path / f"out{n}" / "landing").glob("*.parquet")) != consume
+    assert found[0] == found[1] and [len(x) for x in found[0]] == [12, 6] and modes.count("append") > 2
+
+
 def test_long_records_stay_whole_and_broken_ones_are_no_rows(spark, tmp_path):
     long = "\n".join(f"línea {k}, con ""coma" for k in range(150_000))
     (tmp_path / "long.csv").write_text(f'1,"{long}"\n2,z\n', encoding="utf-8")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from veedor.functions.parsing import parse_export_date
+from veedor.runtime import delete_path, shuffles_dropped
 from veedor.sources.records import read_records
 from veedor.schema import API_COLUMNS, DATE_COLUMNS, EXPORT_COLUMNS
 
@@ -105,25 +106,57 @@ def land_export(
     source: str | list[str],
     target: str,
     date_order: str = "mdy",
+    consume: bool = False,
     **read_options,
 ) -> tuple[DataFrame, DataFrame]:
     """Copy an export to ``target`` and return (contracts, rejected records).
 
     Every column is landed first: which rows are malformed must not depend on the columns
-    a later query happens to read.
+    a later query happens to read. What is landed is copied some files at a time, so that only their
+    shuffle lies on disk. With ``consume`` the source is deleted when it is landed, landed files when they are copied.
     """
     landing = f"{target}/landing"
-    read_text_table(spark, source, **read_options).write.mode("overwrite").parquet(landing)
+    with shuffles_dropped(spark):
+        read_text_table(spark, source, **read_options).write.mode("overwrite").option("compression", "zstd").parquet(landing)
     landed = spark.read.parquet(landing)
-    write_contracts(canonical(landed.where(F.col(REJECT).isNull()), date_order=date_order), f"{target}/contracts")
-    return read_contracts(spark, f"{target}/contracts"), landed.where(F.col(REJECT).isNotNull())
-
-
+    rejected = landed.where(F.col(REJECT).isNotNull())
+    if consume:
+        rejected.write.mode("overwrite").parquet(f"{target}/rejected")
+        rejected = spark.read.schema(landed.schema).parquet(f"{target}/rejected")
+        for path in [source] if isinstance(source, str) else source:
+            delete_path(spark, path)
+    for number, files in enumerate(_portions(spark, landing)):
+        rows = spark.read.schema(landed.schema).parquet(*files).where(F.col(REJECT).isNull())
+        write_contracts(canonical(rows, date_order=date_order), f"{target}/contracts", "append" if number else "overwrite")
+        if consume:
+            for file in files:
+                delete_path(spark, file)
+    return read_contracts(spark, f"{target}/contracts"), rejected
+
+
+def _portions(spark: SparkSession, folder: str) -> list[list[str]]:
+    """The data files of a folder in at most some ``PORTIONS`` groups of about equal size, of ``PORTION_BYTES`` at least."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    files = sorted((s.getPath().toString(), s.getLen()) for s in found if not s.getPath().getName().startswith(("_", ".")))
+    most = max(PORTION_BYTES, sum(size for _, size in files) // PORTIONS)
+    groups, held = [[]], 0
+    for name, size in files:
+        if groups[-1] and held + size > most:
+            groups.append([])
+            held = 0
+        groups[-1].append(name)
+        held += size
+    return groups
+
+
+#: Into how many portions, and of what size at least, a landed export is cut while it is copied.
+PORTIONS, PORTION_BYTES = 8, 64 << 20
 #: Folder of contracts whose department is the empty text: an empty partition value reads as NULL.
 EMPTY = "(vacío)"
 
 
-def write_contracts(df: DataFrame, path: str) -> None:
+def write_contracts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet partitioned by start year and department.
 
     The rebalance hint splits a hot (year, department) over several tasks and files and
@@ -131,9 +164,10 @@ def write_contracts(df: DataFrame, path: str) -> None:
     """
     department = F.when(F.col("departamento") == "", F.lit(EMPTY)).otherwise(F.col("departamento"))
     keyed = df.withColumns({"anio_inicio": F.year("fecha_inicio"), "departamento": department})
-    keyed.hint("rebalance", "anio_inicio", "departamento").write.mode("overwrite").partitionBy(
-        "anio_inicio", "departamento"
-    ).parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        keyed.hint("rebalance", "anio_inicio", "departamento").write.mode(mode).option("compression", "zstd").partitionBy(
+            "anio_inicio", "departamento"
+        ).parquet(path)
 
 
 def read_contracts(spark: SparkSession, path: str) -> DataFrame:
